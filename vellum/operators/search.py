@@ -306,22 +306,34 @@ def skill_facet(documents: DataFrame) -> DataFrame:
     return documents.filter("skill_level is not null").select("skill_level").distinct().orderBy("skill_level")
 
 
-def repair_scope(requests: DataFrame, documents: DataFrame, source_ids: DataFrame) -> DataFrame:
-    """Facet values that exist, others as ``all``; requests stay one row each."""
-    def known(column: str, values: DataFrame, name: str) -> DataFrame:
-        return values.select(F.col(name).alias(column), F.lit(True).alias(f"_{column}")).distinct()
+def repair_scope(requests: DataFrame, documents: DataFrame, source_ids: DataFrame, stat_options: DataFrame) -> DataFrame:
+    """Facet values that exist, others as ``all``; requests stay one row each.
 
-    stat_values = documents.select(F.explode("stat_keys").alias("stat_key"))
+    A category must be offered under the (repaired) kind; a stat may be given by
+    any alias of ``stat_options(value, aliases)``; a skill bound needs a kind
+    that has one.
+    """
+    sources = source_ids.select(F.col("id").alias("source"), F.lit(True).alias("_source")).distinct()
+    offered = documents.filter("category is not null").select("kind", "category").distinct()
+    groups = F.filter(F.array(
+        F.col("kind"), F.lit("all"), F.when(F.col("kind").isin(*CRAFTING_KINDS), F.lit("crafting"))), lambda g: g.isNotNull())
+    faceted = [kind for _, _, kinds in CATEGORY_GROUPS for kind in kinds]
+    categories = offered.filter(F.col("kind").isin(*faceted)).select(
+        F.explode(groups).alias("kind"), "category", F.lit(True).alias("_category")).distinct()
+    stats = stat_options.select(F.explode("aliases").alias("stat"), F.col("value").alias("_stat")).groupBy("stat").agg(
+        F.min("_stat").alias("_stat"))
+    skills = documents.filter("skill_level is not null").select(
+        F.col("skill_level").cast("string").alias("skill"), F.lit(True).alias("_skill")).distinct()
+    kind = F.when(F.col("kind").isin(*SEGMENTS, "crafting"), F.col("kind")).otherwise("all")
     joined = (
-        requests.join(known("source", source_ids, "id"), "source", "left")
-        .join(known("category", documents, "category"), "category", "left")
-        .join(known("stat", stat_values, "stat_key"), "stat", "left")
-        .join(known("skill", documents.select(F.col("skill_level").cast("string").alias("skill")), "skill"), "skill", "left")
+        requests.withColumn("kind", kind).join(sources, "source", "left").join(categories, ["kind", "category"], "left")
+        .join(stats, "stat", "left").join(skills, "skill", "left")
     )
-    kind_ok = F.col("kind").isin(*SEGMENTS, "crafting")
+    bounded = F.col("_skill") & F.col("kind").isin("all", "crafting", *CRAFTING_KINDS)
     return joined.select(
-        "request_id", F.when(kind_ok, F.col("kind")).otherwise("all").alias("kind"),
-        *[F.when(F.col(f"_{c}"), F.col(c)).otherwise("all").alias(c) for c in ("source", "category", "stat", "skill")],
+        "request_id", "kind", F.when(F.col("_source"), F.col("source")).otherwise("all").alias("source"),
+        F.when(F.col("_category"), F.col("category")).otherwise("all").alias("category"),
+        F.coalesce("_stat", F.lit("all")).alias("stat"), F.when(bounded, F.col("skill")).otherwise("all").alias("skill"),
     )
 
 
