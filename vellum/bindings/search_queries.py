@@ -283,7 +283,7 @@ query("A06_kind_counts", """SELECT k.kind, CAST(coalesce(n, 0) AS BIGINT) AS ent
 query("A10_dataset_totals", """SELECT (SELECT count(*) FROM entities_v) AS entities, (SELECT count(*) FROM lineitem) AS overrides, (SELECT count(*) FROM orders) AS patches""")(
     lambda spark, sf: catalogue.dataset_totals(entities(spark, sf), table(spark, sf, "lineitem"), table(spark, sf, "orders")))
 query("A19_sections", "SELECT category, id, count(*) OVER (PARTITION BY category) AS section_size FROM entities_v WHERE kind = 'item'")(
-    lambda spark, sf: catalogue.sections(items(spark, sf), "category", F.lit(0), [F.col("source_rank"), F.col("line")]).select("category", "id", "section_size"))
+    lambda spark, sf: catalogue.sections(items(spark, sf), "category", F.length("category"), [F.col("source_rank"), F.col("line")]).select("category", "id", "section_size"))
 query("A20_monster_section", "SELECT c_custkey, CASE WHEN c_custkey % 9 = 0 THEN 'Special' WHEN c_nationkey BETWEEN 1 AND 15 THEN CAST(c_nationkey AS VARCHAR) ELSE '?' END AS section FROM customer")(
     lambda spark, sf: table(spark, sf, "customer").select("c_custkey", catalogue.monster_section(F.col("c_nationkey"), F.expr("c_custkey % 9 = 0")).alias("section")))
 query("T12_preview_limits", "SELECT o_orderkey, CAST(greatest(0, 6 - o_orderkey % 8) AS INT) AS shown FROM orders")(
