@@ -103,9 +103,7 @@ def _shaped_items(spark, sf):
         "level": F.when(shape == 0, level), "overrideClassName": F.when(shape == 2, F.lit(" Orb ")),
         "alchemical": F.when(shape == 12, F.lit("1")),
     }
-    record = element("item", attrs)
-    record = F.struct(record["tag"].alias("tag"), record["attrs"].alias("attrs"), record["line"].alias("line"),
-                      record["column"].alias("column"), F.array(inner).alias("children"))
+    record = element("item", attrs).withField("children", F.array(inner))
     return p.select("p_partkey", "p_type", "p_size", record.alias("record"))
 
 

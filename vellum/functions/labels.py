@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .keys import canonical_key
 from .lexemes import SAFE_INTEGER, integer_or
-from .records import attribute, child_attribute, children, has_child
+from .records import attribute, attribute_key, child_attribute, children, has_child
 
 # ---- Fixed values, equal to the catalogue's published texts and codes ----
 WEAPON_CLASS = {
@@ -72,7 +71,7 @@ def item_category(record: Column) -> Column:
         result = result.when(has_child(record, plain), F.lit(plain))
     result = result.when(attribute(record, "alchemical").isNotNull(), F.lit("reagent"))
     named_type = (F.length(kind_text) > 0) & ~kind_text.rlike("^[0-9]+$")
-    return result.when(named_type, canonical_key(kind_text)).otherwise(F.lit("item"))
+    return result.when(named_type, attribute_key(record, "type")).otherwise(F.lit("item"))
 
 
 def item_quality(record: Column) -> Column:

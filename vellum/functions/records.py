@@ -1,14 +1,18 @@
 """Reading a parsed element: its attributes and the elements directly inside it.
 
-A record column is ``struct<tag, attrs, line, column, children>``; ``children``
-nests the same struct down to ``MAX_DEPTH`` levels, which covers every element
-that a catalogue file can hold.
+A record column is ``struct<tag, attrs, folded, line, column, children>``;
+``children`` nests the same struct down to ``MAX_DEPTH`` levels, which covers
+every element that a catalogue file can hold. ``folded`` has the compatibility
+form of those attributes that are not ASCII: the reader of the text computes it,
+so that keys inside nested records need no Python afterwards.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F, types as T
 
+from .keys import canonical_key
+
 MAX_DEPTH = 5
 
 
@@ -16,6 +20,7 @@ def element_type(depth: int = MAX_DEPTH) -> T.StructType:
     fields = [
         T.StructField("tag", T.StringType()),
         T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
+        T.StructField("folded", T.MapType(T.StringType(), T.StringType())),
         T.StructField("line", T.IntegerType()),
         T.StructField("column", T.IntegerType()),
     ]
@@ -28,6 +33,14 @@ def attribute(record: Column, name: str) -> Column:
     return record["attrs"][name]
 
 
+def attribute_key(record: Column, *names: str) -> Column:
+    """Canonical key of the first attribute that is not blank."""
+    texts = [
+        F.when(F.trim(record["attrs"][n]) != "", F.coalesce(record["folded"][n], record["attrs"][n])) for n in names
+    ]
+    return canonical_key(F.coalesce(*texts), ascii_text=True)
+
+
 def any_attribute(record: Column, *names: str) -> Column:
     """The first of several accepted spellings of one attribute."""
     return F.coalesce(*[attribute(record, name) for name in names])
@@ -68,6 +81,7 @@ def element(tag: str, attrs: dict[str, Column], inner: list[Column] | None = Non
     parts = [
         F.lit(tag).alias("tag"),
         built.cast("map<string,string>").alias("attrs"),
+        F.create_map().cast("map<string,string>").alias("folded"),
         (line if line is not None else F.lit(1)).cast("int").alias("line"),
         F.lit(1).cast("int").alias("column"),
     ]
