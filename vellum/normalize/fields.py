@@ -19,39 +19,118 @@ from ..functions.records import attribute, attribute_key
 from ..operators.merge import json_text
 
 FINDING = "struct<severity:string,code:string,message:string,details:map<string,string>>"
+_CHECK = "struct<text:string,shown:string,rule:string,applies:boolean>"
 
 
 def finding(condition: Column, code: str, message, severity: str = "warning", **details) -> Column:
     text = message if isinstance(message, Column) else F.lit(message)
     pairs = [x for name, value in details.items() for x in (F.lit(name), value if isinstance(value, Column) else F.lit(value))]
     made = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
-    built = F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"), text.alias("message"), made.alias("details"))
-    return F.when(condition, built).cast(FINDING)
+    return F.when(condition, F.struct(F.lit(severity), F.lit(code), text, made).cast(FINDING))
 
 
-def present(findings: list[Column]) -> Column:
-    if not findings:
-        return no_findings()
-    return F.filter(F.array(*findings), lambda f: f.isNotNull())
+def present(findings: list) -> Column:
+    """Built findings, of those whose condition holds; grammar checks share one expression."""
+    built = [f.build() if isinstance(f, Report) else f for f in findings if not isinstance(f, Check)]
+    checks = [f.build() for f in findings if isinstance(f, Check)]
+    parts = []
+    if built:
+        parts.append(F.filter(F.array(*built), lambda f: f.isNotNull()))
+    if checks:
+        parts.append(run_checks(F.array(*checks)))
+    return F.concat(*parts) if len(parts) > 1 else parts[0] if parts else F.array().cast(f"array<{FINDING}>")
+
+
+class Report:
+    """A finding that is built only when findings are asked for."""
+
+    def __init__(self, condition, code, message, severity, details):
+        self.condition, self.rest = condition, (code, message, severity, details)
+
+    def when(self, guard: Column) -> "Report":
+        return Report(guard & self.condition, *self.rest)
+
+    def build(self) -> Column:
+        code, message, severity, details = self.rest
+        return finding(self.condition, code, message, severity, **details)
+
+
+class Check:
+    """A text that must follow the number or flag grammar.
+
+    The rule is data (kind, bounds, wording), so all checks of a record run
+    through one lambda instead of one expression each.
+    """
+
+    def __init__(self, text: Column, shown, rule: tuple, guard: Column | None = None):
+        self.text, self.shown, self.rule, self.guard = text, shown, rule, guard
+
+    def when(self, guard: Column) -> "Check":
+        return Check(self.text, self.shown, self.rule, guard if self.guard is None else guard & self.guard)
+
+    def build(self) -> Column:
+        rule = "|".join("" if x is None else str(x) for x in self.rule)
+        shown = self.shown() if callable(self.shown) else self.shown
+        return F.struct(self.text, shown, F.lit(rule), F.lit(True) if self.guard is None else self.guard).cast(_CHECK)
+
+
+def rule_text(kind: str, low=None, high=None, used: str = "an unavailable value", blank: bool = False) -> tuple:
+    """(kind, low, high, expected, used, wording for blank text)."""
+    if kind in ("flag", "bit"):
+        return (kind, None, None, "0 or 1" if kind == "bit" else "0, 1, false, or true", used, None)
+    noun = "an integer" if kind == "integer" else "a number"
+    expected = noun if kind == "integer" else "a finite number"
+    if low is not None:
+        expected = f"{noun} greater than or equal to {low}" if high is None else f"{noun} from {low} to {high}"
+    blank_text = (expected if high is not None else f"a non-negative {kind}") if blank else None
+    return (kind, low, high, expected, used, blank_text)
+
+
+def run_checks(checks: Column) -> Column:
+    """Findings of an array of checks."""
+    def verdict(c: Column) -> Column:
+        rule = F.split(c["rule"], r"\|")
+        kind, low, high = rule[0], rule[1].try_cast("double"), rule[2].try_cast("double")
+        whole, number = lexemes.source_integer(c["text"]).cast("double"), lexemes.source_number(c["text"])
+        value = F.when(kind == "integer", whole).otherwise(number)
+        in_range = value.isNotNull() & F.coalesce(value >= low, F.lit(True)) & F.coalesce(value <= high, F.lit(True))
+        blank = (rule[5] != "") & (F.trim(c["text"]) == "")
+        numeric = kind.isin("integer", "number")
+        bad = (
+            F.when(numeric, blank | ((c["text"] != "") & ~in_range))
+            .when(kind == "bit", ~c["text"].isin("0", "1"))
+            .otherwise(~c["text"].isin("0", "1", "true", "false"))
+        )
+        message = F.concat(F.lit("Expected "), F.when(blank, rule[5]).otherwise(rule[3]), F.lit(" for "), c["shown"],
+                           F.lit("; used "), rule[4], F.lit(" instead."))
+        code = F.when(numeric, "invalid_number").otherwise("invalid_boolean")
+        details = F.create_map(F.lit("field"), json_text(c["shown"]), F.lit("value"), json_text(c["text"]))
+        return F.when(c["applies"] & F.coalesce(bad, F.lit(False)), F.struct(F.lit("warning"), code, message, details).cast(FINDING))
+
+    return F.filter(F.transform(checks, verdict), lambda f: f.isNotNull())
 
 
 def no_findings() -> Column:
     return F.array().cast(f"array<{FINDING}>")
 
 
+def built(value) -> Column:
+    return value() if callable(value) else value
+
+
 @dataclass
 class Part:
-    """Values by name and the findings that belong to them."""
+    """Values by name and the findings that belong to them; nested lists are built on demand."""
 
-    values: dict[str, Column] = field(default_factory=dict)
-    findings: list[Column] = field(default_factory=list)
-    drifts: list[Column] = field(default_factory=list)
+    values: dict = field(default_factory=dict)
+    findings: list = field(default_factory=list)
+    drifts: list = field(default_factory=list)
 
     def all_findings(self) -> Column:
-        return F.concat(present(self.findings), *self.drifts)
+        return F.concat(present(self.findings), *[built(d) for d in self.drifts])
 
     def struct(self) -> Column:
-        return F.struct(*[value.alias(name) for name, value in self.values.items()])
+        return F.struct(*[built(value).alias(name) for name, value in self.values.items()])
 
 
 class Reader:
@@ -61,46 +140,41 @@ class Reader:
         self.record, self.label, self.part = record, label, Part()
 
     def text_of(self, names) -> Column:
-        names = [names] if isinstance(names, str) else names
+        if isinstance(names, str):
+            return attribute(self.record, names)
         return F.coalesce(*[attribute(self.record, n) for n in names])
 
     def field_name(self, text) -> Column:
-        label = self.label if isinstance(self.label, Column) else F.lit(self.label)
-        return F.concat_ws(" ", F.when(label != "", label), text if isinstance(text, Column) else F.lit(text))
-
-    def _number(self, name, attrs, text, kind, fallback, low, high, title):
-        rejected = lexemes.integer_rejected if kind == "integer" else lexemes.number_rejected
-        expected = f"an {kind}" if kind == "integer" else "a finite number"
-        noun = "an integer" if kind == "integer" else "a number"
-        if low is not None:
-            expected = f"{noun} greater than or equal to {low}" if high is None else f"{noun} from {low} to {high}"
-        shown = self.field_name(title)
+        shown = text if isinstance(text, Column) else F.lit(text)
+        if isinstance(self.label, str):
+            return F.concat(F.lit(self.label + " "), shown) if self.label else shown
+        return F.concat(self.label, F.lit(" "), shown)
+
+    def _check(self, text, title, rule):
+        self.part.findings.append(Check(text, lambda: self.field_name(title), rule))
+
+    def _number(self, name, attrs, kind, fallback, low, high, title, blank):
+        text = self.text_of(attrs)
         used = "an unavailable value" if fallback is None else str(fallback)
-        self.part.findings.append(finding(
-            rejected(text, low, high), "invalid_number",
-            F.concat(F.lit(f"Expected {expected} for "), shown, F.lit(f"; used {used} instead.")),
-            field=json_text(shown), value=json_text(text)))
-        if kind == "integer":
-            value = lexemes.optional_integer(text, low, high) if fallback is None else lexemes.integer_or(text, fallback, low, high)
+        self._check(text, name if title is None else title, rule_text(kind, low, high, used, blank))
+        whole = kind == "integer"
+        if fallback is None:
+            value = (lexemes.optional_integer if whole else lexemes.optional_number)(text, low, high)
         else:
-            value = lexemes.optional_number(text, low, high) if fallback is None else lexemes.number_or(text, fallback, low, high)
+            value = (lexemes.integer_or if whole else lexemes.number_or)(text, fallback, low, high)
         self.part.values[name] = value
         return value
 
-    def integer(self, name, attrs, fallback=None, low=None, high=None, title=None):
-        return self._number(name, attrs, self.text_of(attrs), "integer", fallback, low, high, name if title is None else title)
+    def integer(self, name, attrs, fallback=None, low=None, high=None, title=None, blank=False):
+        return self._number(name, attrs, "integer", fallback, low, high, title, blank)
 
-    def number(self, name, attrs, fallback=None, low=None, high=None, title=None):
-        return self._number(name, attrs, self.text_of(attrs), "number", fallback, low, high, name if title is None else title)
+    def number(self, name, attrs, fallback=None, low=None, high=None, title=None, blank=False):
+        return self._number(name, attrs, "number", fallback, low, high, title, blank)
 
     def flag(self, name, attrs, optional=True, binary=False, title=None):
-        text, shown = self.text_of(attrs), self.field_name(name if title is None else title)
-        rejected = lexemes.bit_rejected(text) if binary else lexemes.flag_rejected(text)
-        expected = "0 or 1" if binary else "0, 1, false, or true"
+        text = self.text_of(attrs)
         used = "an unavailable value" if optional else "false"
-        self.part.findings.append(finding(
-            rejected, "invalid_boolean", F.concat(F.lit(f"Expected {expected} for "), shown, F.lit(f"; used {used} instead.")),
-            field=json_text(shown), value=json_text(text)))
+        self._check(text, name if title is None else title, rule_text("bit" if binary else "flag", used=used))
         value = lexemes.optional_bit(text) if binary else lexemes.optional_flag(text) if optional else lexemes.flag(text)
         self.part.values[name] = value
         return value
@@ -112,9 +186,8 @@ class Reader:
 
     def asset(self, name, attrs):
         text = self.text_of(attrs)
-        self.part.findings.append(finding(
-            F.coalesce(text != "", F.lit(False)) & asset_path_unsafe(text), "unsafe_asset_path",
-            F.concat(F.lit("Unsafe relative path: "), text), severity="error", assetPath=json_text(text)))
+        self.report(F.coalesce(text != "", F.lit(False)) & asset_path_unsafe(text), "unsafe_asset_path",
+                    F.concat(F.lit("Unsafe relative path: "), text), severity="error", assetPath=json_text(text))
         self.part.values[name] = asset_path(text)
         return self.part.values[name]
 
@@ -126,10 +199,15 @@ class Reader:
         self.part.values[f"{name}_name"] = named
         return named
 
-    def report(self, condition, code, message, **details):
-        self.part.findings.append(finding(condition, code, message, **details))
+    def report(self, condition, code, message, severity="warning", **details):
+        self.part.findings.append(Report(condition, code, message, severity, details))
 
     def drift(self, element: str, allowed: set[str], elements: set[str] | None = frozenset()):
+        """Attributes and child elements outside the allow-list."""
+        self.part.drifts.append(lambda: drift(self.record, element, set(allowed), elements))
+
+
+def drift(self, element: str, allowed: set[str], elements: set[str] | None = frozenset()):
         """Attributes and child elements outside the allow-list."""
         self.part.drifts.append(drift(self.record, element, set(allowed), elements))
 
@@ -172,19 +250,28 @@ def unknown_children(record: Column, elements: set[str], partial: set[str] = fro
     return F.transform(F.array_sort(strange), about)
 
 
-def each(children: Column, read: Callable[[Column, Column], Part]) -> tuple[Column, Column]:
-    """(array of structs, findings) for a list of child records."""
-    values = F.transform(children, lambda c, i: read(c, i).struct())
-    findings = F.flatten(F.transform(children, lambda c, i: read(c, i).all_findings()))
+def each(children: Column, read: Callable[[Column, Column], Part]) -> tuple[Callable, Callable]:
+    """(array of structs, findings) for a list of child records, each built on demand."""
+    def values() -> Column:
+        return F.transform(children, lambda c, i: read(c, i).struct())
+
+    def findings() -> Column:
+        return F.flatten(F.transform(children, lambda c, i: read(c, i).all_findings()))
+
     return values, findings
 
 
+def gather(*parts) -> Callable:
+    """Findings of several lists, built on demand."""
+    return lambda: F.concat(*[built(p) for p in parts])
+
+
 def nth(index: Column) -> Column:
     """Declarations count from one in messages."""
     return (index + 1).cast("string")
 
 
-def entity(records: DataFrame, kind: str, name: Column, description: Column, values: dict[str, Column], findings: Column) -> DataFrame:
+def entity(records: DataFrame, kind: str, name: Column, description: Column, values: dict, findings) -> DataFrame:
     """The common columns of an entity next to its own fields.
 
     ``records`` has ``record, source_id, file, precedence``.
@@ -197,7 +284,7 @@ def entity(records: DataFrame, kind: str, name: Column, description: Column, val
         F.coalesce(description, F.lit("")).alias("description"), "precedence", "source_id", "file", record["line"].alias("line"),
         record["column"].alias("column"), F.col("_name").alias("original_name"),
         F.when(attribute(record, "id") != "", attribute(record, "id")).alias("original_id"),
-        *[value.alias(column) for column, value in values.items()], findings.alias("findings"),
+        *[built(value).alias(column) for column, value in values.items()], built(findings).alias("findings"),
     )
 
 
@@ -219,4 +306,3 @@ def drafts(entities: DataFrame) -> DataFrame:
     """Findings of entities as diagnostic drafts."""
     rows = entities.select("id", "source_id", "file", "line", "column", F.explode("findings").alias("f"))
     return rows.select("f.severity", "f.code", "f.message", "source_id", "file", "line", "column", F.col("id").alias("entity_id"), "f.details")
-
