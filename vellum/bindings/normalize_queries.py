@@ -44,7 +44,7 @@ VIEW = "(SELECT o_orderkey AS row_id, o_custkey AS cust, lower(o_orderpriority)
 
 
 @query("N04_armour", f"""SELECT row_id, CASE WHEN row_id % 3 = 0 THEN 'ring' END AS slot, {SQL_NUM} AS level, CASE WHEN row_id % 2 = 0 THEN 2 END AS randoms,
-  CAST(CASE WHEN row_id % 3 = 0 THEN 0 ELSE 1 END + CASE WHEN row_id % 4 = 0 THEN 0 ELSE 1 END AS INT) AS finding_count FROM {VIEW}""")
+  CAST(CASE WHEN row_id % 3 = 0 THEN 0 ELSE 1 END + CASE WHEN row_id % 4 = 0 THEN 0 ELSE 1 END AS INT) AS finding_count FROM {VIEW}""", big="randoms")
 def armour(spark, sf):
     root = node("item", {"name": "'a'"}, node("armour", {"type": "CASE WHEN n % 3 = 0 THEN ' Ring' END", "level": NUM, "randoms": "CASE WHEN n % 2 = 0 THEN '2' END"}))
     return listed(spark, sf, root, "armour", items.armour, "slot", "level", "randoms")
@@ -71,7 +71,7 @@ def macguffin(spark, sf):
 
 @query("N07_toolkit", f"""SELECT row_id, word AS tag, CASE WHEN row_id % 2 = 0 THEN 1 END AS num_slots, CASE WHEN row_id % 3 = 0 THEN 'art/m.png' END AS missing_path,
   CAST(CASE WHEN row_id % 4 = 0 THEN 2 ELSE 1 END AS INT) AS slots, CAST(CASE WHEN row_id % 2 = 0 THEN 0 ELSE 1 END + CASE WHEN row_id % 3 = 0 THEN 1 ELSE 0 END
-    + 1 + CASE WHEN row_id % 4 = 0 THEN 1 ELSE 0 END AS INT) AS finding_count FROM {VIEW}""")
+    + 1 + CASE WHEN row_id % 4 = 0 THEN 1 ELSE 0 END AS INT) AS finding_count FROM {VIEW}""", big="num_slots")
 def toolkit(spark, sf):
     """Slot 1 is incomplete always; slot 2 is whole where it is given, and beyond a slot count of one."""
     second = {f"slot2_{k}": "CASE WHEN n % 4 = 0 THEN '5' END" for k in items.CORNERS}
@@ -91,7 +91,7 @@ def recoveries(spark, sf):
 
 
 @query("N09_charge_ranges", f"""SELECT row_id, CASE WHEN cust <= 500 THEN cust END AS minimum, CASE WHEN cust <= 500 THEN 500 END AS maximum,
-  CAST(CASE WHEN cust > 500 THEN 1 ELSE 0 END AS INT) AS finding_count FROM {VIEW}""")
+  CAST(CASE WHEN cust > 500 THEN 1 ELSE 0 END AS INT) AS finding_count FROM {VIEW}""", big="maximum")
 def charge_ranges(spark, sf):
     root = node("item", {}, node("wand", {"mincharge": "cast(o_custkey AS string)", "maxcharge": "'500'", "spell": "'Zap'"}))
     return listed(spark, sf, root, "wand", items.charge_range, "minimum", "maximum")
@@ -119,7 +119,7 @@ ITEM_TRIGGERS = node(
 
 
 @query("N13_spell_triggers", f"""SELECT row_id, 'melee-target' AS kind, 'burn ' || cust AS spell_key, CASE WHEN row_id % 120 <= 100 THEN row_id % 120 ELSE 0 END AS chance, 0 AS delay, 0 AS duration, FALSE AS unresistable FROM {VIEW} WHERE row_id % 2 = 0
-UNION ALL SELECT row_id, CASE row_id % 3 WHEN 0 THEN 'trigger-once' ELSE 'trigger-repeat' END, 'wave', NULL, CASE WHEN row_id % 3 = 0 THEN 4 ELSE 0 END, CASE WHEN row_id % 3 = 1 THEN 4 ELSE 0 END, TRUE FROM {VIEW} WHERE row_id % 3 <> 2""")
+UNION ALL SELECT row_id, CASE row_id % 3 WHEN 0 THEN 'trigger-once' ELSE 'trigger-repeat' END, 'wave', NULL, CASE WHEN row_id % 3 = 0 THEN 4 ELSE 0 END, CASE WHEN row_id % 3 = 1 THEN 4 ELSE 0 END, TRUE FROM {VIEW} WHERE row_id % 3 <> 2""", big="delay duration")
 def spell_triggers(spark, sf):
     got = rows(spark, sf, ITEM_TRIGGERS).select("row_id", F.explode(modifiers.spell_triggers(F.col("record"), "ability")).alias("t"))
     return got.select("row_id", "t.kind", "t.spell_key", "t.chance", "t.delay", "t.duration", "t.unresistable")
@@ -154,7 +154,7 @@ RECIPE = node("craft", {"name": "CASE WHEN n % 2 = 0 THEN 'Brew ' || o_custkey E
 
 
 @query("N17_recipes", f"""SELECT CASE WHEN row_id % 2 = 0 THEN 'recipe:brew ' || cust ELSE 'recipe:part ' || cust || ' recipe' END AS id, word AS tool, row_id % 3 = 0 AS hidden,
-  greatest(row_id % 6, 2) AS skill_level, CASE WHEN row_id % 4 = 0 THEN 1 ELSE 3 END AS amount, CAST(CASE WHEN row_id % 4 = 0 THEN 1 ELSE 0 END AS INT) AS finding_count FROM {VIEW}""")
+  greatest(row_id % 6, 2) AS skill_level, CASE WHEN row_id % 4 = 0 THEN 1 ELSE 3 END AS amount, CAST(CASE WHEN row_id % 4 = 0 THEN 1 ELSE 0 END AS INT) AS finding_count FROM {VIEW}""", big="amount")
 def recipes(spark, sf):
     got = crafts.parse_recipes(rows(spark, sf, RECIPE))
     return got.select("id", "tool", "hidden", "skill_level", F.get("inputs", F.lit(0))["amount"].alias("amount"), F.size("findings").alias("finding_count"))
@@ -216,7 +216,7 @@ SPELL = node(
 
 
 @query("N22_spells", f"""SELECT 'spell:cast ' || row_id AS id, word AS description, CASE WHEN row_id % 2 = 0 THEN 'template' ELSE 'self' END AS spell_type, {SQL_NUM} AS source_radius,
-  CASE WHEN row_id % 3 = 0 THEN TRUE END AS melee_attack, CASE WHEN row_id % 2 = 0 THEN 't' || cust END AS template_key, CASE WHEN row_id % 5 = 0 THEN 2 END AS mine_radius FROM {VIEW}""")
+  CASE WHEN row_id % 3 = 0 THEN TRUE END AS melee_attack, CASE WHEN row_id % 2 = 0 THEN 't' || cust END AS template_key, CASE WHEN row_id % 5 = 0 THEN 2 END AS mine_radius FROM {VIEW}""", big="mine_radius")
 def spell_roots(spark, sf):
     got = spells.parse_spells(rows(spark, sf, SPELL))
     return got.select("id", "description", "spell_type", "source_radius", "melee_attack", "template_key", F.col("mine.radius").alias("mine_radius"))
@@ -255,10 +255,10 @@ def _buff(spark, sf):
     return rows(spark, sf, BUFF).select("row_id", F.get(values(), F.lit(0)).alias("b"), findings().alias("findings"))
 
 
-query("N26_buffs", f"""SELECT row_id, {SQL_NUM} AS duration, 1 AS timer_mode, TRUE AS affects_self, word AS tag, 'heal' AS effect_type, '2' AS modifier_key FROM {VIEW}""")(
+query("N26_buffs", f"""SELECT row_id, {SQL_NUM} AS duration, 1 AS timer_mode, TRUE AS affects_self, word AS tag, 'heal' AS effect_type, '2' AS modifier_key FROM {VIEW}""", big="timer_mode")(
     lambda spark, sf: _buff(spark, sf).select("row_id", "b.duration", "b.timer_mode", "b.affects_self", F.get("b.source_flags", F.lit(0))["value"].alias("tag"),
                                               F.get("b.effects", F.lit(0))["type"].alias("effect_type"), F.get("b.modifiers", F.lit(0))["source_key"].alias("modifier_key")))
-query("N27_buff_declarations", f"""SELECT row_id, 5 AS frame_rate, CASE WHEN row_id % 5 <> 0 THEN 'mob ' || cust END AS monster_key, 0.5::DOUBLE AS factor, 2.0::DOUBLE AS sight FROM {VIEW}""")(
+query("N27_buff_declarations", f"""SELECT row_id, 5 AS frame_rate, CASE WHEN row_id % 5 <> 0 THEN 'mob ' || cust END AS monster_key, 0.5::DOUBLE AS factor, 2.0::DOUBLE AS sight FROM {VIEW}""", big="frame_rate")(
     lambda spark, sf: _buff(spark, sf).select("row_id", F.get("b.halos", F.lit(0))["frame_rate"].alias("frame_rate"), F.get("b.polymorphs", F.lit(0))["monster_key"].alias("monster_key"),
                                               F.get("b.paybacks", F.lit(0))["factor"].alias("factor"), F.get("b.sight_modifiers", F.lit(0))["amount"].alias("sight")))
 query("N27_buff_findings", f"""SELECT code, count(*) AS n FROM (SELECT unnest(['missing_spell_buff_payback_secondary_scale', 'missing_spell_buff_hook_target', 'invalid_number']) AS code FROM {VIEW}
@@ -268,7 +268,7 @@ query("N27_buff_findings", f"""SELECT code, count(*) AS n FROM (SELECT unnest(['
 query("N28_ai_hints", f"SELECT row_id, CASE WHEN row_id % 2 = 0 THEN word END AS hint, CAST(row_id % 2 AS INT) AS finding_count FROM {VIEW}")(
     lambda spark, sf: listed(spark, sf, node("spell", {}, node("ai", {"hint": "CASE WHEN n % 2 = 0 THEN lower(o_orderpriority) ELSE ' ' END"})), "ai",
                              spells.ai_hint(F.lit("Spell"), {"scope": '"spell"'}), "hint"))
-query("N29_event_hooks", f"SELECT row_id, 'target-hit' AS kind, 'zap' AS spell_key, 30 AS chance, '1' AS after FROM {VIEW}")(
+query("N29_event_hooks", f"SELECT row_id, 'target-hit' AS kind, 'zap' AS spell_key, 30 AS chance, '1' AS after FROM {VIEW}", big="chance")(
     lambda spark, sf: _buff(spark, sf).select("row_id", F.explode("b.event_hooks").alias("h")).select("row_id", "h.kind", "h.spell_key", "h.chance", "h.after"))
 
 EFFECTS = node(
@@ -297,17 +297,17 @@ UNION ALL SELECT row_id, 'removebuffbyname', NULL, NULL, 'ward' FROM {VIEW}""")(
     lambda spark, sf: _effects(spark, sf).select("row_id", F.explode("effects").alias("e")).filter("e.type in ('summon', 'spawn', 'removebuffbyname')").select(
         "row_id", "e.type", "e.targets.item_key", "e.targets.monster_key", "e.targets.removed_spell_key"))
 query("N32_effect_damage", f"""SELECT row_id, 'crushing' AS source_key, CAST(cust AS DOUBLE) AS amount, CAST(NULL AS DOUBLE) AS factor, 2 AS primary_stat FROM {VIEW} UNION ALL SELECT row_id, 'toxic', NULL, 0.5, 2 FROM {VIEW}
-UNION ALL SELECT row_id, 'voltaic', NULL, NULL, 2 FROM {VIEW} WHERE row_id % 5 = 0""")(
+UNION ALL SELECT row_id, 'voltaic', NULL, NULL, 2 FROM {VIEW} WHERE row_id % 5 = 0""", big="primary_stat")(
     lambda spark, sf: _effect(spark, sf, "damage").select("row_id", F.explode("e.damage").alias("d"), F.col("e.scaling.primary_stat").alias("primary_stat")).select(
         "row_id", "d.source_key", "d.amount", "d.factor", "primary_stat"))
 query("N33_effect_presentation", f"SELECT row_id, 'damage' AS type, 's.png' AS sprite_path, CAST(NULL AS VARCHAR) AS created, CAST(NULL AS VARCHAR) AS buff_tag FROM {VIEW} UNION ALL SELECT row_id, 'create', NULL, 'o.png', 't' FROM {VIEW}")(
     lambda spark, sf: _effects(spark, sf).select("row_id", F.explode("effects").alias("e")).filter("e.type in ('damage', 'create')").select(
         "row_id", "e.type", "e.presentation.sprite_path", F.col("e.created_object_sprite").alias("created"), "e.buff_tag"))
-query("N34_effect_controls", f"SELECT row_id, CASE WHEN row_id % 3 <> 0 THEN 40 END AS chance_percent, 'mob' AS taxonomy, CAST(NULL AS BOOLEAN) AS midas FROM {VIEW}")(
+query("N34_effect_controls", f"SELECT row_id, CASE WHEN row_id % 3 <> 0 THEN 40 END AS chance_percent, 'mob' AS taxonomy, CAST(NULL AS BOOLEAN) AS midas FROM {VIEW}", big="chance_percent")(
     lambda spark, sf: _effect(spark, sf, "trigger").select("row_id", "e.controls.chance_percent", "e.controls.taxonomy", "e.controls.midas"))
 query("N35_effect_conditions", f"SELECT row_id, TRUE AS required_enabled, CASE WHEN row_id % 2 = 0 THEN 'ward ' || cust END AS required_spell_key, CAST(NULL AS VARCHAR) AS forbidden_spell_key FROM {VIEW}")(
     lambda spark, sf: _effect(spark, sf, "trigger").select("row_id", "e.conditions.required_enabled", "e.conditions.required_spell_key", "e.conditions.forbidden_spell_key"))
-query("N36_effect_options", f"SELECT row_id, 0 AS option_index, 'egg' AS target_key, CASE WHEN row_id % 2 = 0 THEN 2 END AS amount FROM {VIEW} UNION ALL SELECT row_id, 1, NULL, NULL FROM {VIEW}")(
+query("N36_effect_options", f"SELECT row_id, 0 AS option_index, 'egg' AS target_key, CASE WHEN row_id % 2 = 0 THEN 2 END AS amount FROM {VIEW} UNION ALL SELECT row_id, 1, NULL, NULL FROM {VIEW}", big="amount")(
     lambda spark, sf: _effect(spark, sf, "spawnitemfromlist").select("row_id", F.posexplode("e.options").alias("option_index", "o")).select("row_id", "option_index", "o.target_key", "o.amount"))
 query("N36_effect_findings", f"""SELECT code, count(*) AS n FROM (SELECT unnest(['missing_spell_effect_option_target', 'unknown_attribute']) AS code FROM {VIEW}
   UNION ALL SELECT 'incomplete_spell_effect_buff_condition' FROM {VIEW} WHERE row_id % 2 = 1 UNION ALL SELECT 'invalid_number' FROM {VIEW} WHERE row_id % 3 = 0 UNION ALL SELECT 'invalid_number' FROM {VIEW} WHERE row_id % 2 = 1
@@ -323,7 +323,7 @@ MONSTER = node(
 
 @query("N37_monsters", f"""SELECT 'monster:mob ' || row_id AS id, word AS taxonomy, CASE WHEN row_id % 2 = 0 THEN row_id % 12 ELSE 0 END AS level, CASE WHEN row_id % 2 = 0 THEN row_id % 12 + 1 END AS depth, row_id % 3 = 0 AS special, 2 AS fighter, 0 AS wizard, cust AS experience_value,
   CASE WHEN row_id % 4 = 0 THEN 'mob  ' || cust END AS inherits_name, CASE WHEN row_id % 4 = 0 THEN 'mob ' || cust END AS inherits_key, CAST(floor(100.0 / (1 + row_id % 7) + 0.5) AS BIGINT) AS on_hit_chance, 'on-hit,cast-when-aware,dash-miss' AS trigger_kinds,
-  CASE WHEN row_id % 150 <= 100 THEN row_id % 150 ELSE 100 END AS drop_chance, 'P.pal' AS palette_name, 40 AS palette_tint FROM {VIEW}""")
+  CASE WHEN row_id % 150 <= 100 THEN row_id % 150 ELSE 100 END AS drop_chance, 'P.pal' AS palette_name, 40 AS palette_tint FROM {VIEW}""", big="fighter wizard palette_tint")
 def monster_roots(spark, sf):
     got = monsters.parse_monsters(rows(spark, sf, MONSTER, "CASE WHEN n % 4 = 0 THEN 'mob  ' || o_custkey END"))
     return got.select("id", "taxonomy", "level", "depth", "special", "fighter", "wizard", "experience_value", "inherits_name", "inherits_key",

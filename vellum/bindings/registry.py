@@ -7,13 +7,17 @@ import re
 QUERIES, ORACLES, VIEWS = {}, {}, {}
 
 
-def query(name: str, sql: str | None = None):
-    """Register a query; ``sql`` may name views of ``VIEWS``, which are put in front as needed."""
+def query(name: str, sql: str | None = None, big: str = ""):
+    """Register a query; ``sql`` may name views of ``VIEWS``, which are put in front as needed.
+
+    ``big`` lists columns that the SQL states as small literals and Spark as bigint.
+    """
 
     def keep(fn):
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = with_views(sql)
+            casts = ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in big.split())
+            ORACLES[name] = with_views(f"SELECT * REPLACE ({casts}) FROM ({sql})" if big else sql)
         return fn
 
     return keep

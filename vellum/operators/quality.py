@@ -166,7 +166,7 @@ def manifest_issues(sources: DataFrame, assets: DataFrame, patches: DataFrame, h
     lacking = previous.isNotNull() & current.isNull()
     problem = F.when(lacking, "previous registry without a current one").when(previous == current, "registries are one file")
     headers = headers.withColumn("rule", problem).filter("rule is not null").select(
-        "rule", F.col("manifest").alias("subject"), F.lit(1).cast("bigint").alias("n"))
+        "rule", F.col("manifest").cast("string").alias("subject"), F.lit(1).cast("bigint").alias("n"))
     return found.unionByName(headers)
 
 
