@@ -87,7 +87,7 @@ FILTERS = [q for q in QUERIES if not q.query or q.kinds]
 query("P01_search_filter", search_sql(FILTERS, "query_id, id"))(
     lambda spark, sf: search.matches(documents(spark, sf), FILTERS).select("query_id", "id"))
 query("P02_token_containment", "SELECT id FROM documents_v WHERE contains(text, 'widget') AND contains(text, 'econ')")(
-    lambda spark, sf: documents(spark, sf).filter(search.contains_tokens(F.col("text"), F.lit("widget econ"))).select("id"))
+    lambda spark, sf: documents(spark, sf).filter(search.contains_tokens(F.col("text"), "widget econ")).select("id"))
 query("P04_crafting_scope", "SELECT id FROM documents_v WHERE kind IN ('recipe', 'encrustment')")(
     lambda spark, sf: search.matches(documents(spark, sf), search.SAVED_VIEWS[:1]).select("id"))
 query("P05_saved_views", search_sql(search.SAVED_VIEWS, "query_id, id"))(
@@ -137,7 +137,7 @@ SELECT id, arg_min(distance, d) AS distance, arg_min(gap, d) AS gap, arg_min(is_
 def closest_candidate(spark, sf):
     docs = search.with_search_name(documents(spark, sf)).withColumn(
         "search_aliases", F.transform("aliases", lambda a: F.regexp_replace(F.lower(a), "[-_]", " ")))
-    near = docs.select("id", search.closest(search.candidate_names(), F.lit("economy8")).alias("n")).filter("n is not null")
+    near = docs.select("id", search.closest(search.candidate_names(), "economy8").alias("n")).filter("n is not null")
     return near.select("id", "n.distance", "n.gap", F.col("n.alias").alias("is_alias"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -38,6 +39,11 @@ def _only_where_needed(text: Column, convert) -> Column:
     return F.when(exotic, convert(F.when(exotic, text))).otherwise(text)
 
 
+def fold_text(text: str) -> str:
+    """The canonical form of one text on the driver, for literals such as search queries."""
+    return " ".join(re.sub(BLANK, " ", unicodedata.normalize("NFKC", text)).split(" ")).strip().lower()
+
+
 def nfkc(text: Column) -> Column:
     return _only_where_needed(text, _normal_form("NFKC"))
 

@@ -33,12 +33,14 @@ def comparison_rows(slots: DataFrame, values: DataFrame) -> DataFrame:
     ``values`` has ``id, key, label, position, amount``. A field that an item
     lacks reads "Not declared"; a field with several values lists them in order.
     """
-    cells = slots.join(values, "id").groupBy("comparison_id", "key", "slot").agg(
+    compared = values.join(slots.select("id").distinct(), "id", "left_semi")
+    of_item = compared.groupBy("id", "key").agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("position", "amount"))), lambda v: signed_value(v["amount"])), ", "
         ).alias("cell"),
         F.max_by("label", "position").alias("label"),
     )
+    cells = slots.join(of_item, "id")
     wide = cells.groupBy("comparison_id", "key").agg(
         F.max_by("label", "slot").alias("label"),
         *[F.max(F.when(F.col("slot") == s, F.col("cell"))).alias(f"cell_{s}") for s in range(1, MAX_COMPARED + 1)],

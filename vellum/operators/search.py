@@ -1,18 +1,19 @@
 """Ranked search over documents: derivation, filters, scores, suggestions, facets.
 
-Queries arrive as a short list from the caller and become part of the plan as an
-array literal, so one pass over the documents answers all of them: no product of
-two tables is formed, and only matching (query, document) rows leave the scan.
+Queries arrive as a short list from the caller and become conditions of the plan,
+so one pass over the documents answers all of them: no product of two tables is
+formed, and only matching (query, document) rows leave the scan.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.keys import (
-    code_unit_order, nfkc, normalize_alias, normalize_query,
+    code_unit_order, fold_text, nfkc, normalize_alias, normalize_query,
 )
 from ..functions.labels import display_title, facet_label, item_category_label, stat_search_key
 from ..functions.lexemes import SAFE_INTEGER, distance_limit
@@ -58,55 +59,38 @@ SAVED_VIEWS = [
 ]
 
 
-def _queries(queries: list[SearchQuery]) -> Column:
-    def texts(values):
-        return F.array(*[F.lit(v) for v in values]).cast("array<string>")
-
-    return F.array(*[
-        F.struct(
-            F.lit(q.id).alias("id"),
-            normalize_query(F.lit(q.query), ascii_text=q.query.isascii()).alias("text"),
-            texts(q.kinds).alias("kinds"), texts(q.source_ids).alias("sources"),
-            F.lit(q.category or None).cast("string").alias("category"),
-            F.lit(q.stat_key or None).cast("string").alias("stat"),
-            F.lit(q.max_skill).cast("bigint").alias("skill"),
-            F.lit(q.limit).cast("bigint").alias("limit"),
-        )
-        for q in queries
-    ])
-
-
-def passes_filter(q: Column, has_stats: bool = True) -> Column:
+def passes_filter(q: SearchQuery) -> Column:
     """Every filter the query sets holds; an empty list or text sets none."""
-    checks = [
-        (F.size(q["kinds"]) == 0) | F.array_contains(q["kinds"], F.col("kind")),
-        (F.size(q["sources"]) == 0) | F.array_contains(q["sources"], F.col("source_id")),
-        q["category"].isNull() | F.coalesce(F.col("category") == q["category"], F.lit(False)),
-        q["skill"].isNull() | F.coalesce(F.col("skill_level") <= q["skill"], F.lit(False)),
-    ]
-    if has_stats:
-        checks.append(q["stat"].isNull() | F.coalesce(F.array_contains("stat_keys", q["stat"]), F.lit(False)))
-    result = checks[0]
-    for check in checks[1:]:
-        result = result & check
-    return result
-
-
-def contains_tokens(text: Column, query: Column) -> Column:
-    return (query == "") | F.forall(F.split(query, " "), lambda t: F.contains(text, t))
-
-
-def text_score(name: Column, query: Column) -> Column:
+    checks = []
+    if q.kinds:
+        checks.append(F.col("kind").isin(*q.kinds))
+    if q.source_ids:
+        checks.append(F.col("source_id").isin(*q.source_ids))
+    if q.category:
+        checks.append(F.col("category") == q.category)
+    if q.stat_key:
+        checks.append(F.array_contains("stat_keys", q.stat_key))
+    if q.max_skill is not None:
+        checks.append(F.col("skill_level") <= q.max_skill)
+    return reduce(lambda left, right: left & right, checks, F.lit(True))
+
+
+def contains_tokens(text: Column, query: str) -> Column:
+    """Every word of the (folded) query occurs in the text."""
+    tokens = [F.contains(text, F.lit(t)) for t in query.split(" ") if t]
+    return reduce(lambda left, right: left & right, tokens, F.lit(True))
+
+
+def text_score(name: Column, query: str) -> Column:
     """Score of a matching document; ``name`` is already normalised."""
+    if not query:
+        return F.lit(0)
     whole = (
-        F.when(name == query, EXACT).when(F.startswith(name, query), PREFIX).when(F.contains(name, query), INSIDE)
+        F.when(name == query, EXACT).when(F.startswith(name, F.lit(query)), PREFIX).when(F.contains(name, F.lit(query)), INSIDE)
         .otherwise(0)
     )
-    tokens = F.aggregate(
-        F.split(query, " "), F.lit(0),
-        lambda n, t: n + F.when(F.contains(name, t), TOKEN_IN_NAME).otherwise(TOKEN_ELSEWHERE),
-    )
-    return F.when(query == "", 0).otherwise(whole + tokens)
+    tokens = [F.when(F.contains(name, F.lit(t)), TOKEN_IN_NAME).otherwise(TOKEN_ELSEWHERE) for t in query.split(" ")]
+    return reduce(lambda left, right: left + right, tokens, whole)
 
 
 def result_order() -> list[Column]:
@@ -118,14 +102,21 @@ def with_search_name(documents: DataFrame) -> DataFrame:
 
 
 def matches(documents: DataFrame, queries: list[SearchQuery]) -> DataFrame:
-    """(query_id, document, score) for every match of every query."""
+    """(query_id, document, score) for every match of every query.
+
+    Each query is a plain compiled condition over the document's columns; the
+    scan tests all of them and hands on matching rows only.
+    """
     named = documents if "search_name" in documents.columns else with_search_name(documents)
-    hits = F.filter(_queries(queries), lambda q: passes_filter(q) & contains_tokens(F.col("text"), q["text"]))
-    exploded = named.select("*", F.explode(hits).alias("q"))
-    return exploded.select(
-        F.col("q.id").alias("query_id"), "id", "kind", "name", "category",
-        text_score(F.col("search_name"), F.col("q.text")).cast("bigint").alias("score"), F.col("q.limit").alias("limit"),
-    )
+    hits = []
+    for q in queries:
+        text = fold_text(q.query)
+        found = F.struct(F.lit(q.id).alias("id"), text_score(F.col("search_name"), text).cast("bigint").alias("score"),
+                         F.lit(q.limit).cast("bigint").alias("limit"))
+        hits.append(F.when(passes_filter(q) & contains_tokens(F.col("text"), text), found))
+    exploded = named.select("id", "kind", "name", "category", F.explode(F.array_compact(F.array(*hits))).alias("q"))
+    return exploded.select(F.col("q.id").alias("query_id"), "id", "kind", "name", "category", F.col("q.score").alias("score"),
+                           F.col("q.limit").alias("limit"))
 
 
 def search(documents: DataFrame, queries: list[SearchQuery]) -> DataFrame:
@@ -138,7 +129,8 @@ def search(documents: DataFrame, queries: list[SearchQuery]) -> DataFrame:
     limited = [q for q in queries if q.limit is not None]
     found = None
     if unlimited:
-        found = matches(documents, unlimited).drop("limit")
+        # The matches are shuffled before the sort, which samples its input: the scan is not repeated for it.
+        found = matches(documents, unlimited).drop("limit").repartition("query_id", "id")
     if limited:
         top = max(q.limit for q in limited)
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*result_order()))
@@ -157,14 +149,14 @@ def candidate_names() -> Column:
     return F.concat(own, spare)
 
 
-def closest(candidates: Column, query: Column) -> Column:
+def closest(candidates: Column, query: str) -> Column:
     """Best (distance, length difference, alias flag) within the edit limit, or null."""
-    width = F.length(query)
+    width = len(query)
 
     def measured(c: Column) -> Column:
         gap = F.abs(F.length(c["value"]) - width)
-        limit = distance_limit(F.greatest(width, F.length(c["value"])))
-        edits = F.when(gap <= limit, F.call_function("levenshtein", c["value"], query, limit))
+        limit = distance_limit(F.greatest(F.lit(width), F.length(c["value"])))
+        edits = F.when(gap <= limit, F.call_function("levenshtein", c["value"], F.lit(query), limit))
         return F.struct(
             F.when(edits >= 0, edits).alias("distance"), gap.alias("gap"), c["alias"].alias("alias")
         )
@@ -179,15 +171,14 @@ def suggest(documents: DataFrame, queries: list[SearchQuery]) -> DataFrame:
         "search_aliases", F.transform("aliases", lambda a: normalize_alias(a, ascii_text=True))
     )
     answered = matches(named, queries).select("query_id").distinct()
-    eligible = F.filter(
-        _queries(queries),
-        lambda q: F.length(q["text"]).between(SHORTEST_SUGGESTED, LONGEST_SUGGESTED) & passes_filter(q),
-    )
-    measured = F.filter(
-        F.transform(eligible, lambda q: F.struct(q["id"].alias("id"), q["limit"].alias("limit"),
-                                                 closest(candidate_names(), q["text"]).alias("near"))),
-        lambda m: m["near"].isNotNull(),
-    )
+    measured = []
+    for q in queries:
+        text = fold_text(q.query)
+        if SHORTEST_SUGGESTED <= len(text) <= LONGEST_SUGGESTED:
+            near = F.when(passes_filter(q), closest(candidate_names(), text))
+            found = F.struct(F.lit(q.id).alias("id"), F.lit(q.limit).cast("bigint").alias("limit"), near.alias("near"))
+            measured.append(F.when(near.isNotNull(), found))
+    measured = F.array_compact(F.array(*measured))
     near = named.select("id", "kind", "name", "search_name", F.explode(measured).alias("m")).select(
         F.col("m.id").alias("query_id"), F.col("m.limit").alias("limit"), "id", "kind", "name", "search_name",
         F.col("m.near.distance").alias("distance"), F.col("m.near.gap").alias("gap"), F.col("m.near.alias").alias("alias"),
