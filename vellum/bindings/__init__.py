@@ -4,4 +4,4 @@ from . import registry
 from . import link_queries, merge_queries, normalize_queries, plan_queries, scalar_queries, search_queries, source_queries  # noqa: F401  (each module registers its queries)
 
 QUERIES = registry.QUERIES
-ORACLES = registry.ORACLES
+ORACLES = registry.oracles()

@@ -428,3 +428,22 @@ def toolkit_coverage(spark, sf):
         F.array(F.lit(1), F.lit(2), F.lit(3), F.expr("CASE WHEN o_orderkey % 3 = 0 THEN 4 END")),
         F.array(control(F.lit("p"), F.lit(None).cast("int")), control(none, F.expr("CASE WHEN o_orderkey % 5 <> 0 THEN 1 END"))),
     ).alias("c")).select("id", "c.*")
+
+
+@query("J08_link_monsters", """
+SELECT c.part_no AS monster, coalesce(i.icon, '') AS icon, x.path, CASE WHEN x.path = 'trigger' THEN CASE WHEN s.s_suppkey IS NOT NULL THEN 'spell:' || s.s_suppkey END ELSE k.target_id END AS target_id
+FROM parents_v c JOIN (SELECT start AS part_no, arg_min(icon, far) FILTER (icon IS NOT NULL) AS icon FROM above_v GROUP BY start) i USING (part_no)
+CROSS JOIN (SELECT unnest(['trigger', 'drop']) AS path) x LEFT JOIN supplier s ON s.s_suppkey = c.part_no % 150
+LEFT JOIN edge_aliases_v k ON k.alias = 'part ' || c.part_no""")
+def link_monsters(spark, sf):
+    """Inheritance first, then triggers to spells and named drops to items."""
+    from .plan_queries import _inherited
+
+    resolved, _ = _inherited(spark, sf)
+    edge = lambda path, kind, key: F.struct(F.lit(path).alias("path"), F.lit(kind).alias("target_kind"), key.alias("key"))
+    edges = resolved.select(F.col("key").alias("monster"), F.coalesce("icon", F.lit("")).alias("icon"), F.explode(F.array(
+        edge("trigger", "spell", F.concat(F.lit("supplier "), F.col("key") % 150)), edge("drop", "item", F.concat(F.lit("part "), F.col("key"))))).alias("e")).select(
+        "monster", "icon", "e.path", "e.target_kind", "e.key")
+    spells_named = table(spark, sf, "supplier").select(F.lit("spell").alias("kind"), F.concat(F.lit("supplier "), "s_suppkey").alias("alias"),
+                                                      F.concat(F.lit("spell:"), "s_suppkey").alias("target_id"))
+    return linking.link(edges, item_aliases(spark, sf).unionByName(spells_named)).select("monster", "icon", "path", "target_id")

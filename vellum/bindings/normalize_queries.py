@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.records import MAX_DEPTH, attribute, children, element, first_child
-from ..normalize import crafts, fields, items, modifiers, monsters, spells
+from ..normalize import crafts, fields, historical, items, modifiers, monsters, spells
 from ..operators import quality
 from . import views  # noqa: F401
 from .registry import query, table
@@ -369,3 +369,33 @@ def column_rules(spark, sf):
     got = crafts.parse_recipes(rows(spark, sf, RECIPE)).withColumn("n", F.regexp_extract("id", "([0-9]+)", 1))
     broken = F.transform("outputs", lambda o: F.when(F.get("inputs", F.lit(0))["amount"] == 1, o.withField("amount", F.lit(0).cast("bigint"))).otherwise(o))
     return quality.rule_violations(got.withColumn("outputs", broken), quality.rules_for("recipe"))
+
+
+# ---- historical readings -------------------------------------------------------------
+
+OLD_SPELL = node(
+    "spell", {"name": "'Old ' || n", "downtime": "CASE WHEN n % 2 = 0 THEN '5' END", "attack": "CASE n % 3 WHEN 0 THEN '0' WHEN 1 THEN '1' END", "type": "CASE WHEN n % 5 = 0 THEN 'template' END"},
+    node("effect", {"type": "'heal'", "amount": "cast(o_custkey AS string) || 'x'", "percentage": "CASE WHEN n % 2 = 0 THEN '100' ELSE '40' END"}),
+    node("effect", {"type": "'paralyze'", "amount": "'3'", "turns": "'2'"}), node("buff", {"time": "'9'"}, node("effect", {"type": "'dot'", "amount": "'4'"}), node("mute", when="n % 7 = 0")),
+    node("effect", {"type": "'unheard of'"}))
+query("N42_historical_effects", f"""SELECT row_id, 'Heals' AS name, CAST(cust AS DOUBLE) AS amount, NULL AS duration, CASE WHEN row_id % 2 = 1 THEN '40' END AS chance FROM {VIEW}
+UNION ALL SELECT row_id, 'Paralyzes', NULL, '2', '33' FROM {VIEW} UNION ALL SELECT row_id, 'Buff', NULL, '9', NULL FROM {VIEW} UNION ALL SELECT row_id, 'Repeated Trigger', NULL, '4', NULL FROM {VIEW}
+UNION ALL SELECT row_id, 'Prevents Casting', NULL, NULL, NULL FROM {VIEW} WHERE row_id % 7 = 0 UNION ALL SELECT row_id, 'Cooldown', NULL, '5', NULL FROM {VIEW} WHERE row_id % 2 = 0
+UNION ALL SELECT row_id, 'Performs Melee Attack', NULL, NULL, NULL FROM {VIEW} WHERE row_id % 3 = 1 UNION ALL SELECT row_id, 'Affects Area', NULL, NULL, NULL FROM {VIEW} WHERE row_id % 5 = 0""")(
+    lambda spark, sf: rows(spark, sf, OLD_SPELL).select("row_id", F.explode(historical.spell_effects(F.col("record"))).alias("e")).select("row_id", "e.*"))
+OLD_MONSTER = node("monster", {"name": "'M' || n", "level": "CASE n % 4 WHEN 0 THEN '-1' WHEN 1 THEN cast(n % 9 AS string) || ' or so' WHEN 2 THEN 'deep' END", "special": "CASE WHEN n % 2 = 0 THEN '1' ELSE '0' END"},
+                   node("stats", {"numFig": "cast(o_custkey AS string) || '.9'", "numRog": "'x'"}))
+query("N45_historical_monsters", f"""SELECT 'M' || row_id AS name, CASE WHEN row_id % 4 = 1 THEN row_id % 9 + 1 END AS depth, cust AS fighter, 0 AS rogue, row_id % 2 = 0 AS special FROM {VIEW}""", big="rogue")(
+    lambda spark, sf: historical.parse_monsters(rows(spark, sf, OLD_MONSTER)).select("name", "depth", "fighter", "rogue", "special"))
+OLD_CRAFT = node("craft", {"hidden": "CASE WHEN n % 3 = 0 THEN '1' END"}, node("tool", {"tag": "CASE n % 3 WHEN 0 THEN 'grinder' WHEN 1 THEN 'still' ELSE 'spoon' END"}),
+                 node("output", {"name": "'Part ' || o_custkey", "amount": "CASE WHEN n % 2 = 0 THEN '4 units' ELSE '0' END", "skill": "cast(n % 6 AS string)"}))
+query("N45_historical_crafts", f"""SELECT row_id, row_id % 3 = 0 AS hidden, CASE WHEN row_id % 2 = 0 THEN 4 ELSE 1 END AS amount, row_id % 6 AS skill, CASE WHEN row_id % 3 <> 2 THEN 'Alchemy' END AS stat FROM {VIEW}
+UNION ALL SELECT row_id, TRUE, CASE WHEN row_id % 2 = 0 THEN 4 ELSE 1 END, row_id % 6, 'Tinkering' FROM {VIEW} WHERE row_id % 3 = 0""", big="amount")(
+    lambda spark, sf: historical.parse_crafts(rows(spark, sf, OLD_CRAFT)).select("row_id", "hidden", "amount", "skill", "stat"))
+OLD_ITEM = node(
+    "item", {"name": "'I'", "type": "CASE WHEN n % 8 = 0 THEN cast(o_custkey % 12 AS string) END", "overrideClassName": "CASE WHEN n % 8 = 1 THEN 'Orb' END", "alchemical": "CASE WHEN n % 8 IN (4, 5) THEN '1' END"},
+    node("weapon", when="n % 8 = 0"), node("armour", {"type": "CASE n % 8 WHEN 1 THEN 'shield' WHEN 2 THEN 'sleeve' ELSE 'odd' END"}, when="n % 8 IN (1, 2, 7)"), node("food", {"mp": "'3'"}, when="n % 8 = 3"),
+    node("toolkit", when="n % 8 = 4"))
+query("N46_historical_classes", f"""SELECT row_id, CASE row_id % 8 WHEN 0 THEN coalesce(['Sword Class Weapon', 'Axe Class Weapon', 'Mace Class Weapon', 'Staff Class Weapon', 'Crossbow Class Weapon', 'Throwing Class Weapon', 'Ammunition', 'Dagger Class Weapon', 'Polearm Class Weapon'][cust % 12 + 1], 'Weapon')
+  WHEN 1 THEN 'Orb' WHEN 2 THEN 'Armor (Sleeve)' WHEN 3 THEN 'Booze' WHEN 4 THEN 'Toolkit' WHEN 5 THEN 'Reagent' WHEN 6 THEN 'Item' ELSE 'Armour' END AS class FROM {VIEW}""")(
+    lambda spark, sf: rows(spark, sf, OLD_ITEM).select("row_id", historical.item_class(F.col("record")).alias("class")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-QUERIES, ORACLES, VIEWS = {}, {}, {}
+QUERIES, VIEWS, _SQL = {}, {}, {}
 
 
 def query(name: str, sql: str | None = None, big: str = ""):
@@ -17,12 +17,17 @@ def query(name: str, sql: str | None = None, big: str = ""):
         QUERIES[name] = fn
         if sql is not None:
             casts = ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in big.split())
-            ORACLES[name] = with_views(f"SELECT * REPLACE ({casts}) FROM ({sql})" if big else sql)
+            _SQL[name] = f"SELECT * REPLACE ({casts}) FROM ({sql})" if big else sql
         return fn
 
     return keep
 
 
+def oracles() -> dict[str, str]:
+    """SQL of every query, with the views it names; called once all modules have registered theirs."""
+    return {name: with_views(sql) for name, sql in _SQL.items()}
+
+
 def with_views(sql: str) -> str:
     needed: list[str] = []
 
