@@ -245,8 +245,12 @@ query("J19_toolkit_tags", "SELECT id, tag_key, declaration_index FROM toolkits_v
 query("J19_tool_users", """
 SELECT tag_key, count(*) AS pairs, count(DISTINCT item_id) AS items FROM (SELECT t.id AS item_id, t.tag_key FROM toolkits_v t JOIN recipes_v r ON lower(r.tool) = t.tag_key WHERE r.hidden) GROUP BY tag_key""")(
     lambda spark, sf: backlinks.tool_users(
-        backlinks.toolkit_tags(toolkits(spark, sf)), source(spark, sf, "recipes_v").filter("hidden").select("id", "tool")).groupBy("tag_key").agg(
-        F.count(F.lit(1)).alias("pairs"), F.count_distinct("item_id").alias("items")))
+        backlinks.toolkit_tags(toolkits(spark, sf)), source(spark, sf, "recipes_v").filter("hidden").select("id", "tool")).select("tag_key", "pairs", "items"))
+query("J19_makers_for_item", "SELECT id FROM recipes_v WHERE lower(tool) IN (SELECT tag_key FROM toolkits_v WHERE id = '8')")(
+    lambda spark, sf: backlinks.makers_for_item(
+        backlinks.toolkit_tags(toolkits(spark, sf)), source(spark, sf, "recipes_v").select("id", "tool"), "8").select("id"))
+query("J19_items_for_tag", "SELECT id, declaration_index FROM toolkits_v WHERE tag_key = '2-high'")(
+    lambda spark, sf: backlinks.items_for_tag(backlinks.toolkit_tags(toolkits(spark, sf)), "2-HIGH").select("id", "declaration_index"))
 
 
 @query("J23_loadout_items", "SELECT l_suppkey AS item_id, l_orderkey AS skill_id, 1 AS loadout_index FROM lineitem WHERE l_linenumber <= 3")

@@ -250,7 +250,8 @@ FROM recipes_v WHERE output_no % 3 <> 0"""
 query("I04_output_options", "SELECT item_id, option_key FROM options_v")(
     lambda spark, sf: crafting.output_options(recipe_outputs(spark, sf)).select("item_id", "option_key"))
 query("T08_option_order", "SELECT item_id, option_key, option_rank FROM options_v")(
-    lambda spark, sf: crafting.output_options(recipe_outputs(spark, sf)).select("item_id", "option_key", "option_rank"))
+    lambda spark, sf: crafting.ranked_options(crafting.output_options(recipe_outputs(spark, sf))).select(
+        "item_id", "option_key", F.col("option_rank").cast("int").alias("option_rank")))
 query("P07_craftable_items", "SELECT p_partkey AS id FROM part WHERE p_partkey IN (SELECT item_id FROM options_v)")(
     lambda spark, sf: crafting.craftable(part_items(spark, sf), recipe_outputs(spark, sf)))
 query("I08_invalid_requirements", """SELECT o_orderkey AS plan_id, CASE WHEN p_partkey IS NULL THEN 'unknown item' ELSE 'amount not a positive integer' END AS reason

@@ -9,9 +9,9 @@ polymorphs, modifiers>``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.keys import canonical_key, code_unit_order
+from ..functions.keys import canonical_key, code_unit_order, fold_text
 from ..functions.labels import source_marker
 
 # The relations that count as links to a spell on its page.
@@ -183,10 +183,27 @@ def toolkit_tags(items: DataFrame) -> DataFrame:
 
 
 def tool_users(tags: DataFrame, makers: DataFrame) -> DataFrame:
-    """Recipes or encrustments (``id, tool``) that an item's toolkit serves."""
-    keyed = makers.select(F.col("id").alias("maker_id"), canonical_key(F.col("tool")).alias("tag_key"))
-    return tags.select(F.col("id").alias("item_id"), "tag_key").distinct().join(keyed, "tag_key").select(
-        "item_id", "maker_id", "tag_key")
+    """Per tool tag how many items carry it and how many recipes or encrustments need it.
+
+    Items and makers meet only through the tag, so the relation is kept as its
+    two sides: listing every (item, maker) pair would repeat each side once per
+    row of the other.
+    """
+    carried = tags.groupBy("tag_key").agg(F.count_distinct("id").alias("items"))
+    needed = makers.groupBy(canonical_key(F.col("tool")).alias("tag_key")).agg(F.count(F.lit(1)).alias("makers"))
+    return carried.join(needed, "tag_key").withColumn("pairs", F.col("items") * F.col("makers"))
+
+
+def makers_for_item(tags: DataFrame, makers: DataFrame, item_id: str) -> DataFrame:
+    """Recipes or encrustments (``id, tool``) that one item's toolkit serves."""
+    own = tags.filter(F.col("id") == item_id).select("tag_key").distinct()
+    return makers.withColumn("tag_key", canonical_key(F.col("tool"))).join(own, "tag_key", "left_semi")
+
+
+def items_for_tag(tags: DataFrame, tag: str) -> DataFrame:
+    """Toolkit items of one tag, in key order."""
+    wanted = tags.filter(F.col("tag_key") == fold_text(tag))
+    return wanted.orderBy(code_unit_order(F.col("canonical_key")), code_unit_order(F.col("id")), "declaration_index")
 
 
 def used_to_craft(recipes: DataFrame, keep: int = 4) -> DataFrame:
@@ -204,16 +221,10 @@ def used_to_craft(recipes: DataFrame, keep: int = 4) -> DataFrame:
     rows = recipes.select(place.alias("place"), F.slice(linked, 1, keep + 1).alias("outputs"), F.explode(inputs).alias("item_id"))
     pairs = rows.select("item_id", "place", F.posexplode("outputs").alias("n", "output_id")).filter("item_id <> output_id")
     first = pairs.groupBy("item_id", "output_id").agg(F.min(F.struct("place", "n")).alias("first_place"))
-    rank = F.row_number().over(_by_item())
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy("first_place"))
     return first.withColumn("rank", rank).filter(F.col("rank") <= keep).select("item_id", "rank", "output_id")
 
 
-def _by_item():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("item_id").orderBy("first_place")
-
-
 def recipe_cards(recipes: DataFrame, references: DataFrame, items: DataFrame, sources: DataFrame) -> DataFrame:
     """Recipe lines with the shown item name and slug and the recipe's source marker."""
     named = items.select(F.col("id").alias("item_id"), F.col("name").alias("_name"), F.col("slug").alias("item_slug"))
