@@ -215,7 +215,7 @@ def drift(self, element: str, allowed: set[str], elements: set[str] | None = fro
 def drift(record: Column, element: str, attributes: set[str], elements: set[str] | None, partial: set[str] = frozenset(),
           values: bool = True) -> Column:
     """Findings for unknown attributes and child elements, in stored order."""
-    unknown = F.array_sort(F.array_except(F.map_keys(record["attrs"]), F.array(*[F.lit(a) for a in sorted(attributes)]).cast("array<string>")))
+    unknown = F.sort_array(F.array_except(F.map_keys(record["attrs"]), F.array(*[F.lit(a) for a in sorted(attributes)]).cast("array<string>")))
 
     def about_attribute(name: Column) -> Column:
         details = [F.lit("attribute"), json_text(name), F.lit("element"), json_text(F.lit(element))]
@@ -247,7 +247,7 @@ def unknown_children(record: Column, elements: set[str], partial: set[str] = fro
             .otherwise(F.concat(F.lit("Unsupported <"), tag, F.lit("> element was preserved only as a diagnostic."))).alias("message"),
             F.create_map(F.lit("element"), json_text(tag)).alias("details")).cast(FINDING)
 
-    return F.transform(F.array_sort(strange), about)
+    return F.transform(F.sort_array(strange), about)
 
 
 def each(children: Column, read: Callable[[Column, Column], Part]) -> tuple[Callable, Callable]:

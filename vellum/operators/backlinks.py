@@ -244,7 +244,7 @@ def stat_values(uses: DataFrame) -> DataFrame:
     """Amounts an owner gives a stat, in declaration order (short list per owner and stat)."""
     linked = uses.filter("stat_id is not null")
     return linked.groupBy("stat_id", "owner_kind", "owner_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("position", "amount"))), lambda s: s["amount"]).alias("amounts"))
+        F.transform(F.sort_array(F.collect_list(F.struct("position", "amount"))), lambda s: s["amount"]).alias("amounts"))
 
 
 def declaration_counts(spells: DataFrame) -> DataFrame:

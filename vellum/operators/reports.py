@@ -34,7 +34,7 @@ def comparison_rows(slots: DataFrame, values: DataFrame) -> DataFrame:
     compared = values.join(slots.select("id").distinct(), "id", "left_semi")
     of_item = compared.groupBy("id", "key").agg(
         F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("position", "amount"))), lambda v: signed_value(v["amount"])), ", "
+            F.transform(F.sort_array(F.collect_list(F.struct("position", "amount"))), lambda v: signed_value(v["amount"])), ", "
         ).alias("cell"),
         F.max_by("label", "position").alias("label"),
     )

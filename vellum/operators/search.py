@@ -208,7 +208,7 @@ def build_documents(entities: DataFrame) -> DataFrame:
     segment_pairs = [F.lit(x) for pair in SEGMENTS.items() for x in pair]
     segment = F.create_map(*segment_pairs)[F.col("kind")]
     skill = F.when(F.col("kind").isin(*CRAFTING_KINDS), F.col("skill_level"))
-    aliases = F.array_sort(F.array_distinct("aliases"))
+    aliases = F.sort_array(F.array_distinct("aliases"))
     parts = F.concat(
         F.array("name"), aliases, F.array(F.coalesce("description", F.lit("")), F.col("kind"),
                                           F.coalesce("category", F.lit("")), F.col("source_id")),
@@ -216,12 +216,12 @@ def build_documents(entities: DataFrame) -> DataFrame:
             F.array().cast("array<string>")),
         F.coalesce("extra_parts", F.array().cast("array<string>")),
     )
-    return entities.select(
+    joined = entities.select(
         "id", "kind", "name", aliases.alias("aliases"), F.coalesce("description", F.lit("")).alias("summary"), "source_id",
-        "category", F.array_sort(F.array_distinct("stat_keys")).alias("stat_keys"), skill.alias("skill_level"),
-        F.concat(F.lit("/"), segment, F.lit("/"), F.col("slug")).alias("url"),
-        F.lower(nfkc(F.array_join(parts, " "))).alias("text"),
+        "category", F.sort_array(F.array_distinct("stat_keys")).alias("stat_keys"), skill.alias("skill_level"),
+        F.concat(F.lit("/"), segment, F.lit("/"), F.col("slug")).alias("url"), F.array_join(parts, " ").alias("text"),
     )
+    return joined.withColumn("text", F.lower(nfkc(F.col("text"))))
 
 
 def document_order() -> list[Column]:
@@ -335,7 +335,7 @@ def name_search(records: DataFrame, text: str) -> DataFrame:
 
 def with_aliases(documents: DataFrame, aliases: DataFrame) -> DataFrame:
     """Attach final route aliases, a short list per record."""
-    grouped = aliases.groupBy("id").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
+    grouped = aliases.groupBy("id").agg(F.sort_array(F.collect_set("alias")).alias("aliases"))
     return documents.drop("aliases").join(grouped, "id", "left").withColumn(
         "aliases", F.coalesce("aliases", F.array().cast("array<string>")))
 
