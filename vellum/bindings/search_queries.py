@@ -137,7 +137,7 @@ SELECT id, arg_min(distance, d) AS distance, arg_min(gap, d) AS gap, arg_min(is_
 def closest_candidate(spark, sf):
     docs = search.with_search_name(documents(spark, sf)).withColumn(
         "search_aliases", F.transform("aliases", lambda a: F.regexp_replace(F.lower(a), "[-_]", " ")))
-    near = docs.select("id", search.closest(search.candidate_names(), "economy8").alias("n")).filter("n is not null")
+    near = docs.select("id", search.closest("economy8").alias("n")).filter("n is not null")
     return near.select("id", "n.distance", "n.gap", F.col("n.alias").alias("is_alias"))
 
 

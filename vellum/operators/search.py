@@ -140,28 +140,21 @@ def search(documents: DataFrame, queries: list[SearchQuery]) -> DataFrame:
     return found.orderBy("query_id", *result_order())
 
 
-def candidate_names() -> Column:
-    """The document's own name and its aliases, as they are compared with a query."""
-    own = F.array(F.struct(F.col("search_name").alias("value"), F.lit(0).alias("alias")))
-    spare = F.transform(
-        F.col("search_aliases"), lambda a: F.struct(a.alias("value"), F.lit(1).alias("alias"))
-    )
-    return F.concat(own, spare)
-
+def closest(query: str) -> Column:
+    """Best (distance, length difference, alias flag) of a document's name and aliases within the edit limit, or null.
 
-def closest(candidates: Column, query: str) -> Column:
-    """Best (distance, length difference, alias flag) within the edit limit, or null."""
+    The length difference is tested first; only names that pass it are compared.
+    """
     width = len(query)
 
-    def measured(c: Column) -> Column:
-        gap = F.abs(F.length(c["value"]) - width)
-        limit = distance_limit(F.greatest(F.lit(width), F.length(c["value"])))
-        edits = F.when(gap <= limit, F.call_function("levenshtein", c["value"], F.lit(query), limit))
-        return F.struct(
-            F.when(edits >= 0, edits).alias("distance"), gap.alias("gap"), c["alias"].alias("alias")
-        )
+    def measured(value: Column, alias: int) -> Column:
+        gap = F.abs(F.length(value) - width)
+        limit = distance_limit(F.greatest(F.lit(width), F.length(value)))
+        edits = F.when(gap <= limit, F.call_function("levenshtein", value, F.lit(query), limit))
+        return F.struct(edits.alias("distance"), gap.alias("gap"), F.lit(alias).alias("alias"))
 
-    return F.array_min(F.filter(F.transform(candidates, measured), lambda m: m["distance"].isNotNull()))
+    tried = F.concat(F.array(measured(F.col("search_name"), 0)), F.transform("search_aliases", lambda a: measured(a, 1)))
+    return F.array_min(F.filter(tried, lambda m: m["distance"] >= 0))
 
 
 def suggest(documents: DataFrame, queries: list[SearchQuery]) -> DataFrame:
@@ -175,10 +168,9 @@ def suggest(documents: DataFrame, queries: list[SearchQuery]) -> DataFrame:
     for q in queries:
         text = fold_text(q.query)
         if SHORTEST_SUGGESTED <= len(text) <= LONGEST_SUGGESTED:
-            near = F.when(passes_filter(q), closest(candidate_names(), text))
-            found = F.struct(F.lit(q.id).alias("id"), F.lit(q.limit).cast("bigint").alias("limit"), near.alias("near"))
-            measured.append(F.when(near.isNotNull(), found))
-    measured = F.array_compact(F.array(*measured))
+            near = F.when(passes_filter(q), closest(text))
+            measured.append(F.struct(F.lit(q.id).alias("id"), F.lit(q.limit).cast("bigint").alias("limit"), near.alias("near")))
+    measured = F.filter(F.array(*measured), lambda m: m["near"].isNotNull())
     near = named.select("id", "kind", "name", "search_name", F.explode(measured).alias("m")).select(
         F.col("m.id").alias("query_id"), F.col("m.limit").alias("limit"), "id", "kind", "name", "search_name",
         F.col("m.near.distance").alias("distance"), F.col("m.near.gap").alias("gap"), F.col("m.near.alias").alias("alias"),
