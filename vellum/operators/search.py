@@ -170,6 +170,8 @@ def suggest(documents: DataFrame, queries: list[SearchQuery]) -> DataFrame:
         if SHORTEST_SUGGESTED <= len(text) <= LONGEST_SUGGESTED:
             near = F.when(passes_filter(q), closest(text))
             measured.append(F.struct(F.lit(q.id).alias("id"), F.lit(q.limit).cast("bigint").alias("limit"), near.alias("near")))
+    if not measured:
+        return named.select(F.lit("").alias("query_id"), F.lit(0).alias("rank"), "id", "kind", "name", F.lit(0).alias("distance")).limit(0)
     measured = F.filter(F.array(*measured), lambda m: m["near"].isNotNull())
     near = named.select("id", "kind", "name", "search_name", F.explode(measured).alias("m")).select(
         F.col("m.id").alias("query_id"), F.col("m.limit").alias("limit"), "id", "kind", "name", "search_name",
