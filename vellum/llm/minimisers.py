@@ -78,7 +78,7 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 class Bytes:
     """Windows over the bytes of a text."""
 
-    def __init__(self, length: int = 100, gram: int = 16):
+    def __init__(self, length: int = 100, gram: int = 12):
         self.length, self.gram = length, gram
 
     def pieces(self, text: str):
@@ -205,21 +205,48 @@ def hot_grams(rows, n_rows: int, units: Bytes) -> np.ndarray:
     return np.sort(found.view(np.uint64))
 
 
+class Codec:
+    """Compression of what the shuffle carries, with a few sample texts as its dictionary: payloads are short."""
+
+    def __init__(self, rows):
+        from pyspark.sql import functions as F
+
+        shown = rows.select(F.substring("text", 1, 3000).alias("text")).limit(SHOWN_ROWS).collect()
+        self.shown = "".join(r["text"] for r in shown).encode()
+
+    def tools(self):
+        if self.shown not in _CODECS:
+            _CODECS.clear()
+            shared = zstandard.ZstdCompressionDict(self.shown, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(self.shown) > 8 else None
+            _CODECS[self.shown] = zstandard.ZstdCompressor(level=3, dict_data=shared), zstandard.ZstdDecompressor(dict_data=shared)
+        return _CODECS[self.shown]
+
+    def squeeze(self, raw: bytes) -> bytes:
+        return self.tools()[0].compress(raw)
+
+    def expand(self, packed: bytes) -> bytes:
+        return self.tools()[1].decompress(packed)
+
+
+SHOWN_ROWS = 32
+_CODECS: dict = {}
 SCHEMA = "bucket long, payload binary"
-_HEAD = struct.Struct("<qqq")
+#: Columns of a payload: units of each segment, row id, row hash (32 bits), first unit.
+KINDS = ["<u4", "<i8", "<u4", "<u4"]
+_HEAD = struct.Struct("<qq")
 
 
-def packed(bucket: int, raw: bytes, *columns: np.ndarray) -> tuple[int, bytes]:
-    """One row: lengths, ids and flags of the segments and their bytes, compressed."""
-    body = b"".join(c.tobytes() for c in columns)
-    return bucket, zstandard.ZstdCompressor(level=1).compress(_HEAD.pack(len(columns[0]), len(columns), len(raw)) + body + raw)
+def packed(codec: Codec, bucket: int, raw: bytes, *columns: np.ndarray) -> tuple[int, bytes]:
+    """One row: the columns of its segments and their units, compressed."""
+    body = b"".join(c.astype(kind).tobytes() for c, kind in zip(columns, KINDS))
+    return bucket, codec.squeeze(_HEAD.pack(len(columns[0]), len(raw)) + body + raw)
 
 
-def unpacked(payload: bytes, kinds: list[str]) -> tuple[list[np.ndarray], bytes]:
-    body = zstandard.ZstdDecompressor().decompress(payload)
-    n, _, size = _HEAD.unpack_from(body)
+def unpacked(codec: Codec, payload: bytes) -> tuple[list[np.ndarray], bytes]:
+    body = codec.expand(payload)
+    n, size = _HEAD.unpack_from(body)
     at, columns = _HEAD.size, []
-    for kind in kinds:
+    for kind in KINDS:
         columns.append(np.frombuffer(body, kind, n, at))
         at += columns[-1].nbytes
     return columns, body[len(body) - size :]

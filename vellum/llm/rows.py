@@ -1,6 +1,7 @@
 """Row keys, and joins of per-row results back to rows.
 
-A row is known by its integer id and a 64-bit hash of its text. Equal rows share
+A row is known by its integer id and a 32-bit hash of its text, which tells the
+texts of one id apart. Equal rows share
 the key and therefore the result, which is right for every operator here: what an
 operator decides depends on the text and the id only. A null id has a key of its
 own; rows of one id with different texts stay apart.
@@ -17,16 +18,15 @@ KEY = ["row_id", "row_hash"]
 
 def keyed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Only (row_id, row_hash, id, text): extra columns of any name are left behind. A null text is empty."""
-    key_id, text = F.col(id_column).cast("long"), F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    return docs.select(
-        F.coalesce(key_id, F.lit(NO_ID)).alias("row_id"), F.xxhash64(text).alias("row_hash"), key_id.alias("id"), text.alias("text"),
-    )
+    row_id, row_hash = key_columns(id_column, text_column)
+    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+    return docs.select(row_id.alias("row_id"), row_hash.alias("row_hash"), F.col(id_column).cast("long").alias("id"), text.alias("text"))
 
 
 def key_columns(id_column: str = "doc_id", text_column: str = "text") -> list[Column]:
     """The key of a row, to join a decision to rows that keep all their columns."""
     return [
-        F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)), F.xxhash64(F.coalesce(F.col(text_column).cast("string"), F.lit(""))),
+        F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)), F.xxhash64(F.coalesce(F.col(text_column).cast("string"), F.lit(""))).bitwiseAND(0xFFFFFFFF),
     ]
 
 

@@ -23,12 +23,11 @@ from pyspark.sql import functions as F
 from vellum.llm import minimisers as M
 from vellum.llm.rows import KEY, keyed
 
-KINDS = ["<u4", "<i8", "<i8", "<u4"]
 #: In place of a start: this copy stands for several, whose places are settled already.
 MERGED = 0xFFFFFFFF
 
 
-def pack(units: M.Words, hot: np.ndarray, buckets: int):
+def pack(units: M.Words, hot: np.ndarray, buckets: int, codec: M.Codec):
     """Map side: super-k-mers of each batch, equal ones merged.
 
     Windows of merged super-k-mers are known to be repeated, so their places are
@@ -47,7 +46,7 @@ def pack(units: M.Words, hot: np.ndarray, buckets: int):
             again = copies[same] > 1
             rows = []
             if again.any():
-                rows.append(M.packed(-1 - (int(begin[0]) + len(buffer)) % 997, b"", n_words[again].astype("<u4"), row_id[again], row_hash[again], start[again].astype("<u4")))
+                rows.append(M.packed(codec, -1 - (int(begin[0]) + len(buffer)) % 997, b"", n_words[again], row_id[again], row_hash[again], start[again]))
             sent = np.flatnonzero(same == np.arange(len(strings)))
             key = (best[sent] % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(key, kind="stable")
@@ -57,7 +56,7 @@ def pack(units: M.Words, hot: np.ndarray, buckets: int):
             for a, b in zip(edges[:-1], edges[1:]):
                 at = sent[a:b]
                 raw = b" ".join([strings[k] for k in at.tolist()])
-                rows.append(M.packed(int(key[a]), raw, n_words[at].astype("<u4"), row_id[at], row_hash[at], np.where(many[at], MERGED, start[at]).astype("<u4")))
+                rows.append(M.packed(codec, int(key[a]), raw, n_words[at], row_id[at], row_hash[at], np.where(many[at], MERGED, start[at])))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "payload"])
     return run
 
@@ -83,16 +82,16 @@ def repeated(buffer: bytes, begin: np.ndarray, end: np.ndarray, hashes: np.ndarr
     return found
 
 
-def count(units: M.Words):
+def count(units: M.Words, codec: M.Codec):
     """Reduce side: the spans of repeated windows, bucket by bucket."""
     def run(arrow_batches):
         for bucket, payloads in M.by_bucket(arrow_batches):
             if bucket < 0:
                 for payload in payloads:
-                    (n_words, row_id, row_hash, start), _ = M.unpacked(payload, KINDS)
+                    (n_words, row_id, row_hash, start), _ = M.unpacked(codec, payload)
                     yield M.span_batch(row_id, row_hash, start, start.astype(np.int64) + n_words)
                 continue
-            parts = [M.unpacked(p, KINDS) for p in payloads]
+            parts = [M.unpacked(codec, p) for p in payloads]
             n_words, row_id, row_hash, start = (np.concatenate([p[0][k] for p in parts]).astype(np.int64) for k in range(4))
             buffer = b" ".join(p[1] for p in parts)
             del parts
@@ -112,36 +111,42 @@ def count(units: M.Words):
     return run
 
 
-def repeated_spans(rows: DataFrame, units: M.Words, n_rows: int, n_bytes: int) -> DataFrame:
+def repeated_spans(rows: DataFrame, units: M.Words, n_rows: int, n_bytes: int, codec: M.Codec) -> DataFrame:
     """Spans (in words) of every row of ``keyed`` rows that windows found elsewhere cover; they may overlap."""
     buckets = max(16, -(-4 * n_bytes // M.BUCKET_BYTES))
     hot = M.hot_grams(rows, n_rows, units)
-    sent = rows.select(*KEY, "text").mapInArrow(pack(units, hot, buckets), M.SCHEMA)
+    sent = rows.select(*KEY, "text").mapInArrow(pack(units, hot, buckets, codec), M.SCHEMA)
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets // 4)
-    return sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(count(units), M.SPANS)
+    return sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(count(units, codec), M.SPANS)
 
 
-def apply_spans(rows: DataFrame, spans: DataFrame, function, schema: str) -> DataFrame:
-    """Join the spans to their rows and run ``function(text, starts, stops) -> tuple`` on each row's text."""
+def apply_spans(rows: DataFrame, spans: DataFrame, codec: M.Codec, function, schema: str) -> DataFrame:
+    """Join the spans to their rows and run ``function(raw, starts, stops) -> tuple`` on each row's UTF-8 bytes."""
     gathered = spans.groupBy(*KEY).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     names = [x.split()[0] for x in schema.split(", ")]
 
+    def squeeze(arrow_batches):
+        for batch in arrow_batches:
+            texts = pa.array([codec.squeeze(t.as_py().encode()) for t in batch["text"]], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in (*KEY, "id")), texts], [*KEY, "id", "text"])
+
     def run(arrow_batches):
         for batch in arrow_batches:
             out = []
             for k, text in enumerate(batch["text"]):
                 found = batch["spans"][k].values
                 ends = (np.empty(0, np.int64),) * 2 if found is None else (found.field("start").to_numpy(), found.field("stop").to_numpy())
-                out.append(function(text.as_py(), *ends))
+                out.append(function(codec.expand(text.as_py()), *ends))
             columns = list(zip(*out)) or [[]] * (len(names) - 1)
             yield pa.RecordBatch.from_arrays([batch["id"], *map(pa.array, columns)], names) if out else pa.RecordBatch.from_pylist([], pa.schema([(names[0], pa.int64())]))
 
-    return rows.join(gathered, KEY, "left").select("id", "text", "spans").mapInArrow(run, schema)
+    small = rows.mapInArrow(squeeze, "row_id long, row_hash long, id long, text binary")
+    return small.join(gathered, KEY, "left").select("id", "text", "spans").mapInArrow(run, schema)
 
 
-def keep_words(text: str, starts: np.ndarray, stops: np.ndarray) -> tuple[int, int, str, str]:
+def keep_words(raw: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[int, int, str, str]:
     """(words, removed words, digest of the kept words, kept words)."""
-    words = text.encode().split()
+    words = raw.split()
     edge = np.zeros(len(words) + 1, np.int32)
     np.add.at(edge, starts, 1)
     np.add.at(edge, stops, -1)
@@ -154,5 +159,6 @@ def remove_repeated_windows(docs: DataFrame, length: int = 35, id_column: str =
     """(id, n_words, n_removed, kept_sha256, kept): one row per input row."""
     rows, units = keyed(docs, id_column, text_column), M.Words(length, min(4, length))
     n_rows, n_bytes = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    spans = repeated_spans(rows, units, n_rows, n_bytes)
-    return apply_spans(rows, spans, keep_words, "id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    codec = M.Codec(rows)
+    spans = repeated_spans(rows, units, n_rows, n_bytes, codec)
+    return apply_spans(rows, spans, codec, keep_words, "id long, n_words long, n_removed long, kept_sha256 string, kept string")

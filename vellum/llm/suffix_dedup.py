@@ -31,10 +31,9 @@ from vellum.llm import minimisers as M
 from vellum.llm.rows import KEY, keyed
 from vellum.llm.substring_dedup import apply_spans
 
-KINDS = ["<u4", "<i8", "<i8", "<u4"]
 
 
-def pack(units: M.Bytes, hot: np.ndarray, buckets: int):
+def pack(units: M.Bytes, hot: np.ndarray, buckets: int, codec: M.Codec):
     """Map side: segments of each batch. Of equal segments only the earliest is sent; the others are later copies."""
     def run(arrow_batches):
         for held in M.batches(arrow_batches, units):
@@ -52,7 +51,7 @@ def pack(units: M.Bytes, hot: np.ndarray, buckets: int):
             rows = []
             if later.any():
                 gone = np.flatnonzero(later & ~((row_id == row_id[same]) & (row_hash == row_hash[same]) & (start == start[same])))
-                rows.append(M.packed(-1 - (int(begin[0]) + len(buffer)) % 997, b"", size[gone].astype("<u4"), row_id[gone], row_hash[gone], start[gone].astype("<u4")))
+                rows.append(M.packed(codec, -1 - (int(begin[0]) + len(buffer)) % 997, b"", size[gone], row_id[gone], row_hash[gone], start[gone]))
             sent = np.flatnonzero(~later)
             key = (best[sent] % np.uint64(buckets)).astype(np.int64)
             by_key = np.argsort(key, kind="stable")
@@ -60,7 +59,7 @@ def pack(units: M.Bytes, hot: np.ndarray, buckets: int):
             edges = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
             for a, b in zip(edges[:-1], edges[1:]):
                 at = sent[a:b]
-                rows.append(M.packed(int(key[a]), b"".join([strings[k] for k in at.tolist()]), size[at].astype("<u4"), row_id[at], row_hash[at], start[at].astype("<u4")))
+                rows.append(M.packed(codec, int(key[a]), b"".join([strings[k] for k in at.tolist()]), size[at], row_id[at], row_hash[at], start[at]))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "payload"])
     return run
 
@@ -115,11 +114,11 @@ def has_previous_factor(buffer: bytes, at: np.ndarray, place: np.ndarray, hashes
     return found
 
 
-def factor(units: M.Bytes):
+def factor(units: M.Bytes, codec: M.Codec):
     """Reduce side: spans of the positions whose longest previous factor is long enough."""
     def run(arrow_batches):
         for bucket, payloads in M.by_bucket(arrow_batches):
-            parts = [M.unpacked(p, KINDS) for p in payloads]
+            parts = [M.unpacked(codec, p) for p in payloads]
             if bucket < 0:
                 for (size, row_id, row_hash, start), _ in parts:
                     yield M.span_batch(row_id, row_hash, start, start.astype(np.int64) + size)
@@ -146,18 +145,17 @@ def factor(units: M.Bytes):
     return run
 
 
-def later_copies(rows: DataFrame, units: M.Bytes, n_rows: int, n_bytes: int) -> DataFrame:
+def later_copies(rows: DataFrame, units: M.Bytes, n_rows: int, n_bytes: int, codec: M.Codec) -> DataFrame:
     """Spans (in bytes) of every row of ``keyed`` rows that earlier text repeats; they may overlap."""
     buckets = max(16, -(-4 * n_bytes // M.BUCKET_BYTES))
     hot = M.hot_grams(rows, n_rows, units)
-    sent = rows.select(*KEY, "text").mapInArrow(pack(units, hot, buckets), M.SCHEMA)
+    sent = rows.select(*KEY, "text").mapInArrow(pack(units, hot, buckets, codec), M.SCHEMA)
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets // 4)
-    return sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(factor(units), M.SPANS)
+    return sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(factor(units, codec), M.SPANS)
 
 
-def keep_bytes(text: str, starts: np.ndarray, stops: np.ndarray) -> tuple[int, int, int, str, bytes]:
+def keep_bytes(raw: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[int, int, int, str, bytes]:
     """(bytes, removed bytes, maximal removed runs, digest of the kept bytes, kept bytes)."""
-    raw = text.encode()
     if not len(starts):
         return len(raw), 0, 0, hashlib.sha256(raw).hexdigest(), raw
     order = np.argsort(starts)
@@ -170,7 +168,8 @@ def keep_bytes(text: str, starts: np.ndarray, stops: np.ndarray) -> tuple[int, i
 
 def remove_later_copies(docs: DataFrame, length: int = 100, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, kept): one row per input row; ``kept`` may cut characters."""
-    rows, units = keyed(docs, id_column, text_column), M.Bytes(length, min(16, length))
+    rows, units = keyed(docs, id_column, text_column), M.Bytes(length, min(12, length))
     n_rows, n_bytes = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    spans = later_copies(rows, units, n_rows, n_bytes)
-    return apply_spans(rows, spans, keep_bytes, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    codec = M.Codec(rows)
+    spans = later_copies(rows, units, n_rows, n_bytes, codec)
+    return apply_spans(rows, spans, codec, keep_bytes, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
