@@ -127,3 +127,33 @@ def test_a_cluster_without_a_shared_folder_is_refused(monkeypatch):
 
     with pytest.raises(RuntimeError):
         session.use_checkpoint_dir(Session)
+
+
+def test_reader_keeps_texts_as_written(spark):
+    nest = "".join(f"<n{k} v='{k}'>" for k in range(9)) + "".join(f"</n{k}>" for k in reversed(range(9)))
+    rows = [("base", "a.xml", "items", 0, '<db><item name=" A &amp; B " level="\t5\n" note="R&D"/><item name="x"/></db>'), ("base", "b.xml", "items", 0, "  \n"),
+            ("base", "c.xml", "items", 0, f"<db><item name='deep'>{nest}</item><item><item><item/></item></item></db>")]
+    parsed = xml_records.parse_xml(spark.createDataFrame(rows, "source_id string, file string, kind string, precedence int, content string")).cache()
+    got = xml_records.records(parsed, "item").filter("file = 'a.xml'").orderBy("place").collect()
+    assert got[0].record.attrs == {"name": "A &amp; B", "level": "5", "note": "R&D"}
+    assert [(r.line, r.column) for r in got] == [(1, 5), (2, 15)]
+    problems = {(r.file, r.code, r.line) for r in xml_records.problems(parsed).collect()}
+    assert problems == {("b.xml", "invalid_xml", 1), ("c.xml", "xml_nesting_too_deep", 1)}
+    assert xml_records.records(parsed, "item").filter("file = 'c.xml'").count() == 4
+
+
+def test_numbering_by_code_units_and_whole_tables(spark):
+    from vellum.functions.keys import code_unit_order
+
+    df = spark.createDataFrame([("\U0001F600",), ("～",), ("a",)], "v string")
+    assert {r.v: r.row_number for r in ordering.numbered(df, [], [code_unit_order(F.col("v"))], 2).collect()} == {"a": 1, "\U0001F600": 2, "～": 3}
+
+
+def test_drafts_that_share_a_signature_get_different_ids(spark, monkeypatch):
+    from vellum.operators import diagnostics
+
+    monkeypatch.setattr(diagnostics, "draft_json", lambda details: F.lit("same"))
+    rows = [("error", "c", m, "s", "f", 1, 1, None, {}) for m in ("one", "one", "two")]
+    drafts = spark.createDataFrame(rows, "severity string, code string, message string, source_id string, file string, line int, column int, entity_id string, details map<string,string>")
+    ids = sorted(r.id.split(":")[1][12:] for r in diagnostics.finalize(drafts).collect())
+    assert ids == ["", "-2", "-3"]

@@ -1,6 +1,6 @@
 """Inheritance, chains, demand plans, derived stats and rankings over the test tables."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..operators import derived_stats
 from ..plans import chains, crafting, inheritance
@@ -342,7 +342,8 @@ query("T10_stat_search", "SELECT owner_kind, owner_id, amount FROM modifiers_v W
 
 
 @query("W11_inherit_stats", """
-SELECT l_suppkey AS id, s AS stat, arg_max(amount, CAST(near AS HUGEINT) * 100000000000 + place) AS amount FROM (
+SELECT l_suppkey AS id, s AS stat, arg_max(amount, CAST(near AS HUGEINT) * 100000000000 + place) AS amount,
+  row_number() OVER (PARTITION BY l_suppkey ORDER BY min(CAST(near AS HUGEINT) * 100000000000 + place)) AS row_number FROM (
   SELECT l_suppkey, l_linenumber AS s, CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END AS near, l_quantity AS amount,
     l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS place FROM lineitem) GROUP BY l_suppkey, s""")
 def inherit_stats(spark, sf):
@@ -350,4 +351,5 @@ def inherit_stats(spark, sf):
         F.col("l_suppkey").alias("id"), F.col("l_linenumber").alias("stat"), F.col("l_quantity").alias("amount"), "l_returnflag",
         F.expr("l_orderkey * 1000000 + l_partkey * 10 + l_linenumber").alias("position"))
     child, parent = rows.filter("l_returnflag = 'A'"), rows.filter("l_returnflag <> 'A'")
-    return derived_stats.inherit_stats(child, parent, ["id"]).select("id", "stat", "amount")
+    order = Window.partitionBy("id").orderBy("place")
+    return derived_stats.inherit_stats(child, parent, ["id"]).select("id", "stat", "amount", F.row_number().over(order).cast("bigint").alias("row_number"))

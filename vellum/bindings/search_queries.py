@@ -32,10 +32,9 @@ def search_documents(spark, sf):
     return documents(spark, sf).select("id", "kind", "name", "summary", "source_id", "category", "skill_level", "url", "text")
 
 
-@query("T02_document_order", "SELECT kind, min(name) AS first_name, count(*) AS n FROM documents_v GROUP BY kind")
+@query("T02_document_order", "SELECT id, kind, row_number() OVER (ORDER BY kind, name, id) AS row_number FROM documents_v")
 def document_order(spark, sf):
-    ordered = documents(spark, sf).orderBy(*search.document_order())
-    return ordered.groupBy("kind").agg(F.min("name").alias("first_name"), F.count(F.lit(1)).alias("n"))
+    return ordering.numbered(documents(spark, sf), [], search.document_order()).select("id", "kind", "row_number")
 
 
 QUERIES = [
@@ -222,22 +221,25 @@ def items(spark, sf):
     return shelf(spark, sf).filter("kind = 'item'")
 
 
-def _first(order_sql, where="TRUE", n=60):
-    return f"SELECT id, name, source_id FROM (SELECT *, row_number() OVER (ORDER BY {order_sql}) AS r FROM shelf_v WHERE kind = 'item' AND {where}) WHERE r <= {n}"
+def _ranked(order_sql, kind):
+    return f"SELECT id, name, source_id, row_number() OVER (ORDER BY {order_sql}) AS row_number FROM shelf_v WHERE kind = '{kind}'"
+
+
+def _numbered(df, order):
+    return ordering.numbered(df, [], order).select("id", "name", "source_id", "row_number")
 
 
 for _sort, _order in {"game": GAME, "name": f"lower(name), name, {GAME}", "quality": f"quality, {GAME}", "price": f"price NULLS LAST, {GAME}"}.items():
-    query(f"T06_items_by_{_sort}", _first(_order))(
-        lambda spark, sf, s=_sort: items(spark, sf).orderBy(*ordering.item_order(s)).limit(60).select("id", "name", "source_id"))
+    query(f"T06_items_by_{_sort}", _ranked(_order, "item"))(
+        lambda spark, sf, s=_sort: _numbered(items(spark, sf), ordering.item_order(s)))
 query("T05_game_order", f"SELECT id, row_number() OVER (PARTITION BY kind ORDER BY {GAME}) AS row_number FROM shelf_v")(
-    lambda spark, sf: ordering.numbered(shelf(spark, sf), ["kind"], ["source_rank", "source_id", "file", "line", "id"]).select("id", "row_number"))
-query("T07_recipes_by_skill", f"SELECT id FROM (SELECT id, row_number() OVER (ORDER BY skill_level, {GAME}) AS r FROM shelf_v WHERE kind = 'recipe') WHERE r <= 50")(
-    lambda spark, sf: shelf(spark, sf).filter("kind = 'recipe'").withColumn("lowest_skill", F.col("skill_level")).orderBy(
-        *ordering.item_order("skill")).limit(50).select("id"))
-query("T11_by_source", "SELECT id FROM (SELECT id, row_number() OVER (ORDER BY source_rank, line, id) AS r FROM shelf_v WHERE kind = 'item') WHERE r <= 100")(
-    lambda spark, sf: items(spark, sf).withColumn("record", F.col("line")).orderBy(*ordering.source_record_order(), "id").limit(100).select("id"))
+    lambda spark, sf: ordering.numbered(shelf(spark, sf), ["kind"], ordering.game_order()).select("id", "row_number"))
+query("T07_recipes_by_skill", _ranked(f"skill_level, {GAME}", "recipe"))(
+    lambda spark, sf: _numbered(shelf(spark, sf).filter("kind = 'recipe'").withColumn("lowest_skill", F.col("skill_level")), ordering.item_order("skill")))
+query("T11_by_source", _ranked("source_rank, line, id", "item"))(
+    lambda spark, sf: _numbered(items(spark, sf).withColumn("record", F.col("line")), [*ordering.source_record_order(), "id"]))
 query("W08_browse_pages", "SELECT id, CAST(ceil(row_number() OVER (PARTITION BY kind ORDER BY name, id) / 100.0) AS BIGINT) AS page FROM documents_v")(
-    lambda spark, sf: ordering.with_pages(documents(spark, sf), ["kind"], ["name", "id"], catalogue.BROWSE_PAGE).select("id", "page"))
+    lambda spark, sf: ordering.with_pages(documents(spark, sf), ["kind"], search.document_order()[1:], catalogue.BROWSE_PAGE).select("id", "page"))
 query("W08_catalogue_page", f"SELECT id, name FROM (SELECT *, row_number() OVER (ORDER BY lower(name), name, {GAME}) AS r FROM shelf_v WHERE kind = 'item' AND category = 'gem') WHERE r BETWEEN 37 AND 72")(
     lambda spark, sf: ordering.one_page(catalogue.in_category(items(spark, sf), "gem"), ordering.item_order("name"), 2, 36).select("id", "name"))
 query("P06_category_filter", "SELECT id FROM shelf_v WHERE kind = 'item' AND category = 'weapon:sword' UNION ALL SELECT id FROM shelf_v WHERE kind = 'recipe' AND category = '2-high'")(

@@ -1,8 +1,8 @@
 """Reading a parsed element: its attributes and the elements directly inside it.
 
 A record column is ``struct<tag, attrs, folded, line, column, children>``;
-``children`` nests the same struct down to ``MAX_DEPTH`` levels, which covers
-every element that a catalogue file can hold. ``folded`` has the compatibility
+``children`` nests the same struct down to ``MAX_DEPTH`` levels; the reader
+reports every record that has elements below that. ``folded`` has the compatibility
 form of those attributes that are not ASCII: the reader of the text computes it,
 so that keys inside nested records need no Python afterwards.
 """

@@ -69,12 +69,12 @@ def merge_stats(values: DataFrame, owner: list[str]) -> DataFrame:
 
 
 def inherit_stats(child: DataFrame, parent: DataFrame, owner: list[str]) -> DataFrame:
-    """Parent values in parent order, replaced by the child's; new ones follow."""
-    far = 1_000_000_000
-    tagged = parent.select(*owner, "stat", "amount", F.col("position").alias("place"), F.lit(0).alias("_near")).unionByName(
-        child.select(*owner, "stat", "amount", (F.col("position") + far).alias("place"), F.lit(1).alias("_near")))
-    return tagged.groupBy(*owner, "stat").agg(
-        F.max_by("amount", F.struct("_near", "place")).alias("amount"), F.min("place").alias("place"))
+    """Parent values in parent order, replaced by the child's; new ones follow. ``place`` sorts them."""
+    def placed(side: DataFrame, near: int) -> DataFrame:
+        return side.select(*owner, "stat", "amount", F.struct(F.lit(near).alias("near"), F.col("position").cast("bigint").alias("position")).alias("place"))
+
+    return placed(parent, 0).unionByName(placed(child, 1)).groupBy(*owner, "stat").agg(
+        F.max_by("amount", "place").alias("amount"), F.min("place").alias("place"))
 
 
 def level_stats(levels: DataFrame) -> DataFrame:
@@ -97,11 +97,11 @@ def level_stats(levels: DataFrame) -> DataFrame:
 
 def total_stats(bonus: DataFrame, levels: DataFrame) -> DataFrame:
     """Bonus stats first, level stats added to them or after them."""
-    far = 1_000_000_000
-    shifted = level_stats(levels).withColumn("position", F.col("position") + far)
-    both = bonus.select("id", "stat", F.col("amount").cast("double").alias("amount"), F.col("position").cast("bigint").alias("position")).unionByName(
-        shifted.select("id", "stat", F.col("amount").cast("double").alias("amount"), F.col("position").cast("bigint").alias("position")))
-    return merge_stats(both, ["id"])
+    def placed(side: DataFrame, after: int) -> DataFrame:
+        place = F.struct(F.lit(after).alias("after"), F.col("position").cast("bigint").alias("position"))
+        return side.select("id", "stat", F.col("amount").cast("double").alias("amount"), place.alias("position"))
+
+    return merge_stats(placed(bonus, 0).unionByName(placed(level_stats(levels), 1)), ["id"])
 
 
 def historical_required_armour(monsters: DataFrame, totals: DataFrame, limit: int = 10) -> DataFrame:

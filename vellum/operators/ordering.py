@@ -27,7 +27,7 @@ def item_order(sort: str) -> list[Column]:
         "game": [],
         "name": [code_unit_order(F.lower("name")), code_unit_order(F.col("name"))],
         "quality": [F.col("quality")],
-        "price": [F.col("price").asc_nulls_last()],
+        "price": [F.col("price").isNull(), F.col("price")],
         "skill": [F.col("lowest_skill")],
     }
     return [*by[sort], *game_order()]
@@ -37,30 +37,37 @@ def source_record_order() -> list[Column]:
     return [F.col("source_rank"), F.col("record")]
 
 
-def numbered(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+def numbered(df: DataFrame, group: list[str], order: list[str | Column], partitions: int | None = None) -> DataFrame:
     """Row numbers per group over sorted data, without putting a group in one task.
 
+    ``order`` takes names and expressions; wrap texts in ``code_unit_order``. An
+    empty group numbers the whole table. The number of range partitions is that of
+    the session's shuffles unless given.
+
     The rows are range-partitioned on (group, order), numbered inside each
     partition, and shifted by the number of the group's rows in earlier
     partitions. Only that small table of counts is windowed per group. The
     partitioned rows are made durable first, because both uses must see the same
     partitions.
     """
-    placed = df.repartitionByRange(*[F.col(c) for c in [*group, *order]]).withColumn("_part", F.spark_partition_id())
-    placed = durable(placed)
+    names = [f"_order{k}" for k in range(len(order))]
+    keyed = df.withColumns({n: F.col(c) if isinstance(c, str) else c for n, c in zip(names, order)})
+    keys = [F.col(c) for c in [*group, *names]]
+    dealt = keyed.repartitionByRange(partitions, *keys) if partitions else keyed.repartitionByRange(*keys)
+    placed = durable(dealt.withColumn("_part", F.spark_partition_id()))
     counts = placed.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_n"))
     over = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = counts.select(*group, "_part", F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*group, "_part").orderBy(*order)
+    inside = Window.partitionBy(*group, "_part").orderBy(*names)
     return placed.withColumn("_in", F.row_number().over(inside)).join(shifts, [*group, "_part"]).withColumn(
-        "row_number", F.col("_in") + F.col("_before")).drop("_in", "_before", "_part")
+        "row_number", F.col("_in") + F.col("_before")).drop("_in", "_before", "_part", *names)
 
 
 def page_count(rows: Column, size: int | None) -> Column:
     return F.lit(1).cast("bigint") if size is None else F.greatest(F.lit(1).cast("bigint"), F.ceil(rows / size))
 
 
-def with_pages(df: DataFrame, group: list[str], order: list[str], size: int) -> DataFrame:
+def with_pages(df: DataFrame, group: list[str], order: list[str | Column], size: int) -> DataFrame:
     """Every row with its page, for publishing all pages at once."""
     return numbered(df, group, order).withColumn("page", F.ceil(F.col("row_number") / size))
 

@@ -31,9 +31,12 @@ def same_rows(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def table_digest(table: DataFrame) -> DataFrame:
-    """Row count and an order-free digest of a table: the sum over its row hashes."""
-    row = F.xxhash64(stable_json(table.columns, keep_nulls=True)).cast("decimal(38,0)")
-    return table.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(row), F.lit(0)).cast("string").alias("digest"))
+    """Rows, bytes of their JSON lines, and a digest free of order: the sum of the leading 60 bits of each line's sha256."""
+    line = stable_json(table.columns, keep_nulls=True)
+    lead = F.conv(F.substring(digest(line), 1, 15), 16, 10).cast("decimal(38,0)")
+    return table.select(lead.alias("_lead"), (F.octet_length(line) + 1).cast("bigint").alias("_bytes")).agg(
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("_bytes"), F.lit(0)).alias("bytes"),
+        F.coalesce(F.sum("_lead"), F.lit(0)).cast("string").alias("digest"))
 
 
 def overlaps(output: str, roots: list[str]) -> list[str]:
@@ -61,21 +64,21 @@ def write_tables(tables: dict[str, DataFrame], output: str, diagnostics: DataFra
         table.write.mode("errorifexists").parquet(f"{output}/{name}")
     manifest = manifest_of(spark, list(tables), output)
     manifest.coalesce(1).write.mode("errorifexists").json(f"{output}/{MANIFEST}")
-    return spark.read.schema("table_name string, rows long, digest string").json(f"{output}/{MANIFEST}")
+    return spark.read.schema("table_name string, rows long, bytes long, digest string").json(f"{output}/{MANIFEST}")
 
 
 def manifest_of(spark: SparkSession, names: list[str], output: str) -> DataFrame:
     """Digest rows of the tables as they stand on storage."""
     result = None
     for name in names:
-        row = table_digest(spark.read.parquet(f"{output}/{name}")).select(F.lit(name).alias("table_name"), "rows", "digest")
+        row = table_digest(spark.read.parquet(f"{output}/{name}")).select(F.lit(name).alias("table_name"), "rows", "bytes", "digest")
         result = row if result is None else result.unionByName(row)
     return result
 
 
 def read_verified(spark: SparkSession, output: str) -> dict[str, DataFrame]:
     """Tables of a published set; fails when one differs from the manifest."""
-    stored = spark.read.schema("table_name string, rows long, digest string").json(f"{output}/{MANIFEST}")
+    stored = spark.read.schema("table_name string, rows long, bytes long, digest string").json(f"{output}/{MANIFEST}")
     names = [row["table_name"] for row in stored.collect()]
     if not names:
         raise ValueError("the set has no manifest")

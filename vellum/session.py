@@ -9,19 +9,27 @@ from pyspark.sql import DataFrame, SparkSession
 _PLACED = {}
 
 
-def build_session(name: str = "vellum", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """A local session with the settings that a cluster deployment should carry too."""
+def build_session(name: str = "vellum", cores: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
+    """A session with the settings that the jobs rely on.
+
+    Master and shuffle partitions are the deployment's choice; ``cores`` makes a
+    local session, for tests and the bench, with a few partitions for each core.
+    """
+    builder = SparkSession.builder
+    if cores:
+        builder = builder.master(f"local[{cores}]").config("spark.driver.memory", "8g")
+        shuffle_partitions = shuffle_partitions or (int(cores) if cores.isdigit() else 8)
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return (
-        SparkSession.builder.master(f"local[{cores}]")
-        .appName(name)
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        builder.appName(name)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
 
