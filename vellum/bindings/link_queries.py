@@ -356,7 +356,7 @@ for _name, (_relation, _fn, _parts) in LINKS.items():
 
 VIEWS["edges_v"] = " UNION ALL ".join(_link_sql(relation, parts) for relation, _, parts in LINKS.values())
 
-query("J07_link_spells", """SELECT relation, count(*) AS edges, count(DISTINCT owner_id) AS owners FROM edges_v GROUP BY relation""")(
+query("J07_spell_edges", """SELECT relation, count(*) AS edges, count(DISTINCT owner_id) AS owners FROM edges_v GROUP BY relation""")(
     lambda spark, sf: backlinks.spell_edges(spells(spark, sf)).groupBy("relation").agg(
         F.count(F.lit(1)).alias("edges"), F.count_distinct("owner_id").alias("owners")))
 query("U07_all_backlinks", """

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.records import MAX_DEPTH, attribute, children, element, first_child
 from ..normalize import crafts, fields, historical, items, modifiers, monsters, spells
-from ..operators import quality
+from ..operators import linking, quality, spell_linking
 from . import views  # noqa: F401
 from .registry import query, table
 
@@ -309,6 +309,35 @@ query("N35_effect_conditions", f"SELECT row_id, TRUE AS required_enabled, CASE W
     lambda spark, sf: _effect(spark, sf, "trigger").select("row_id", "e.conditions.required_enabled", "e.conditions.required_spell_key", "e.conditions.forbidden_spell_key"))
 query("N36_effect_options", f"SELECT row_id, 0 AS option_index, 'egg' AS target_key, CASE WHEN row_id % 2 = 0 THEN 2 END AS amount FROM {VIEW} UNION ALL SELECT row_id, 1, NULL, NULL FROM {VIEW}", big="amount")(
     lambda spark, sf: _effect(spark, sf, "spawnitemfromlist").select("row_id", F.posexplode("e.options").alias("option_index", "o")).select("row_id", "option_index", "o.target_key", "o.amount"))
+def linked_spells(spark, sf):
+    """References of parsed effects and buffs, resolved against names of which some are missing."""
+    effects, _ = spells.spell_effects(F.col("record"))
+    buffs, _ = fields.each(children(F.col("record"), "buff"), spells.buff)
+    head = [F.concat(F.lit("spell:"), F.col("row_id").cast("string")).alias("id"), F.concat(F.lit("S"), F.col("row_id").cast("string")).alias("name")]
+    mobs = table(spark, sf, "customer")
+    known = lambda kind, key, df: df.select(F.lit(kind).alias("kind"), key.alias("alias"), F.concat(F.lit(kind + ":"), key).alias("target_id"))
+    aliases = known("monster", F.concat(F.lit("mob "), "c_custkey"), mobs.filter("c_custkey % 3 <> 0")).unionByName(
+        known("spell", F.concat(F.lit("ward "), "c_custkey"), mobs.filter("c_custkey % 4 <> 0"))).unionByName(
+        known("spell", F.lit("zap"), spark.range(1))).unionByName(known("item", F.lit("egg"), spark.range(1)))
+    from_effects = spell_linking.link_spells(rows(spark, sf, EFFECTS).select(*head, effects().alias("effects")), aliases)
+    return from_effects.unionByName(spell_linking.link_spells(rows(spark, sf, BUFF).select(*head, buffs().alias("buffs")), aliases))
+
+
+SPELL_LINKS = f"""
+SELECT 'spell:' || row_id AS owner_id, path, buff, effect, "inner", target_kind, label, CASE
+    WHEN label = 'Zap' THEN 'spell:zap' WHEN label = 'Egg' THEN 'item:egg' WHEN label LIKE 'Mob %' AND cust % 3 <> 0 THEN 'monster:mob ' || cust
+    WHEN label LIKE 'Ward %' AND cust % 4 <> 0 THEN 'spell:ward ' || cust END AS target_id, path = 'item-target' AS silent
+FROM (
+    SELECT row_id, cust, unnest(['removed-buff', 'item-target', 'option', 'monster-target', 'effect-spell', 'event-hook']) AS path, unnest([NULL, NULL, NULL, NULL, NULL, 0]) AS buff,
+      unnest([2, 3, 4, 5, 6, NULL]) AS effect, unnest([NULL, NULL, 0, NULL, NULL, 0]) AS "inner", unnest(['spell', 'item', 'item', 'monster', 'spell', 'spell']) AS target_kind,
+      unnest(['Ward', CASE WHEN row_id % 7 = 0 THEN 'Yolk' ELSE 'Egg' END, 'Egg', 'Mob ' || cust, 'Zap', 'Zap']) AS label FROM {VIEW}
+    UNION ALL SELECT row_id, cust, 'required-buff', NULL, 6, NULL, 'spell', 'Ward ' || cust FROM {VIEW} WHERE row_id % 2 = 0
+    UNION ALL SELECT row_id, cust, 'polymorph', 0, NULL, 0, 'monster', 'Mob ' || cust FROM {VIEW} WHERE row_id % 5 <> 0)"""
+query("J07_link_spells", SPELL_LINKS)(
+    lambda spark, sf: linked_spells(spark, sf).select("owner_id", "path", "buff", "effect", "inner", "target_kind", "label", "target_id", "silent"))
+query("J07_dangling_spells", f"""SELECT owner_id, target_kind, label, 'S' || substr(owner_id, 7) || ' references an unknown ' || target_kind || ': ' || label AS message
+FROM ({SPELL_LINKS}) WHERE target_id IS NULL AND NOT silent""")(
+    lambda spark, sf: linking.dangling(linked_spells(spark, sf)).select("owner_id", "target_kind", "label", "message"))
 query("N36_effect_findings", f"""SELECT code, count(*) AS n FROM (SELECT unnest(['missing_spell_effect_option_target', 'unknown_attribute']) AS code FROM {VIEW}
   UNION ALL SELECT 'incomplete_spell_effect_buff_condition' FROM {VIEW} WHERE row_id % 2 = 1 UNION ALL SELECT 'invalid_number' FROM {VIEW} WHERE row_id % 3 = 0 UNION ALL SELECT 'invalid_number' FROM {VIEW} WHERE row_id % 2 = 1
   UNION ALL SELECT 'invalid_number' FROM {VIEW} WHERE row_id % 5 = 0 UNION ALL SELECT 'conflicting_spell_effect_item_target_aliases' FROM {VIEW} WHERE row_id % 7 = 0) GROUP BY code""")(
