@@ -157,3 +157,19 @@ def test_drafts_that_share_a_signature_get_different_ids(spark, monkeypatch):
     drafts = spark.createDataFrame(rows, "severity string, code string, message string, source_id string, file string, line int, column int, entity_id string, details map<string,string>")
     ids = sorted(r.id.split(":")[1][12:] for r in diagnostics.finalize(drafts).collect())
     assert ids == ["", "-2", "-3"]
+
+
+def test_a_table_of_queries_answers_like_the_compiled_list(spark):
+    from vellum.functions.keys import normalize_query
+
+    docs = spark.range(400).selectExpr(
+        "concat('d', id) AS id", "element_at(array('item', 'recipe', 'spell'), cast(id % 3 as int) + 1) AS kind",
+        "concat(element_at(array('Iron Sword', 'Red Ring', 'Oak Ward', 'X'), cast(id % 4 as int) + 1), ' ', id % 9) AS name",
+        "concat('s', id % 2) AS source_id", "concat('c', id % 5) AS category", "id % 7 AS skill_level", "array(concat('k', id % 3)) AS stat_keys")
+    docs = docs.withColumn("text", normalize_query(F.concat_ws(" ", "name", "kind", "category", "source_id"))).cache()
+    asked = [search.SearchQuery("a", "iron sw"), search.SearchQuery("b", "ring 3", limit=4), search.SearchQuery("c", ""), search.SearchQuery("d", "x"), search.SearchQuery("e", "zzz"),
+             search.SearchQuery("f", "ward", kinds=["item", "spell"], source_ids=["s1"]), search.SearchQuery("g", "OAK", category="c2", max_skill=3), search.SearchQuery("h", "", stat_key="k1", limit=0)]
+    rows = [(q.id, q.query, q.kinds, q.source_ids, q.category, q.stat_key, q.max_skill, q.limit) for q in asked]
+    table = spark.createDataFrame(rows, "query_id string, query string, kinds array<string>, source_ids array<string>, category string, stat_key string, max_skill bigint, limit bigint")
+    pick = lambda df: [tuple(r) for r in df.select("query_id", "id", "score").collect()]
+    assert pick(search.search_table(docs, table)) == pick(search.search(docs, asked))

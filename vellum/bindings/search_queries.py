@@ -96,6 +96,25 @@ query("T01_top_results", f"""SELECT query_id, id, score FROM (SELECT *, row_numb
   FROM ({search_sql(TOP)})) WHERE r <= CASE query_id WHEN 'top-widget' THEN 7 ELSE 12 END""")(
     lambda spark, sf: search.search(documents(spark, sf), TOP).select("query_id", "id", "score"))
 
+
+def query_table(spark, sf):
+    """One query per customer: its name and a word, some of them filtered or limited."""
+    return table(spark, sf, "customer").select(
+        F.col("c_name").alias("query_id"), F.concat(F.col("c_name"), F.when(F.col("c_custkey") % 3 == 0, " on").otherwise("")).alias("query"),
+        F.when(F.col("c_custkey") % 4 == 0, F.array(F.lit("item"), F.lit("monster"))).alias("kinds"), F.lit(None).cast("array<string>").alias("source_ids"),
+        F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("stat_key"),
+        F.when(F.col("c_custkey") % 5 == 0, 3).cast("bigint").alias("max_skill"), F.when(F.col("c_custkey") % 2 == 0, 2).cast("bigint").alias("limit"))
+
+
+query("Q-S4_search_table", """SELECT query_id, id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, kind, name, id) AS r FROM (
+    SELECT c_name AS query_id, c_custkey, id, kind, name, CAST(CASE WHEN search_name = q THEN 300 WHEN starts_with(search_name, q) THEN 200 WHEN contains(search_name, q) THEN 100 ELSE 0 END
+      + CASE WHEN contains(search_name, t) THEN 20 ELSE 2 END + CASE WHEN c_custkey % 3 <> 0 THEN 0 WHEN contains(search_name, 'on') THEN 20 ELSE 2 END AS BIGINT) AS score
+    FROM documents_v JOIN (SELECT *, lower(c_name) AS t, lower(c_name) || CASE WHEN c_custkey % 3 = 0 THEN ' on' ELSE '' END AS q FROM customer) ON contains(text, t)
+    WHERE (c_custkey % 3 <> 0 OR contains(text, 'on')) AND (c_custkey % 4 <> 0 OR kind IN ('item', 'monster')) AND (c_custkey % 5 <> 0 OR skill_level <= 3)))
+WHERE c_custkey % 2 <> 0 OR r <= 2""")(
+    lambda spark, sf: search.search_table(documents(spark, sf), query_table(spark, sf)).select("query_id", "id", "score"))
+
 MISSPELT = [SearchQuery("ring", "smlal ring"), SearchQuery("widget", "rde widget"), SearchQuery("two", "grean bolt", limit=2), SearchQuery("found", "red widget"),
             SearchQuery("custom", "customr#000000007"), SearchQuery("kind", "smlal ring", kinds=["monster"]), SearchQuery("alias", "econmy-7"), SearchQuery("tiny", "zq")]
 

@@ -1,8 +1,9 @@
 """Ranked search over documents: derivation, filters, scores, suggestions, facets.
 
-Queries arrive as a short list from the caller and become conditions of the plan,
-so one pass over the documents answers all of them: no product of two tables is
-formed, and only matching (query, document) rows leave the scan.
+A short list of queries becomes conditions of the plan, so one pass over the
+documents answers all of them: no product of two tables is formed, and only
+matching (query, document) rows leave the scan. A table of queries is joined with
+the documents on rare runs of characters (``search_table``).
 """
 
 from __future__ import annotations
@@ -140,6 +141,60 @@ def search(documents: DataFrame, queries: list[SearchQuery]) -> DataFrame:
     return found.orderBy("query_id", *result_order())
 
 
+GRAM = 3
+
+
+def _grams(text: Column) -> Column:
+    """Distinct runs of GRAM characters; none for a shorter text."""
+    runs = F.transform(F.sequence(F.lit(1), F.length(text) - (GRAM - 1)), lambda i: F.substring(text, i, F.lit(GRAM)))
+    return F.when(F.length(text) >= GRAM, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+
+def search_table(documents: DataFrame, queries: DataFrame) -> DataFrame:
+    """Ranked results of any number of queries, given as a table.
+
+    ``queries`` has ``query_id, query, kinds, source_ids, category, stat_key,
+    max_skill, limit``; nulls and empty lists filter nothing. A document can only
+    match if it has every run of three characters of the query's words, so each
+    query is joined on the one of its runs that the fewest documents have, and the
+    candidates are then tested in full. A query without such a run (no text, or
+    words of one and two letters) is tested on every document.
+    """
+    named = documents if "search_name" in documents.columns else with_search_name(documents)
+    docs = named.select("id", "kind", "name", "source_id", "category", "skill_level", "stat_keys", "text", "search_name")
+    asked = queries.withColumn("folded", normalize_query(F.coalesce("query", F.lit("")))).withColumn("tokens", F.filter(F.split("folded", " "), lambda t: t != ""))
+    runs = asked.select("query_id", F.explode_outer(F.array_distinct(F.flatten(F.transform("tokens", _grams)))).alias("gram")).withColumn("gram", F.coalesce("gram", F.lit("")))
+    wanted = runs.select("gram").distinct()
+    postings = docs.select("*", F.explode(F.concat(_grams(F.col("text")), F.array(F.lit("")))).alias("gram"))
+    counts = postings.select("gram").join(wanted, "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
+    # A run that no document has settles its query: nothing matches.
+    rarest = runs.join(counts, "gram", "left").groupBy("query_id").agg(F.min_by("gram", F.struct(F.coalesce("_n", F.lit(0)), "gram")).alias("gram"))
+    keyed = asked.join(rarest, "query_id").select(
+        "query_id", "gram", "folded", "tokens", "limit", F.col("kinds").alias("_kinds"), F.col("source_ids").alias("_sources"), F.col("category").alias("_category"),
+        F.col("stat_key").alias("_stat"), F.col("max_skill").alias("_skill"))
+
+    def unset_or(condition: Column, *given: Column) -> Column:
+        return reduce(lambda left, right: left | right, given) | F.coalesce(condition, F.lit(False))
+
+    name, folded = F.col("search_name"), F.col("folded")
+    holds = (
+        unset_or(F.array_contains("_kinds", F.col("kind")), F.col("_kinds").isNull(), F.size("_kinds") <= 0)
+        & unset_or(F.array_contains("_sources", F.col("source_id")), F.col("_sources").isNull(), F.size("_sources") <= 0)
+        & unset_or(F.col("category") == F.col("_category"), F.coalesce("_category", F.lit("")) == "")
+        & unset_or(F.array_contains("stat_keys", F.col("_stat")), F.coalesce("_stat", F.lit("")) == "")
+        & unset_or(F.col("skill_level") <= F.col("_skill"), F.col("_skill").isNull())
+        & F.forall("tokens", lambda t: F.contains("text", t))
+    )
+    whole = F.when(name == folded, EXACT).when(F.startswith(name, folded), PREFIX).when(F.contains(name, folded), INSIDE).otherwise(0)
+    worded = F.aggregate("tokens", F.lit(0), lambda n, t: n + F.when(F.contains(name, t), TOKEN_IN_NAME).otherwise(TOKEN_ELSEWHERE))
+    score = F.when(folded == "", 0).otherwise(whole + worded).cast("bigint")
+    hits = postings.join(keyed, "gram").filter(holds).select("query_id", "id", "kind", "name", "category", score.alias("score"), "limit")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*result_order()))
+    unlimited = hits.filter("limit is null").drop("limit")
+    cut = hits.filter("limit is not null").withColumn("_rank", rank).filter("_rank <= limit").drop("_rank", "limit")
+    return unlimited.unionByName(cut).orderBy("query_id", *result_order())
+
+
 def closest(query: str) -> Column:
     """Best (distance, length difference, alias flag) of a document's name and aliases within the edit limit, or null.
 
