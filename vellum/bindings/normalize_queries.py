@@ -129,7 +129,7 @@ query("N14_item_triggers", f"""SELECT row_id, CAST(CASE WHEN row_id % 2 = 0 THEN
   CASE WHEN row_id % 5 = 0 THEN 'zapped' WHEN row_id % 2 = 0 THEN 'melee-target' WHEN row_id % 3 = 0 THEN 'trigger-once' WHEN row_id % 3 = 1 THEN 'trigger-repeat' END AS first_kind FROM {VIEW}""")(
     lambda spark, sf: rows(spark, sf, ITEM_TRIGGERS).select("row_id", modifiers.spell_triggers(F.col("record"), "item").alias("t")).select(
         "row_id", F.size("t").alias("trigger_count"), F.get("t", F.lit(0))["kind"].alias("first_kind")))
-query("N44_historical_triggers", f"""SELECT row_id, 'missing_trigger_spell' AS code FROM {VIEW} WHERE row_id % 7 = 0 UNION ALL SELECT row_id, 'invalid_number' FROM {VIEW} WHERE row_id % 2 = 0 AND row_id % 120 > 100""")(
+query("N13_trigger_findings", f"""SELECT row_id, 'missing_trigger_spell' AS code FROM {VIEW} WHERE row_id % 7 = 0 UNION ALL SELECT row_id, 'invalid_number' FROM {VIEW} WHERE row_id % 2 = 0 AND row_id % 120 > 100""")(
     lambda spark, sf: rows(spark, sf, ITEM_TRIGGERS).select("row_id", F.explode(modifiers.trigger_findings(F.col("record"), "item")).alias("f")).select("row_id", "f.code"))
 
 MODS = node(
@@ -140,7 +140,7 @@ MOD_SQL = f"""SELECT row_id, 'damage' AS kind, 'crushing' AS source_key, CAST(CA
 UNION ALL SELECT row_id, 'resistance', 'toxic', 0 FROM {VIEW} UNION ALL SELECT row_id, 'primary', '4', 0.5 FROM {VIEW}"""
 query("N15_stat_modifiers", MOD_SQL)(
     lambda spark, sf: rows(spark, sf, MODS).select("row_id", F.explode(modifiers.stat_modifiers(F.col("record"), "monster")).alias("m")).select("row_id", "m.kind", "m.source_key", "m.amount"))
-query("N43_historical_stats", f"""SELECT row_id, code, count(*) AS n FROM (SELECT row_id, 'unknown_monster_modifier' AS code FROM {VIEW} WHERE row_id % 2 = 0 UNION ALL SELECT row_id, 'invalid_number' FROM {VIEW}
+query("N15_modifier_findings", f"""SELECT row_id, code, count(*) AS n FROM (SELECT row_id, 'unknown_monster_modifier' AS code FROM {VIEW} WHERE row_id % 2 = 0 UNION ALL SELECT row_id, 'invalid_number' FROM {VIEW}
   UNION ALL SELECT row_id, 'missing_monster_modifier_key' FROM {VIEW} UNION ALL SELECT row_id, 'duplicate_monster_modifier' FROM {VIEW} WHERE row_id % 3 = 0) GROUP BY ALL""")(
     lambda spark, sf: rows(spark, sf, MODS).select("row_id", F.explode(modifiers.modifier_findings(F.col("record"), "monster")).alias("f")).groupBy("row_id", "f.code").agg(
         F.count(F.lit(1)).alias("n")))
@@ -412,6 +412,26 @@ UNION ALL SELECT row_id, 'Paralyzes', NULL, '2', '33' FROM {VIEW} UNION ALL SELE
 UNION ALL SELECT row_id, 'Prevents Casting', NULL, NULL, NULL FROM {VIEW} WHERE row_id % 7 = 0 UNION ALL SELECT row_id, 'Cooldown', NULL, '5', NULL FROM {VIEW} WHERE row_id % 2 = 0
 UNION ALL SELECT row_id, 'Performs Melee Attack', NULL, NULL, NULL FROM {VIEW} WHERE row_id % 3 = 1 UNION ALL SELECT row_id, 'Affects Area', NULL, NULL, NULL FROM {VIEW} WHERE row_id % 5 = 0""")(
     lambda spark, sf: rows(spark, sf, OLD_SPELL).select("row_id", F.explode(historical.spell_effects(F.col("record"))).alias("e")).select("row_id", "e.*"))
+OLD_STATS = node(
+    "item", {}, node("weapon", {"slashing": "cast(o_custkey AS string) || ' pts'", "crushingF": "'.5'", "primaryScale": "CASE WHEN n % 3 = 0 THEN '2' END", "secondaryScale": "CASE WHEN n % 2 = 0 THEN '7' ELSE '99' END"}),
+    node("damagebuff", {"toxic": "'none'", "toxicF": "CASE WHEN n % 5 = 0 THEN '0' ELSE 'x' END"}), node("resistbuff", {"acidic": "CASE WHEN n % 4 = 0 THEN 'x' ELSE '3.5' END", "voltaic": "''"}),
+    node("primarybuff", {"id": "cast(n % 8 AS string)", "amount": "'-2'"}), node("secondarybuff", {"id": "'20'", "amount": "'1e1x'"}), node("sightbuff", {"amount": "' 4'"}), node("DamageBuff", {"acidic": "'1'"}))
+query("N43_historical_stats", f"""SELECT row_id, 'damage' AS kind, 'slashing' AS source_key, CAST(cust AS DOUBLE) AS amount, NULL AS factor_kind, NULL AS factor_key, CAST(NULL AS DOUBLE) AS factor FROM {VIEW}
+UNION ALL SELECT row_id, 'damage', 'crushing', 0, CASE WHEN row_id % 3 = 0 THEN 'primary' ELSE 'secondary' END, CASE WHEN row_id % 3 = 0 THEN '2' WHEN row_id % 2 = 0 THEN '7' ELSE '3' END, 0.5 FROM {VIEW}
+UNION ALL SELECT row_id, 'damage', 'toxic', 0, NULL, NULL, NULL FROM {VIEW} WHERE row_id % 5 = 0
+UNION ALL SELECT row_id, 'resistance', 'acidic', CASE WHEN row_id % 4 <> 0 THEN 3.5 END, NULL, NULL, NULL FROM {VIEW}
+UNION ALL SELECT row_id, 'primary', CAST(row_id % 8 AS VARCHAR), -2, NULL, NULL, NULL FROM {VIEW} WHERE row_id % 8 < 6
+UNION ALL SELECT row_id, 'secondary', '20', 10, NULL, NULL, NULL FROM {VIEW} UNION ALL SELECT row_id, 'secondary', '18', 4, NULL, NULL, NULL FROM {VIEW}""")(
+    lambda spark, sf: rows(spark, sf, OLD_STATS).select("row_id", F.explode(historical.stats(F.col("record"))).alias("s")).select("row_id", "s.*"))
+OLD_TRIGGERS = node(
+    "item", {}, node("effect", {"type": "CASE n % 3 WHEN 0 THEN 'trigger' WHEN 1 THEN 'dot' ELSE 'other' END", "spell": "'Wave'", "percentage": "'30'", "amount": "'4'", "resistable": "'0'"}),
+    node("targetHitEffectBuff", {"name": "CASE WHEN n % 2 = 0 THEN 'Burn ' || o_custkey ELSE '' END", "spell": "'Spare'", "percent": "'101x'", "percentage": "'7'", "taxa": "'Animal'"}),
+    node("triggeroncast", {}), node("targethiteffectbuff", {"name": "'no'"}))
+query("N44_historical_triggers", f"""SELECT row_id, CAST(0 AS INT) AS place, 'melee-target' AS kind, CASE WHEN row_id % 2 = 0 THEN 'Burn ' || cust ELSE 'Spare' END AS spell, '101x' AS chance, '0' AS delay, '0' AS duration, FALSE AS unresistable, 'Animal' AS taxonomy FROM {VIEW}
+UNION ALL SELECT row_id, 1, 'cast', NULL, NULL, '0', '0', FALSE, NULL FROM {VIEW}
+UNION ALL SELECT row_id, 2, CASE row_id % 3 WHEN 0 THEN 'trigger-once' ELSE 'trigger-repeat' END, 'Wave', '30', CASE WHEN row_id % 3 = 0 THEN '4' ELSE '0' END, CASE WHEN row_id % 3 = 1 THEN '4' ELSE '0' END, TRUE, NULL FROM {VIEW} WHERE row_id % 3 <> 2""")(
+    lambda spark, sf: rows(spark, sf, OLD_TRIGGERS).select("row_id", F.posexplode(historical.triggers(F.col("record"))).alias("place", "t")).select(
+        "row_id", "place", "t.kind", "t.spell", "t.chance", "t.delay", "t.duration", "t.unresistable", "t.taxonomy"))
 OLD_MONSTER = node("monster", {"name": "'M' || n", "level": "CASE n % 4 WHEN 0 THEN '-1' WHEN 1 THEN cast(n % 9 AS string) || ' or so' WHEN 2 THEN 'deep' END", "special": "CASE WHEN n % 2 = 0 THEN '1' ELSE '0' END"},
                    node("stats", {"numFig": "cast(o_custkey AS string) || '.9'", "numRog": "'x'"}))
 query("N45_historical_monsters", f"""SELECT 'M' || row_id AS name, CASE WHEN row_id % 4 = 1 THEN row_id % 9 + 1 END AS depth, cust AS fighter, 0 AS rogue, row_id % 2 = 0 AS special FROM {VIEW}""", big="rogue")(

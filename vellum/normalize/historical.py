@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.labels import lookup
 from ..functions.records import attribute, child_attribute, children, has_child
 from ..operators.backlinks import tool_stats
+from ..operators.quality import DAMAGE_KEYS
+from ..sources.inputs import PRIMARY_STATS, SECONDARY_STATS
 
 # ---- Fixed values: historical texts ----
 WEAPON_NAMES = {
@@ -32,7 +34,15 @@ EFFECT_NAMES = {
 ELEMENT_NAMES = {"requirements": "Mana Cost", "buff": "Buff", "invisible": "Invisibility", "mute": "Prevents Casting", "polymorph": "Polymorph",
                  "targetHitEffectBuff": "Trigger", "crossbowShotBuff": "Trigger", "thrownBuff": "Trigger", "targetKillBuff": "Trigger",
                  "playerHitEffectBuff": "Trigger"}
-DEFAULT_SCALE = "Magic Power"
+# Which elements carry stats, the scale of a factor that names none, and the stat of a sight element (category, index).
+DAMAGE_ELEMENTS, RESISTANCE_ELEMENTS = ["damagebuff", "damage", "weapon", "effect"], ["resistbuff", "resistances"]
+DEFAULT_SCALE, SIGHT_RADIUS = ("secondary", "3"), ("secondary", "18")
+# Trigger elements in reading order; those of effects go by the effect's type.
+TRIGGERS = {
+    "targetHitEffectBuff": "melee-target", "crossbowShotBuff": "crossbow-target", "thrownBuff": "thrown-target", "targetKillBuff": "kill-target",
+    "playerHitEffectBuff": "melee-self", "dodgeBuff": "dodge", "criticalBuff": "critical", "counterBuff": "counter", "blockBuff": "block",
+    "triggeroncast": "cast", "spell": "activated", "effect:trigger": "trigger-once", "effect:dot": "trigger-repeat", "effect:triggerfromlist": "trigger-list",
+}
 # ---- end of fixed values ----
 
 
@@ -108,6 +118,84 @@ def spell_effects(record: Column) -> Column:
     return F.filter(F.concat(root, outer, inner, bleeding), lambda e: e["name"].isNotNull())
 
 
+_STAT = "array<struct<kind:string,source_key:string,amount:double,factor_kind:string,factor_key:string,factor:double>>"
+
+
+def _stat(kind: str, key: Column, amount: Column, factor: Column | None = None, scale: tuple[Column, Column] | None = None) -> Column:
+    none = F.lit(None).cast("string")
+    scaled = F.lit(False) if factor is None else F.coalesce(factor != 0, F.lit(False))
+    scale_kind, scale_key = scale or (none, none)
+    return F.struct(
+        F.lit(kind).alias("kind"), key.alias("source_key"), amount.alias("amount"), F.when(scaled, scale_kind).alias("factor_kind"),
+        F.when(scaled, scale_key).alias("factor_key"), F.when(scaled, F.lit(None).cast("double") if factor is None else factor).alias("factor"))
+
+
+def stats(record: Column) -> Column:
+    """Stats of a record and of the elements directly inside it, kind by kind.
+
+    A damage amount may come with a factor (attribute name and ``F``), whose scale
+    is the named primary stat, else the named secondary one, else magic power.
+    Numbers are read loosely; an amount that is none is 0 for damage, else null.
+    """
+    def index(names: list[str], value: Column) -> Column:
+        return F.when(value.isin(*[str(i) for i in range(len(names))]), value)
+
+    def part(c: Column) -> Column:
+        return F.struct(c["tag"].alias("tag"), c["attrs"].alias("attrs"))
+
+    elements = F.concat(F.array(part(record)), F.transform(record["children"], part))
+
+    def of(tags: list[str], read) -> Column:
+        found = F.filter(elements, lambda e: e["tag"].isin(*tags))
+        return F.flatten(F.transform(found, lambda e: F.filter(read(e).cast(_STAT), lambda s: s["kind"].isNotNull())))
+
+    def keyed(read_key) -> Column:
+        return F.transform(F.array(*[F.lit(k) for k in DAMAGE_KEYS]), read_key)
+
+    def damage(e: Column) -> Column:
+        primary, secondary = index(PRIMARY_STATS, attribute(e, "primaryScale")), index(SECONDARY_STATS, attribute(e, "secondaryScale"))
+        scale = (F.when(primary.isNotNull(), "primary").when(secondary.isNotNull(), "secondary").otherwise(DEFAULT_SCALE[0]),
+                 F.coalesce(primary, secondary, F.lit(DEFAULT_SCALE[1])))
+
+        def one(key: Column) -> Column:
+            amount, factor = loose_number(e["attrs"][key]), loose_number(e["attrs"][F.concat(key, F.lit("F"))])
+            return F.when(amount.isNotNull() | factor.isNotNull(), _stat("damage", key, F.coalesce(amount, F.lit(0.0)), factor, scale))
+
+        return F.filter(keyed(one), lambda s: s.isNotNull())
+
+    def resistance(e: Column) -> Column:
+        return F.filter(keyed(lambda key: F.when(F.coalesce(e["attrs"][key], F.lit("")) != "", _stat("resistance", key, loose_number(e["attrs"][key])))), lambda s: s.isNotNull())
+
+    def indexed(kind: str, names: list[str]):
+        def read(e: Column) -> Column:
+            return F.filter(F.array(F.when(index(names, attribute(e, "id")).isNotNull(), _stat(kind, attribute(e, "id"), loose_number(attribute(e, "amount"))))), lambda s: s.isNotNull())
+        return read
+
+    return F.concat(
+        of(DAMAGE_ELEMENTS, damage), of(RESISTANCE_ELEMENTS, resistance), of(["secondarybuff"], indexed("secondary", SECONDARY_STATS)),
+        of(["primarybuff"], indexed("primary", PRIMARY_STATS)),
+        of(["sightbuff"], lambda e: F.array(_stat(SIGHT_RADIUS[0], F.lit(SIGHT_RADIUS[1]), loose_number(attribute(e, "amount"))))))
+
+
+def triggers(record: Column) -> Column:
+    """Spell triggers of the elements directly inside a record, in the order of TRIGGERS; texts are kept as they are."""
+    def given(c: Column, *names: str) -> Column:
+        return F.coalesce(*[F.when(attribute(c, n) != "", attribute(c, n)) for n in names[:-1]], attribute(c, names[-1]))
+
+    order = list(TRIGGERS)
+    selector = lambda c: F.when(c["tag"] == "effect", F.concat(F.lit("effect:"), F.coalesce(attribute(c, "type"), F.lit("")))).otherwise(c["tag"])
+
+    def read(c: Column, at: Column) -> Column:
+        kind = attribute(c, "type")
+        return F.struct(
+            F.array_position(F.array(*[F.lit(t) for t in order]), selector(c)).alias("rank"), at.alias("at"), lookup(TRIGGERS, selector(c)).alias("kind"),
+            given(c, "name", "spell").alias("spell"), given(c, "percent", "percentage").alias("chance"),
+            F.when(kind == "trigger", attribute(c, "amount")).otherwise("0").alias("delay"), F.when(kind == "dot", attribute(c, "amount")).otherwise("0").alias("duration"),
+            F.coalesce(attribute(c, "resistable") == "0", F.lit(False)).alias("unresistable"), attribute(c, "taxa").alias("taxonomy"))
+
+    return F.sort_array(F.filter(F.transform(record["children"], read), lambda t: t["rank"] > 0))
+
+
 def parse_monsters(records: DataFrame) -> DataFrame:
     """Monsters with loose numbers; a missing or zero depth is left to the parent."""
     record = F.col("record")
