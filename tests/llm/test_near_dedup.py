@@ -4,7 +4,8 @@ import random
 
 import numpy as np
 
-from vellum.llm.near_dedup import REGISTERS, keep_one, multiset, near_duplicates, signatures, similarity
+from vellum.llm import near_dedup
+from vellum.llm.near_dedup import REGISTERS, common_counts, keep_one, multiset, near_duplicates, signatures, similarity
 
 
 def test_signatures_are_unbiased():
@@ -83,3 +84,23 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     assert got == [(0, least), (0, least), (1, least), (1, least), (1, least), (2, 2), (2, 2)]
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in keep_one(df).collect()) == [(0, ""), (0, "a b c d e f"), (2, ""), (2, "x y")]
     assert near_duplicates(df.where("doc_id = 9")).count() == 0 and keep_one(df.where("doc_id = 9")).count() == 0
+
+
+def test_blocks_compare_exactly():
+    rng = np.random.default_rng(5)
+    bags = []
+    for _ in range(20):
+        hashes = np.unique(rng.integers(0, 40, 25)).astype(np.uint64)
+        bags.append((hashes, rng.integers(1, 5, len(hashes))))
+    left, right = np.arange(0, 9), np.arange(5, 20)
+    want = [[np.minimum(dict(zip(*map(np.ndarray.tolist, bags[a]))).get(h, 0), n) for h, n in zip(*map(np.ndarray.tolist, bags[b]))] for a in left for b in right]
+    assert common_counts(bags, left, right).ravel().tolist() == [sum(x) for x in want]
+
+
+def test_large_buckets_go_by_blocks(spark, monkeypatch):
+    """With every bucket large and blocks of seven, classes stay the same."""
+    monkeypatch.setattr(near_dedup, "SMALL", 1)
+    monkeypatch.setattr(near_dedup, "BLOCK", 7)
+    rows = corpus()
+    got = {r["id"]: r["class_row"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute(rows)

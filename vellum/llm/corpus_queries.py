@@ -16,7 +16,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).selectExpr("id AS doc_id", "class_row AS class_id", "n_links")
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).selectExpr("id AS doc_id", "class_row AS class_id")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

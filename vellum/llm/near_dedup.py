@@ -15,13 +15,18 @@ all pairs of a bucket would be quadratic, so:
 1. Each bucket picks as its centre the text whose buckets are largest in sum (of
    a text and its edited copies that is the original), and every other member is
    compared with it. That is one pair per member and bucket.
-2. Confirmed pairs are joined to components. Members of a bucket that lie outside
-   its most frequent component are compared with all members of other components,
-   because only such pairs can still join anything. Signatures rule out pairs that
-   are clearly apart before any text is read.
-
-Every pair is confirmed on the exact multisets. Rows per shuffle are bounded by
-bands times texts in step 1, and in step 2 by strays times bucket size.
+2. Confirmed pairs are joined to components. Members of a bucket outside its most
+   frequent component (strays) are compared with all members of other components,
+   because only such pairs can still join anything. In a bucket of up to 64 texts
+   the signatures rule out most pairs and the rest are confirmed like the others.
+   Larger buckets with one main component are merged to a family, so a pair that
+   meets in many bands is compared once. Families are cut into blocks of 512
+   strays by 512 members; a task compares a pair of blocks exactly, by one matrix
+   product over the shingles that two of its texts share, and hands on a spanning
+   forest of the similar pairs, never the pairs.
+
+Every link is confirmed on the exact multisets. Rows per shuffle are bounded by
+bands times texts in step 1 and, in step 2, by texts times blocks of strays.
 
 With 24 bands of 4 registers a pair of similarity 0.8 misses all bands with
 probability 3e-6. Texts of one to four words are one shingle. Null texts and texts
@@ -50,6 +55,8 @@ REGISTERS = BANDS * ROWS
 #: Lowest share of equal registers at which two texts may still be similar: four standard deviations below 0.8.
 LEAST_AGREEMENT = 0.63
 PIECE = 1 << 21
+#: Texts of a bucket up to which pairs are compared one by one, texts of a block, columns of a matrix.
+SMALL, BLOCK, COLUMNS = 64, 512, 4096
 
 
 def multiset(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -132,11 +139,97 @@ def sign(batches):
             yield close(held)
 
 
-def apart(batches):
-    """Drop pairs whose signatures agree in too few registers."""
+def grouped(batches, key: list[str]):
+    """Lists of rows (dicts) of a partition that is sorted by ``key``."""
+    now, rows = None, []
     for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, REGISTERS) for c in ("sketch_u", "sketch_v"))
-        yield batch.filter(pa.array((a == b).mean(axis=1) >= LEAST_AGREEMENT)).select(["u", "v"])
+        for row in batch.to_pylist():
+            at = [row[k] for k in key]
+            if at != now and rows:
+                yield rows
+                rows = []
+            now = at
+            rows.append(row)
+    if rows:
+        yield rows
+
+
+def _pairs(found: list) -> pa.RecordBatch:
+    kind = pa.struct([("row_id", pa.int64()), ("row_hash", pa.int64())])
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k in (0, 1)], ["u", "v"])
+
+
+def compare_small(batches):
+    """Of each small bucket the pairs of different components whose signatures agree in enough registers."""
+    found = []
+    for rows in grouped(batches, ["bucket"]):
+        signed = np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint8).reshape(-1, REGISTERS)
+        close = np.triu((signed[:, None] == signed[None]).mean(axis=2) >= LEAST_AGREEMENT, 1)
+        found += [(rows[a]["node"], rows[b]["node"]) for a, b in zip(*np.nonzero(close)) if rows[a]["component"] != rows[b]["component"]]
+        if len(found) > 10_000:
+            yield _pairs(found)
+            found = []
+    yield _pairs(found)
+
+
+def common_counts(bags: list, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the multiset intersections of texts ``left`` and ``right``.
+
+    The k-th copy of a shingle is an element of its own. Elements that only one
+    text has cannot be common; the others become columns of a 0/1 matrix, a
+    bounded number at a time.
+    """
+    elements = [M.mix(np.repeat(h, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.uint64) * np.uint64(0xD1342543DE82EF95)) for h, n in bags]
+    owner = np.repeat(np.arange(len(bags)), [len(e) for e in elements])
+    _, column, n = np.unique(np.concatenate(elements), return_inverse=True, return_counts=True)
+    shared = n > 1
+    number = np.cumsum(shared) - 1
+    keep = shared[column]
+    owner, column = owner[keep], number[column[keep]]
+    common = np.zeros((len(left), len(right)), np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for first in range(0, int(shared.sum()), COLUMNS):
+        a, b = np.searchsorted(column, (first, first + COLUMNS))
+        has = np.zeros((len(bags), COLUMNS), np.float32)
+        has[owner[a:b], column[a:b] - first] = 1
+        common += has[left] @ has[right].T
+    return common
+
+
+def link_blocks(batches):
+    """A spanning forest of the similar pairs between the strays and the members of each pair of blocks."""
+    for rows in grouped(batches, ["family", "i", "j"]):
+        nodes: dict[tuple, dict] = {}
+        for r in rows:
+            nodes.setdefault((r["node"]["row_id"], r["node"]["row_hash"]), r)
+        place = {k: n for n, k in enumerate(nodes)}
+        roles = [np.array(sorted({place[r["node"]["row_id"], r["node"]["row_hash"]] for r in rows if r["stray"] == role}), np.int64) for role in (True, False)]
+        if not len(roles[0]) or not len(roles[1]):
+            continue
+        known = list(nodes.values())
+        bags = [multiset(r["text"].encode().split()) for r in known]
+        size = np.array([b[1].sum() for b in bags], np.float64)
+        common = common_counts(bags, *roles).astype(np.float64)
+        near = common >= SIMILAR * (size[roles[0]][:, None] + size[roles[1]][None] - common)
+        parent: dict = {}
+
+        def find(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        component = [tuple(r["component"].values()) for r in known]
+        found = []
+        for a, b in zip(*np.nonzero(near)):
+            u, v = roles[0][a], roles[1][b]
+            x, y = find(component[u]), find(component[v])
+            if x != y:
+                parent[x] = y
+                found.append((known[u]["node"], known[v]["node"]))
+        if found:
+            yield _pairs(found)
 
 
 def confirm(batches):
@@ -173,8 +266,26 @@ def in_order(pairs: DataFrame, *columns: str) -> DataFrame:
     return pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), *columns).dropDuplicates(["u", "v"])
 
 
-def similar_links(nodes: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(links, components) of distinct texts; ``nodes`` has (node, bands, sketch)."""
+def family_links(labelled: DataFrame, large: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links that strays of large buckets add; ``large`` has (bucket, main)."""
+    members = durable(labelled.join(large, "bucket").select(F.col("main").alias("family"), "node", "component").distinct())
+    stray = F.col("component") != F.col("family")
+    sizes = members.groupBy("family").agg(F.count("*").alias("n"), F.count_if(stray).alias("s"))
+    block = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK))
+    draw = F.xxhash64("node")
+    placed = members.join(sizes, "family").select(
+        "family", "node", "component", stray.alias("is_stray"), block("s").cast("int").alias("across"), block("n").cast("int").alias("down"),
+        F.pmod(draw, block("s")).cast("int").alias("own_i"), F.pmod(draw, block("n")).cast("int").alias("own_j"))
+    as_member = placed.select("family", F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("i"), F.col("own_j").alias("j"), "node", "component", F.lit(False).alias("stray"))
+    as_stray = placed.where("is_stray").select("family", F.col("own_i").alias("i"), F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("j"), "node", "component", F.lit(True).alias("stray"))
+    needed = durable(texts.select(F.struct(*KEY).alias("node"), "text").join(members.select("node").distinct(), "node").dropDuplicates(["node"]))
+    key = ["family", "i", "j"]
+    units = as_member.unionAll(as_stray).join(needed, "node").repartition(*key).sortWithinPartitions(*key)
+    return units.select(*key, "node", "component", "stray", "text").mapInArrow(link_blocks, PAIR)
+
+
+def similar_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (u, v) that connect all similar texts among the distinct ``nodes`` (node, bands, sketch)."""
     dealt = nodes.select("node", F.explode("bands").alias("bucket"))
     full = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = durable(dealt.join(full, "bucket"))
@@ -183,42 +294,30 @@ def similar_links(nodes: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFr
     star = in_order(members.join(centre, "bucket").select(F.col("node").alias("u"), F.col("centre").alias("v")))
     links = durable(confirmed(durable(star), texts))
 
-    joined = components(links)
-    labelled = members.select("bucket", "node").join(joined, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    labelled = durable(labelled)
-    sizes = labelled.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("bucket", "main")
-    several = labelled.join(mixed, "bucket")
-    sketched = several.join(nodes.select("node", "sketch"), "node")
-    strays = sketched.where("component <> main").select("bucket", F.col("node").alias("u"), F.col("component").alias("c"), F.col("sketch").alias("sketch_u"))
-    others = sketched.select("bucket", F.col("node").alias("v"), F.col("component").alias("d"), F.col("sketch").alias("sketch_v"), F.col("component").eqNullSafe(F.col("main")).alias("in_main"))
-    # Two strays meet twice, a stray and a member of the main component once.
-    crossed = strays.join(others, "bucket").where("c <> d AND (in_main OR u < v)").select("u", "v", "sketch_u", "sketch_v")
-    near = in_order(crossed.mapInArrow(apart, PAIR)).join(star, ["u", "v"], "left_anti")
+    labelled = durable(members.join(components(links), "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component")))
+    sizes = labelled.groupBy("bucket", "n", "component").agg(F.count("*").alias("size"))
+    mixed = durable(sizes.groupBy("bucket", "n").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1"))
+    few = labelled.join(mixed.where(F.col("n") <= SMALL).select("bucket"), "bucket").join(nodes.select("node", "sketch"), "node")
+    dealt_few = few.select("bucket", "node", "component", "sketch").repartition("bucket").sortWithinPartitions("bucket")
+    near = in_order(dealt_few.mapInArrow(compare_small, PAIR)).join(star, ["u", "v"], "left_anti")
     more = durable(confirmed(durable(near), texts))
-    every = links.unionAll(more)
-    return every, components(every)
+    large = mixed.where(F.col("n") > SMALL).select("bucket", "main")
+    return links.unionAll(more).unionAll(durable(family_links(labelled.drop("n"), large, texts)))
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(row_id, row_hash, id, class_row, class_hash, n_links): one row per input row.
-
-    A class is named by its least (id, text hash). ``n_links`` counts the confirmed
-    links of the row's distinct text to other texts.
-    """
+    """(row_id, row_hash, id, class_row, class_hash): one row per input row. A class is named by its least (id, text hash)."""
     rows = keyed(docs, id_column, text_column)
     signed = durable(rows.select(*KEY, "text").mapInArrow(sign, SIGNED))
     node = F.struct(*KEY)
     # The least row of each word sequence stands for all of them.
     leaders = durable(signed.where("words IS NOT NULL").groupBy("words").agg(F.min(node).alias("node"), F.min_by("bands", node).alias("bands"), F.min_by("sketch", node).alias("sketch")))
-    links, joined = similar_links(leaders, rows)
-    ends = links.select(F.col("u").alias("node")).unionAll(links.select(F.col("v").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    named = leaders.select("words", "node").join(joined, "node", "left").join(ends, "node", "left").select(
-        "words", F.coalesce("component", "node").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    joined = components(similar_links(leaders, rows))
+    named = leaders.select("words", "node").join(joined, "node", "left").select("words", F.coalesce("component", "node").alias("class"))
     found = signed.select(*KEY, "words").join(named, "words", "left")
     own = F.coalesce("class", F.struct(*KEY))
     ids = F.when(F.col("row_id") != F.lit(-(2**63)), F.col("row_id"))
-    return found.select(*KEY, ids.alias("id"), own["row_id"].alias("class_row"), own["row_hash"].alias("class_hash"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return found.select(*KEY, ids.alias("id"), own["row_id"].alias("class_row"), own["row_hash"].alias("class_hash"))
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
