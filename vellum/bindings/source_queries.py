@@ -1,6 +1,6 @@
 """S, K and the remaining rows: parsing, declared inputs, inventories, assets, publication."""
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -292,7 +292,7 @@ def _scratch(spark):
     """A new folder beside the cluster's checkpoints."""
     use_checkpoint_dir(spark)
     base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return f"{base}/published-{next(tempfile._get_candidate_names())}"
+    return f"{base}/published-{uuid.uuid4().hex}"
 
 
 @query("K02_write_outputs", "SELECT 'documents' AS table_name, count(*) AS rows FROM documents_v UNION ALL SELECT 'sources', count(*) FROM sources_v")
