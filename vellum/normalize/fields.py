@@ -207,11 +207,6 @@ class Reader:
         self.part.drifts.append(lambda: drift(self.record, element, set(allowed), elements))
 
 
-def drift(self, element: str, allowed: set[str], elements: set[str] | None = frozenset()):
-        """Attributes and child elements outside the allow-list."""
-        self.part.drifts.append(drift(self.record, element, set(allowed), elements))
-
-
 def drift(record: Column, element: str, attributes: set[str], elements: set[str] | None, partial: set[str] = frozenset(),
           values: bool = True) -> Column:
     """Findings for unknown attributes and child elements, in stored order."""
