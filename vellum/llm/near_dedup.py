@@ -251,14 +251,18 @@ def confirm(batches):
 PAIR = "u struct<row_id: long, row_hash: long>, v struct<row_id: long, row_hash: long>"
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+#: Distinct texts for each task of the steps between the passes over all rows.
+ROWS_PER_TASK = 10_000
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
     """Of distinct pairs (u, v) those whose texts are similar; only texts in a pair are read."""
     nodes = pairs.select("u").unionAll(pairs.select("v")).distinct()
     node = F.struct(*KEY)
-    needed = durable(texts.select(node.alias("u"), "text").join(nodes, "u").dropDuplicates(["u"]))
+    needed = durable(texts.select(node.alias("u"), "text").join(nodes, "u").dropDuplicates(["u"]).coalesce(parts))
     left = pairs.join(needed.withColumnRenamed("text", "text_u"), "u")
     both = left.join(needed.select(F.col("u").alias("v"), F.col("text").alias("text_v")), "v")
-    return both.select("u", "v", "text_u", "text_v").mapInArrow(confirm, PAIR)
+    return durable(both.select("u", "v", "text_u", "text_v").coalesce(parts).mapInArrow(confirm, PAIR))
 
 
 def in_order(pairs: DataFrame, *columns: str) -> DataFrame:
@@ -266,9 +270,9 @@ def in_order(pairs: DataFrame, *columns: str) -> DataFrame:
     return pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), *columns).dropDuplicates(["u", "v"])
 
 
-def family_links(labelled: DataFrame, large: DataFrame, texts: DataFrame) -> DataFrame:
+def family_links(labelled: DataFrame, large: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
     """Links that strays of large buckets add; ``large`` has (bucket, main)."""
-    members = durable(labelled.join(large, "bucket").select(F.col("main").alias("family"), "node", "component").distinct())
+    members = durable(labelled.join(large, "bucket").select(F.col("main").alias("family"), "node", "component").distinct().coalesce(parts))
     stray = F.col("component") != F.col("family")
     sizes = members.groupBy("family").agg(F.count("*").alias("n"), F.count_if(stray).alias("s"))
     block = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK))
@@ -278,31 +282,32 @@ def family_links(labelled: DataFrame, large: DataFrame, texts: DataFrame) -> Dat
         F.pmod(draw, block("s")).cast("int").alias("own_i"), F.pmod(draw, block("n")).cast("int").alias("own_j"))
     as_member = placed.select("family", F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("i"), F.col("own_j").alias("j"), "node", "component", F.lit(False).alias("stray"))
     as_stray = placed.where("is_stray").select("family", F.col("own_i").alias("i"), F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("j"), "node", "component", F.lit(True).alias("stray"))
-    needed = durable(texts.select(F.struct(*KEY).alias("node"), "text").join(members.select("node").distinct(), "node").dropDuplicates(["node"]))
+    needed = durable(texts.select(F.struct(*KEY).alias("node"), "text").join(members.select("node").distinct(), "node").dropDuplicates(["node"]).coalesce(parts))
     key = ["family", "i", "j"]
     units = as_member.unionAll(as_stray).join(needed, "node").repartition(*key).sortWithinPartitions(*key)
     return units.select(*key, "node", "component", "stray", "text").mapInArrow(link_blocks, PAIR)
 
 
-def similar_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+def similar_links(nodes: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
     """Links (u, v) that connect all similar texts among the distinct ``nodes`` (node, bands, sketch)."""
     dealt = nodes.select("node", F.explode("bands").alias("bucket"))
     full = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = durable(dealt.join(full, "bucket"))
+    members = durable(dealt.join(full, "bucket").coalesce(parts))
     weight = members.groupBy("node").agg(F.sum("n").alias("weight"))
     centre = members.join(weight, "node").groupBy("bucket").agg(F.max_by("node", F.struct("weight", "node")).alias("centre"))
     star = in_order(members.join(centre, "bucket").select(F.col("node").alias("u"), F.col("centre").alias("v")))
-    links = durable(confirmed(durable(star), texts))
+    star = durable(star.coalesce(parts))
+    links = confirmed(star, texts, parts)
 
-    labelled = durable(members.join(components(links), "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component")))
+    labelled = durable(members.join(components(links), "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component")).coalesce(parts))
     sizes = labelled.groupBy("bucket", "n", "component").agg(F.count("*").alias("size"))
-    mixed = durable(sizes.groupBy("bucket", "n").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1"))
+    mixed = durable(sizes.groupBy("bucket", "n").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").coalesce(parts))
     few = labelled.join(mixed.where(F.col("n") <= SMALL).select("bucket"), "bucket").join(nodes.select("node", "sketch"), "node")
     dealt_few = few.select("bucket", "node", "component", "sketch").repartition("bucket").sortWithinPartitions("bucket")
     near = in_order(dealt_few.mapInArrow(compare_small, PAIR)).join(star, ["u", "v"], "left_anti")
-    more = durable(confirmed(durable(near), texts))
+    more = confirmed(durable(near.coalesce(parts)), texts, parts)
     large = mixed.where(F.col("n") > SMALL).select("bucket", "main")
-    return links.unionAll(more).unionAll(durable(family_links(labelled.drop("n"), large, texts)))
+    return links.unionAll(more).unionAll(durable(family_links(labelled.drop("n"), large, texts, parts)))
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -312,7 +317,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     node = F.struct(*KEY)
     # The least row of each word sequence stands for all of them.
     leaders = durable(signed.where("words IS NOT NULL").groupBy("words").agg(F.min(node).alias("node"), F.min_by("bands", node).alias("bands"), F.min_by("sketch", node).alias("sketch")))
-    joined = components(similar_links(leaders, rows))
+    parts = 1 + leaders.count() // ROWS_PER_TASK
+    joined = components(similar_links(leaders.coalesce(parts), rows, parts))
     named = leaders.select("words", "node").join(joined, "node", "left").select("words", F.coalesce("component", "node").alias("class"))
     found = signed.select(*KEY, "words").join(named, "words", "left")
     own = F.coalesce("class", F.struct(*KEY))
