@@ -6,8 +6,8 @@ Viterbi over a unigram model; words of host and path go to a multinomial naive
 Bayes classifier with two classes.
 
 The unigram counts are those of all words of all pages, and of the parts of
-hyphenated hosts and of paths. The dictionary keeps the ``WORDS`` most frequent
-ones; other words are possible at a price that grows with their length. Classes
+hyphenated hosts and of paths. The dictionary keeps at most ``WORDS`` of the most
+frequent ones; other words are possible at a price that grows with their length. Classes
 are learned from all pages by a seed list: a page whose words have a seed is an
 example of block, any other of allow, so words that go along with seeds count
 too. The classifier keeps the ``WORDS`` most frequent tokens as well.
@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.session import durable
+
 WORDS = 50_000
 LONGEST = 20
 #: Words that mark a page as unwanted.
@@ -91,10 +93,26 @@ class Segmenter:
         return [w for name in names for w in self.split(name)]
 
 
+def frequent(counted: DataFrame) -> DataFrame:
+    """The rows with the largest ``n``, as many whole bins of n as hold at most WORDS rows.
+
+    Bins are a tenth wide, so the driver sees a few hundred counters and then at
+    most WORDS rows, however many words there are.
+    """
+    counted = durable(counted.withColumn("bin", F.floor(F.log1p(F.col("n") - 1) / F.lit(math.log(1.1))).cast("int")))
+    least, held = 0, 0
+    for row in sorted(counted.groupBy("bin").agg(F.count("*").alias("words")).collect(), reverse=True):
+        held += row["words"]
+        if held > WORDS:
+            least = row["bin"] + 1
+            break
+    return counted.where(F.col("bin") >= least).drop("bin")
+
+
 def top(words: DataFrame) -> dict[str, int]:
-    """The WORDS most frequent of the column ``word``, with counts."""
+    """The most frequent of the column ``word``, with counts."""
     counted = words.where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
-    return {r["word"]: r["n"] for r in counted.orderBy(F.desc("n"), "word").limit(WORDS).collect()}
+    return {r["word"]: r["n"] for r in frequent(counted).collect()}
 
 
 def unigrams(pages: DataFrame, url_column: str = "url", html_column: str = "html") -> dict[str, int]:
@@ -130,10 +148,11 @@ def classify(pages: DataFrame, rules: dict[str, str], id_column: str = "page_id"
             yield pa.RecordBatch.from_arrays([pa.array(blocked, pa.bool_()), pa.array(words, pa.list_(pa.string()))], ["blocked", "words"])
 
     examples = rows.select("host", "path").mapInArrow(learn, "blocked boolean, words array<string>")
-    counted = examples.select("blocked", F.explode(F.concat("words", F.array(F.lit("")))).alias("word")).groupBy("word").agg(
+    counted = examples.select("blocked", F.explode("words").alias("word")).groupBy("word").agg(
         F.count_if(F.col("blocked")).alias("bad"), F.count_if(~F.col("blocked")).alias("good"))
-    table = {r["word"]: (r["good"], r["bad"]) for r in counted.orderBy(F.expr("word = ''").desc(), F.desc(F.col("bad") + F.col("good")), "word").limit(WORDS + 1).collect()}
-    pages_good, pages_bad = table.pop("", (0, 0))  # the empty word stands once for each page
+    table = {r["word"]: (r["good"], r["bad"]) for r in frequent(counted.withColumn("n", F.col("good") + F.col("bad"))).collect()}
+    pages_bad, pages_all = examples.agg(F.count_if("blocked"), F.count("*")).first()
+    pages_good = pages_all - pages_bad
     sums = [sum(x[k] for x in table.values()) + len(table) + 1 for k in (0, 1)]
     model = spark.sparkContext.broadcast((
         math.log((pages_bad + 1) / (pages_good + 1)), {w: math.log((b + 1) / sums[1]) - math.log((g + 1) / sums[0]) for w, (g, b) in table.items()}))
