@@ -1,5 +1,6 @@
 """Quality rules against brute force, the URL filter on fixtures, language identification on held-out rows."""
 
+import math
 import random
 import zlib
 from collections import Counter
@@ -100,3 +101,21 @@ def test_language_edge_cases(spark):
     assert all(got[k]["lang_pred"] == ("en" if k < 100 else "de") for k in got if k is not None and k < 200)
     none = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     assert identify(none).first()["lang_pred"] == "und" and identify(none.where("doc_id = 2")).count() == 0
+
+
+def test_rare_words_and_unseen_seeds_have_a_price(spark):
+    from itertools import islice, product
+
+    rare = ["".join(x) for x in islice(product("bcdfghjklm", repeat=5), 60_000)]
+    pages = [(k, f"https://n{k}.org/", " ".join(rare[k::60])) for k in range(60)]
+    pages += [(100, "https://bitcoinescort.net/", None), (101, f"https://{rare[7]}{rare[59_999]}.net/{rare[11]}", None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    got = {r["id"]: r for r in classify(df, {}).collect()}
+    assert got[100]["words"] == ["bitcoin", "escort", "net"]
+    assert got[101]["words"] == [rare[7], rare[59_999], "net", rare[11]]
+    n = Counter(w for r in got.values() for w in r["words"])
+    bad = Counter(got[100]["words"])
+    prior, sums = (1 + 1) / (len(pages) - 1 + 1), [sum(n.values()) - 3 + len(n) + 1, 3 + len(n) + 1]
+    for r in got.values():
+        want = math.log(prior) + sum(math.log((bad[w] + 1) / sums[1]) - math.log((n[w] - bad[w] + 1) / sums[0]) for w in r["words"])
+        assert r["log_odds"] == pytest.approx(want)
