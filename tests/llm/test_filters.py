@@ -119,3 +119,43 @@ def test_rare_words_and_unseen_seeds_have_a_price(spark):
     for r in got.values():
         want = math.log(prior) + sum(math.log((bad[w] + 1) / sums[1]) - math.log((n[w] - bad[w] + 1) / sums[0]) for w in r["words"])
         assert r["log_odds"] == pytest.approx(want)
+
+
+def test_every_labelled_language_is_fitted_within_the_bound(spark, monkeypatch):
+    from vellum.llm import ppm_language as P
+
+    rng = random.Random(8)
+
+    def prose(words, n):
+        return " ".join(rng.choice(words) for _ in range(n))
+
+    kinds = {"en": ["the", "cat", "and", "dog", "with", "them"], "de": ["der", "hund", "und", "katze", "mit", "ihnen"], "fr": ["le", "chat", "et", "chien", "avec", "eux"]}
+    rows = [(k, prose(kinds["en"], 12), "en") for k in range(90)] + [(k, prose(kinds["de"], 9_000), "de") for k in range(100, 103)]
+    copies = prose(kinds["fr"], 700)
+    rows += [(k, copies, "fr") for k in range(200, 290)] + [(900 + k, prose(words, 8), None) for k, words in enumerate(kinds.values())]
+    monkeypatch.setattr(P, "SAMPLE_BYTES", 4_000)
+    monkeypatch.setattr(P, "PART", 1_500)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = {r["id"]: r["lang_pred"] for r in identify(docs).collect()}
+    assert [got[k] for k in (900, 901, 902)] == ["en", "de", "fr"]
+    drawn = P.sample(docs.where("lang IS NOT NULL").select("text", "lang")).collect()
+    held = {x: sum(len(r["part"]) - P.ORDER for r in drawn if r["lang"] == x) for x in kinds}
+    assert set(held) == {r["lang"] for r in drawn} and all(2_500 <= n <= 4_000 for n in held.values()) and all(r["n"] == 90 for r in drawn if r["lang"] == "fr")
+
+
+def test_trees_keep_all_contexts_of_a_small_language(spark):
+    from vellum.llm import ppm_language as P
+
+    rng = random.Random(9)
+    rows = [("".join(chr(rng.randrange(33, 127)) for _ in range(n)), "x") for n in (5, 100_000, 140_000, 300_000, 300_000)] + [("", "x"), ("", "none")]
+    rows.append(rows[0])
+    got = P.fit(spark.createDataFrame(rows, "text string, lang string").repartition(2))
+    want = Counter(raw[k : k + 5] for raw in (P.EDGE + t.encode() for t, lang in rows) for k in range(len(raw) - P.ORDER))
+    assert got.languages == ["x"] and len(got.levels[0][4][0]) == len(want) > 1 << 19
+    n = Counter()
+    for gram, k in want.items():
+        n[gram[:4]] += k
+    kinds = Counter(gram[:4] for gram in want)
+    for gram in list(want)[::50_000]:
+        at = int((got.levels[0][4][0] == int.from_bytes(gram, "little")).nonzero()[0][0])
+        assert got.levels[0][4][1][at] == pytest.approx(-math.log2(want[gram] / (n[gram[:4]] + kinds[gram[:4]])))

@@ -7,14 +7,17 @@ escape with q/(n+q) for q distinct successors among n) and the next shorter
 context is tried, down to a uniform byte. With frozen counts the cost depends on
 five bytes only, so costs are looked up for whole arrays of text positions.
 
-The trees are fitted on a bounded sample: about ``SAMPLE_BYTES`` of whole texts of
-each language, drawn by a hash of the text, and at most ``MODEL_GRAMS`` contexts
-with successor of each language. Every whole text is scored.
+The trees are fitted on a bounded sample: at most ``SAMPLE_BYTES`` of distinct text of
+each language, cut into parts of ``PART`` bytes that each follow the bytes before
+them, and taken in the order of a hash. A part is never longer than the bound, so every
+language with a byte of labelled text is fitted, and one within the bound is fitted
+on all of it. All contexts of the sample are kept. Every whole text is scored.
 
 A null text and one without a letter are ``und`` with score 0. The score is the
 weight of the best language when each weighs 2 to the minus bits per byte. Equal
 costs go to the first language by name. With no labelled text all are ``und``.
-Null languages are not learned from; repeated rows count as often as they occur;
+Null languages are not learned from; a part counts as often as it occurs, and once
+for the bound;
 other columns are ignored.
 """
 
@@ -26,9 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from vellum.session import durable
+
 ORDER = 4
 SAMPLE_BYTES = 1 << 21
-MODEL_GRAMS = 1 << 19
+PART = 1 << 16
 PIECE = 1 << 21
 SLOTS = 20
 EDGE = b"\n" * ORDER
@@ -109,35 +114,53 @@ class Trees:
 
 def count_grams(batches):
     for batch in batches:
-        langs = batch["lang"].to_pylist()
         gathered: dict[str, list] = {}
-        for lang, text in zip(langs, batch["text"]):
-            keys, begins, ends = gram_keys([EDGE + text.as_py().encode()])
-            gathered.setdefault(lang, []).append(keys[: ends[0]])
-            if sum(map(len, gathered[lang])) > PIECE:
+        for lang, raw, n in zip(batch["lang"].to_pylist(), batch["part"], batch["n"].to_pylist()):
+            keys, begins, ends = gram_keys([raw.as_py()])
+            own = gathered.setdefault(lang, [])
+            own.append((keys[: ends[0]], n))
+            if sum(len(k) for k, _ in own) > PIECE:
                 yield _counted(lang, gathered.pop(lang))
-        for lang, keys in gathered.items():
-            yield _counted(lang, keys)
+        for lang, own in gathered.items():
+            yield _counted(lang, own)
 
 
-def _counted(lang: str, keys: list) -> pa.RecordBatch:
-    grams, n = np.unique(np.concatenate(keys), return_counts=True)
+def _counted(lang: str, own: list) -> pa.RecordBatch:
+    grams, of = np.unique(np.concatenate([k for k, _ in own]), return_inverse=True)
+    n = np.zeros(len(grams), np.int64)
+    np.add.at(n, of, np.repeat([n for _, n in own], [len(k) for k, _ in own]))
     return pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
 
+def sample(labelled: DataFrame) -> DataFrame:
+    """(lang, part, n): distinct parts of each language in hash order up to SAMPLE_BYTES, with how often they occur.
+
+    Bytes are added up over 1,024 ranges of the hash and then within the ranges that
+    begin below the bound; only parts in ranges that are drawn from are sent.
+    """
+    raw = labelled.select("lang", F.concat(F.lit(EDGE), F.encode("text", "UTF-8")).alias("raw"))
+    starts = raw.where(F.octet_length("raw") > ORDER).select("lang", "raw", F.explode(F.sequence(F.lit(1), F.octet_length("raw") - ORDER, F.lit(PART))).alias("at"))
+    parts = starts.select("lang", F.substring("raw", F.col("at"), F.lit(PART + ORDER)).alias("part"))
+    key = ["lang", "a", "b"]
+    hashed = parts.select("lang", F.xxhash64("part").alias("a"), F.xxhash64(F.lit(7), "part").alias("b"), "part")
+    sizes = durable(hashed.groupBy(*key).agg(F.max(F.octet_length("part") - ORDER).alias("bytes"), F.count("*").alias("n")).withColumn("bin", F.shiftrightunsigned("a", 54)))
+    before = F.sum("held").over(Window.partitionBy("lang").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
+    bins = sizes.groupBy("lang", "bin").agg(F.sum("bytes").alias("held")).select("lang", "bin", F.coalesce(before, F.lit(0)).alias("before")).where(F.col("before") < SAMPLE_BYTES)
+    upto = F.col("before") + F.sum("bytes").over(Window.partitionBy("lang", "bin").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, 0))
+    drawn = durable(sizes.join(bins, ["lang", "bin"]).withColumn("upto", upto).where(F.col("upto") <= SAMPLE_BYTES).select(*key, "bin", "n"))
+    last = drawn.groupBy("lang").agg(F.max("bin").alias("last"))
+    near = hashed.join(F.broadcast(last), "lang").where(F.shiftrightunsigned("a", 54) <= F.col("last"))
+    return near.groupBy(*key).agg(F.first("part").alias("part")).join(drawn, key).select("lang", "part", "n")
+
+
 def fit(labelled: DataFrame) -> Trees:
-    """Trees from (text, lang) rows; sample, counting and cut run in Spark, the bounded tables go to the driver."""
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect() if r["n"]}
-    if not sizes:
-        return Trees([], *(np.empty(0, np.int64),) * 3)
-    share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, SAMPLE_BYTES / n))))
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / (1 << 20)
-    counted = labelled.where(draw < share[F.col("lang")]).mapInArrow(count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    ranked = counted.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")))
-    table = ranked.where(F.col("r") <= MODEL_GRAMS).select("lang", "gram", "n").toArrow()
-    languages = sorted(sizes)
-    number = {lang: k for k, lang in enumerate(languages)}
-    which = np.array([number[x] for x in table["lang"].to_pylist()], np.int64)
+    """Trees from (text, lang) rows; sample and counting run in Spark, the bounded tables go to the driver."""
+    counted = sample(labelled).mapInArrow(count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    table = counted.toArrow()
+    named = table["lang"].combine_chunks().dictionary_encode()
+    found = named.dictionary.to_pylist()
+    languages = sorted(found)
+    which = np.array([languages.index(x) for x in found], np.int64)[named.indices.to_numpy()] if found else np.empty(0, np.int64)
     return Trees(languages, which, table["gram"].to_numpy(), table["n"].to_numpy())
 
 
