@@ -1,15 +1,14 @@
-"""Removal of later copies of byte strings, by longest previous factors.
+"""Removal of later copies of byte strings: positions whose longest previous factor is long enough.
 
 The longest previous factor of a position is the longest string that starts there
 and also at an earlier position (a smaller id, or the same document further
 left). Where it reaches 100 bytes, those 100 bytes are removed; the first copy
 stays. Texts are judged as they came, so removals do not influence each other.
 
-Positions whose 100 bytes are equal meet in one bucket by their minimiser. There
-the suffixes that have an equal partner are put in suffix order, ties by text
-position, and the nearest smaller positions before and after a suffix in that
-order, with the common prefix up to them, give its longest previous factor. A
-suffix alone in its hash has no factor of that length and is not ordered.
+The factors themselves are not computed. One reaches 100 bytes just where the
+window of 100 bytes also stands at an earlier place, so positions whose 100 bytes
+are equal meet in one bucket by their minimiser, are grouped by a hash that is
+confirmed on the bytes, and all but the least place of a group are marked.
 
 Null texts are empty. Texts below the length have no window. Rows that repeat an
 id and a text are one document: they are no earlier copies of each other. Of
