@@ -104,3 +104,13 @@ def test_large_buckets_go_by_blocks(spark, monkeypatch):
     rows = corpus()
     got = {r["id"]: r["class_row"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert got == brute(rows)
+
+
+def test_small_buckets_confirm_every_pair_of_two_components():
+    """Registers that disagree by chance rule no pair out before the exact check."""
+    import pyarrow as pa
+
+    name = lambda k: {"row_id": k, "row_hash": 0}
+    rows = [{"bucket": b, "node": name(k), "component": name(c), "sketch": bytes([k]) * REGISTERS} for b, k, c in [(1, 1, 1), (1, 2, 1), (1, 3, 3), (2, 3, 3), (2, 4, 4)]]
+    found = [tuple(x["row_id"] for x in p.values()) for b in near_dedup.compare_small([pa.RecordBatch.from_pylist(rows)]) for p in b.to_pylist()]
+    assert sorted(found) == [(1, 3), (2, 3), (3, 4)]

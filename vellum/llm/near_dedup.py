@@ -18,7 +18,7 @@ all pairs of a bucket would be quadratic, so:
 2. Confirmed pairs are joined to components. Members of a bucket outside its most
    frequent component (strays) are compared with all members of other components,
    because only such pairs can still join anything. In a bucket of up to 64 texts
-   the signatures rule out most pairs and the rest are confirmed like the others.
+   all such pairs are confirmed like the others.
    Larger buckets with one main component are merged to a family, so a pair that
    meets in many bands is compared once. Families are cut into blocks of 512
    strays by 512 members; a task compares a pair of blocks exactly, by one matrix
@@ -52,8 +52,6 @@ from vellum.session import durable
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
-#: Lowest share of equal registers at which two texts may still be similar: four standard deviations below 0.8.
-LEAST_AGREEMENT = 0.63
 PIECE = 1 << 21
 #: Texts of a bucket up to which pairs are compared one by one, texts of a block, columns of a matrix.
 SMALL, BLOCK, COLUMNS = 64, 512, 4096
@@ -103,28 +101,28 @@ def signatures(hashes: np.ndarray, weights: np.ndarray, owner: np.ndarray, n: in
     return registers.reshape(n, REGISTERS)
 
 
-SIGNED = "row_id long, row_hash long, words binary, bands array<long>, sketch binary"
+SIGNED = "row_id long, row_hash long, words binary, bands array<long>"
 
 
 def sign(batches):
-    """(key, digest of the word sequence, band keys, a byte of each register) of every row; nulls where it has no word."""
+    """(key, digest of the word sequence, band keys) of every row; nulls where it has no word."""
     def close(held):
         entries = [x for x in held if len(x[3][0])]
         owner = np.repeat(np.arange(len(entries)), [len(x[3][0]) for x in entries])
-        bands, sketch = {}, {}
+        bands = {}
         if entries:
             signed = signatures(np.concatenate([x[3][0] for x in entries]), np.concatenate([x[3][1] for x in entries]), owner, len(entries))
             bits = M.mix(signed.view(np.uint64).copy())
             keys = np.zeros((len(entries), BANDS), np.uint64)
             for k in range(ROWS):
                 keys = M.mix(keys * np.uint64(0x9E3779B97F4A7C15) + bits[:, k::ROWS] + np.arange(BANDS, dtype=np.uint64))
-            for (row_id, row_hash, _, _), key, byte in zip(entries, keys.view(np.int64).tolist(), (bits & np.uint64(255)).astype(np.uint8)):
-                bands[row_id, row_hash], sketch[row_id, row_hash] = key, byte.tobytes()
+            for (row_id, row_hash, _, _), key in zip(entries, keys.view(np.int64).tolist()):
+                bands[row_id, row_hash] = key
         names = [(x[0], x[1]) for x in held]
         return pa.RecordBatch.from_arrays([
             pa.array([x[0] for x in held], pa.int64()), pa.array([x[1] for x in held], pa.int64()), pa.array([x[2] for x in held], pa.binary()),
-            pa.array([bands.get(k) for k in names], pa.list_(pa.int64())), pa.array([sketch.get(k) for k in names], pa.binary()),
-        ], [*KEY, "words", "bands", "sketch"])
+            pa.array([bands.get(k) for k in names], pa.list_(pa.int64())),
+        ], [*KEY, "words", "bands"])
 
     for batch in batches:
         held, size = [], 0
@@ -160,12 +158,10 @@ def _pairs(found: list) -> pa.RecordBatch:
 
 
 def compare_small(batches):
-    """Of each small bucket the pairs of different components whose signatures agree in enough registers."""
+    """Of each small bucket all pairs of different components."""
     found = []
     for rows in grouped(batches, ["bucket"]):
-        signed = np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint8).reshape(-1, REGISTERS)
-        close = np.triu((signed[:, None] == signed[None]).mean(axis=2) >= LEAST_AGREEMENT, 1)
-        found += [(rows[a]["node"], rows[b]["node"]) for a, b in zip(*np.nonzero(close)) if rows[a]["component"] != rows[b]["component"]]
+        found += [(a["node"], b["node"]) for k, a in enumerate(rows) for b in rows[k + 1 :] if a["component"] != b["component"]]
         if len(found) > 10_000:
             yield _pairs(found)
             found = []
@@ -289,7 +285,7 @@ def family_links(labelled: DataFrame, large: DataFrame, texts: DataFrame, parts:
 
 
 def similar_links(nodes: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
-    """Links (u, v) that connect all similar texts among the distinct ``nodes`` (node, bands, sketch)."""
+    """Links (u, v) that connect all similar texts among the distinct ``nodes`` (node, bands)."""
     dealt = nodes.select("node", F.explode("bands").alias("bucket"))
     full = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = durable(dealt.join(full, "bucket").coalesce(parts))
@@ -302,8 +298,8 @@ def similar_links(nodes: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
     labelled = durable(members.join(components(links), "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component")).coalesce(parts))
     sizes = labelled.groupBy("bucket", "n", "component").agg(F.count("*").alias("size"))
     mixed = durable(sizes.groupBy("bucket", "n").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").coalesce(parts))
-    few = labelled.join(mixed.where(F.col("n") <= SMALL).select("bucket"), "bucket").join(nodes.select("node", "sketch"), "node")
-    dealt_few = few.select("bucket", "node", "component", "sketch").repartition("bucket").sortWithinPartitions("bucket")
+    few = labelled.join(mixed.where(F.col("n") <= SMALL).select("bucket"), "bucket")
+    dealt_few = few.select("bucket", "node", "component").repartition("bucket").sortWithinPartitions("bucket")
     near = in_order(dealt_few.mapInArrow(compare_small, PAIR)).join(star, ["u", "v"], "left_anti")
     more = confirmed(durable(near.coalesce(parts)), texts, parts)
     large = mixed.where(F.col("n") > SMALL).select("bucket", "main")
@@ -316,7 +312,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     signed = durable(rows.select(*KEY, "text").mapInArrow(sign, SIGNED))
     node = F.struct(*KEY)
     # The least row of each word sequence stands for all of them.
-    leaders = durable(signed.where("words IS NOT NULL").groupBy("words").agg(F.min(node).alias("node"), F.min_by("bands", node).alias("bands"), F.min_by("sketch", node).alias("sketch")))
+    leaders = durable(signed.where("words IS NOT NULL").groupBy("words").agg(F.min(node).alias("node"), F.min_by("bands", node).alias("bands")))
     parts = 1 + leaders.count() // ROWS_PER_TASK
     joined = components(similar_links(leaders.coalesce(parts), rows, parts))
     named = leaders.select("words", "node").join(joined, "node", "left").select("words", F.coalesce("component", "node").alias("class"))
