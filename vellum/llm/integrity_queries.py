@@ -45,35 +45,35 @@ WITH RECURSIVE leaves AS (
                THEN {_leaf('CAST(n_chars AS HUGEINT) + 1')} END AS replaced
     FROM documents),
 placed AS (
-    SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf) - 1 AS at, count(*) OVER (PARTITION BY key) AS total FROM leaves),
-nodes(level, key, at, total, node) AS (
-    SELECT 0, key, at, total, leaf FROM placed
+    SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY key) AS total FROM leaves),
+nodes(level, key, pos, total, node) AS (
+    SELECT 0, key, pos, total, leaf FROM placed
     UNION ALL
-    SELECT level + 1, key, at // {ARITY}, (total + {ARITY - 1}) // {ARITY}, sha256(string_agg(node, '' ORDER BY at))
-    FROM nodes WHERE total > 1 GROUP BY level, key, at // {ARITY}, total),
+    SELECT level + 1, key, pos // {ARITY}, (total + {ARITY - 1}) // {ARITY}, sha256(string_agg(node, '' ORDER BY pos))
+    FROM nodes WHERE total > 1 GROUP BY level, key, pos // {ARITY}, total),
 subroots AS (
-    SELECT key, level AS height, node AS subroot, row_number() OVER (ORDER BY key) - 1 AS at, count(*) OVER () AS total FROM nodes WHERE total = 1),
-over(level, at, total, node) AS (
-    SELECT 0, at, total, subroot FROM subroots
+    SELECT key, level AS height, node AS subroot, row_number() OVER (ORDER BY key) - 1 AS pos, count(*) OVER () AS total FROM nodes WHERE total = 1),
+upper_nodes(level, pos, total, node) AS (
+    SELECT 0, pos, total, subroot FROM subroots
     UNION ALL
-    SELECT level + 1, at // {ARITY}, (total + {ARITY - 1}) // {ARITY}, sha256(string_agg(node, '' ORDER BY at))
-    FROM over WHERE total > 1 GROUP BY level, at // {ARITY}, total),
+    SELECT level + 1, pos // {ARITY}, (total + {ARITY - 1}) // {ARITY}, sha256(string_agg(node, '' ORDER BY pos))
+    FROM upper_nodes WHERE total > 1 GROUP BY level, pos // {ARITY}, total),
 every AS (
-    SELECT key, level, at, node FROM nodes UNION ALL SELECT key, height + over.level, over.at + 1000000000000, node FROM over, subroots),
+    SELECT key, level, pos, node FROM nodes UNION ALL SELECT key, height + upper_nodes.level, upper_nodes.pos + 1000000000000, node FROM upper_nodes, subroots),
 way AS (
-    SELECT p.doc_id, p.key, p.at AS leaf_at, p.leaf, p.replaced, s.subroot, s.height, s.at AS group_at,
-           s.height + (SELECT max(level) FROM over) AS top FROM placed p JOIN subroots s USING (key)),
-folds(key, leaf_at, level, top, height, group_at, own, folded, proof) AS (
-    SELECT key, leaf_at, 0, top, height, group_at, CASE WHEN height > 0 THEN leaf_at ELSE group_at + 1000000000000 END, coalesce(replaced, leaf), '' FROM way
+    SELECT p.doc_id, p.key, p.pos AS leaf_pos, p.leaf, p.replaced, s.subroot, s.height, s.pos AS group_pos,
+           s.height + (SELECT max(level) FROM upper_nodes) AS top FROM placed p JOIN subroots s USING (key)),
+folds(key, leaf_pos, level, top, height, group_pos, own, folded, proof) AS (
+    SELECT key, leaf_pos, 0, top, height, group_pos, CASE WHEN height > 0 THEN leaf_pos ELSE group_pos + 1000000000000 END, coalesce(replaced, leaf), '' FROM way
     UNION ALL
-    SELECT f.key, f.leaf_at, f.level + 1, f.top, f.height, f.group_at,
-           CASE WHEN f.level + 1 = f.height THEN f.group_at + 1000000000000
+    SELECT f.key, f.leaf_pos, f.level + 1, f.top, f.height, f.group_pos,
+           CASE WHEN f.level + 1 = f.height THEN f.group_pos + 1000000000000
                 WHEN f.level + 1 > f.height THEN (f.own - 1000000000000) // {ARITY} + 1000000000000 ELSE f.own // {ARITY} END,
            sha256(CASE WHEN f.own % {ARITY} = 1 THEN e.node || f.folded ELSE f.folded || coalesce(e.node, '') END), f.proof || coalesce(e.node, '')
-    FROM folds f LEFT JOIN every e ON e.key = f.key AND e.level = f.level AND e.at = xor(f.own, 1)
+    FROM folds f LEFT JOIN every e ON e.key = f.key AND e.level = f.level AND e.pos = xor(f.own, 1)
     WHERE f.level < f.top)
 SELECT w.doc_id, w.leaf, w.subroot, r.node AS root, sha256(f.proof) AS proof_sha256, f.folded AS folded_root, f.folded = r.node AS verified
-FROM way w JOIN folds f ON f.key = w.key AND f.leaf_at = w.leaf_at AND f.level = w.top, (SELECT node FROM over WHERE total = 1) r
+FROM way w JOIN folds f ON f.key = w.key AND f.leaf_pos = w.leaf_pos AND f.level = w.top, (SELECT node FROM upper_nodes WHERE total = 1) r
 """
 
 QUERIES = {"op11_merkle_manifest": op11_merkle_manifest, "op12_secret_scan": op12_secret_scan, "op13_embedding_whitening": op13_embedding_whitening}

@@ -8,7 +8,7 @@ it is known not to be a secret:
 * a digest: hex digits of one case, of the length of a usual hash, with or without the
   name of the hash in front (``sha256-``, ``md5=``);
 * an identifier: UUIDs, numbers, dates and versions, and names, that is runs without
-  digits, or whose parts between ``_ . / - = +`` are each a word or a number;
+  digits, or whose parts between ``_ . / - = +`` are each a word, a number, or a short word with a short number;
 * a run that a fixed shape has reported already, as a whole or in part.
 
 Spans count code points. Null texts are empty; empty texts have no spans; repeated rows
@@ -31,12 +31,12 @@ from vellum.llm.byte_bpe import tokenizer, vocabulary
 
 KINDS = ["assign", "access", "hex", "dense"]
 _FLAGS = re.ASCII | re.IGNORECASE
-#: (kind, pattern, group whose length counts, least length)
-SHAPES = [
-    ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", _FLAGS), 2, 6),
-    ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 20),
-    ("hex", re.compile(r"[0-9a-f]+"), 0, 24),
-]
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", _FLAGS)
+ASSIGN_CHARS = 6
+#: Without one of these in its bytes, A-Z lower-cased, a text has no assignment.
+HINTS = [b"passw", b"secret", b"token", b"api"]
+#: (kind, pattern): runs below the least length never match, which is the same as dropping them, since a run is matched as a whole.
+SHAPES = [(1, re.compile(r"AKIA[A-Z0-9]{16,}")), (2, re.compile(r"[0-9a-f]{24,}"))]
 
 MIN_CHARS = 20
 #: Characters a token, at most.
@@ -46,7 +46,8 @@ RUN = re.compile(rf"[A-Za-z0-9+/_.=-]{{{MIN_CHARS},}}")
 DIGEST = re.compile(r"(?:(?:md5|sha\d*|sha\d-\d+)[-=])?(?:[0-9a-f]+|[0-9A-F]+)", re.ASCII)
 DIGEST_CHARS = {32, 40, 56, 64, 96, 128}
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-NAME = re.compile(r"(?:[A-Za-z]?[a-z]+|[A-Z]+|\d+)?(?:[_./=+-]+(?:[A-Za-z]?[a-z]+|[A-Z]+|[vV]?\d+|$))*")
+_PART = r"[A-Za-z]?[a-z]+|[A-Z]+|\d+|[A-Za-z]{1,4}\d{1,4}"
+NAME = re.compile(rf"(?:{_PART})?(?:[_./=+-]+(?:{_PART}|$))*")
 
 SCANNED = "id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_dense long"
 
@@ -58,25 +59,29 @@ def is_known(run: str) -> bool:
     return not any("0" <= c <= "9" for c in run) or bool(UUID.fullmatch(run) or NAME.fullmatch(run))
 
 
-def shaped(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of the fixed shapes: leftmost non-overlapping matches of each, those too short dropped."""
-    return [
-        (m.start(), k, m.end()) for k, (_, pattern, group, least) in enumerate(SHAPES) for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
+def shaped(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the fixed shapes: leftmost non-overlapping matches of each, those too short dropped.
 
+    Characters of the last two shapes are characters of ``RUN``, and both are as long, so they are looked for in its runs only.
+    """
+    lowered, found = text.encode("utf-8", "surrogatepass").lower(), []
+    if any(hint in lowered for hint in HINTS):
+        found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_CHARS]
+    return found + [(m.start(), k, m.end()) for a, b in runs for k, pattern in SHAPES for m in pattern.finditer(text, a, b)]
 
-def dense(text: str, taken: list[tuple[int, int, int]], n_tokens) -> list[tuple[int, int, int]]:
+
+def dense(text: str, runs: list[tuple[int, int]], taken: list[tuple[int, int, int]], n_tokens) -> list[tuple[int, int, int]]:
     """Runs that cost a token for ``MAX_RATIO`` characters or less, are not known, and share no character with a span of ``taken``."""
     spans, at, found = sorted((a, b) for a, _, b in taken), 0, []
-    for m in RUN.finditer(text):
-        start, end = m.span()
+    for start, end in runs:
         while at < len(spans) and spans[at][1] <= start:
             at += 1
         # spans of different kinds may nest, so look past the first
         if any(a < end and b > start for a, b in _until(spans, at, end)):
             continue
-        run = m.group()
+        run = text[start:end]
         if end - start <= MAX_RATIO * n_tokens(run) and not is_known(run):
-            found.append((start, len(SHAPES), end))
+            found.append((start, KINDS.index("dense"), end))
     return found
 
 
@@ -108,9 +113,10 @@ def scan(docs: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc_i
             rows = []
             for number, text in zip(batch["id"].to_pylist(), batch["text"]):
                 text = text.as_py()
-                base = shaped(text)
-                more = dense(text, base, n_tokens)
-                counts = [sum(kind == k for _, kind, _ in base) for k in range(len(SHAPES))]
+                runs = [m.span() for m in RUN.finditer(text)]
+                base = shaped(text, runs)
+                more = dense(text, runs, base, n_tokens)
+                counts = [sum(kind == k for _, kind, _ in base) for k in range(3)]
                 rows.append((number, *counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + more), len(more)))
             if rows:
                 kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
