@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.records import MAX_DEPTH, attribute, children, element, first_child
+from ..functions.records import RULE_LEVELS, attribute, children, element, first_child
 from ..normalize import crafts, fields, historical, items, modifiers, monsters, spells
 from ..operators import linking, quality, spell_linking
 from . import views  # noqa: F401
@@ -25,7 +25,7 @@ def rows(spark, sf, root, parent=None):
     """One record per order, with the columns that normalisers expect next to it."""
     o = table(spark, sf, "orders").withColumn("n", F.col("o_orderkey"))
     return o.select(
-        F.col("o_orderkey").alias("row_id"), root(MAX_DEPTH).alias("record"), F.concat(F.lit("src"), F.expr("n % 3")).alias("source_id"),
+        F.col("o_orderkey").alias("row_id"), root(RULE_LEVELS).alias("record"), F.concat(F.lit("src"), F.expr("n % 3")).alias("source_id"),
         F.lit("db.xml").alias("file"), F.expr("cast(n % 5 as int)").alias("precedence"),
         (F.expr(parent) if parent else F.lit(None)).cast("string").alias("parent_name"))
 
@@ -373,7 +373,7 @@ query("N40_schema_drift", "SELECT event_id, 'Unsupported flags attribute k was p
         "event_id", F.explode(fields.drift(F.col("record"), "flags", {"known"}, set())).alias("f")).select("event_id", "f.message"))
 query("S07_attribute_access", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k, CAST(NULL AS VARCHAR) AS missing FROM events")(
     lambda spark, sf: table(spark, sf, "events").select("event_id", element("e", {}).withField("children", F.array(
-        element("flags", {}, depth=MAX_DEPTH - 1).withField("attrs", F.from_json("props", "map<string,string>")))).alias("r")).select(
+        element("flags", {}, depth=RULE_LEVELS - 1).withField("attrs", F.from_json("props", "map<string,string>")))).alias("r")).select(
         "event_id", attribute(first_child(F.col("r"), "flags"), "k").alias("k"), attribute(first_child(F.col("r"), "other"), "k").alias("missing")))
 
 ITEM = node("item", {"name": "CASE WHEN n % 9 <> 0 THEN 'Thing ' || n END", "iconFile": "'art\\\\x.png'", "alchemical": "'1'"}, node("price", {"amount": "CASE n % 3 WHEN 0 THEN cast(o_custkey AS string) WHEN 1 THEN '-4' END"}),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..normalize import catalogue as whole
 from ..operators import publish, quality, search
 from ..session import use_checkpoint_dir
-from ..sources import assets, inputs, xml_records
+from ..sources import assets, inputs, trees, xml_records
 from . import views  # noqa: F401
 from .registry import VIEWS, query, source, table
 from .search_queries import documents, entities
@@ -51,6 +51,38 @@ query("S05_nested_parents", """SELECT 'monDB-' || c_custkey || '.xml' AS file, n
 FROM customer, (SELECT unnest(['', 'leaf', 'solo', NULL]) AS k), LATERAL (SELECT CASE WHEN k = '' THEN 'm' || c_custkey ELSE k END AS n)""")(
     lambda spark, sf: xml_records.records(xml_records.parse_xml(monster_files(spark, sf)), "monster").select(
         "file", F.col("record.attrs")["name"].alias("name"), "parent_name"))
+
+# Trees of one to thirteen levels below each record; every level has a leaf beside the next one.
+DEEP = """'<db><item name="i' || p_partkey || '">' || repeat('<group><leaf/>', cast(p_partkey % 13 + 1 as int)) || repeat('</group>', cast(p_partkey % 13 + 1 as int)) || '</item></db>'"""
+
+
+def deep_nodes(spark, sf):
+    return trees.parse_nodes(table(spark, sf, "part").select(
+        F.col("p_brand").alias("source_id"), F.concat(F.lit("deep-"), "p_partkey", F.lit(".xml")).alias("file"), F.lit("items").alias("kind"), F.lit(0).alias("precedence"), F.expr(DEEP).alias("content")))
+
+
+@query("S03_whole_trees", """SELECT 'deep-' || p_partkey || '.xml' AS file, 2 + 2 * levels AS nodes, 2 + levels AS deepest, 'i' || p_partkey AS name, 2 * levels AS inside, 'db/item' || repeat('/group', CAST(levels AS INT)) || '/leaf' AS longest
+  FROM (SELECT p_partkey, p_partkey % 13 + 1 AS levels FROM part)""", big="nodes deepest inside")
+def whole_trees(spark, sf):
+    """Per file: all nodes, the depth of the deepest, the descendants of its record, and the longest path."""
+    nodes = deep_nodes(spark, sf)
+    counted = nodes.groupBy("file").agg(F.count(F.lit(1)).alias("nodes"), F.max("depth").cast("bigint").alias("deepest"))
+    inside = trees.descendants(nodes, trees.record_elements(nodes)).groupBy("file").agg(F.count(F.lit(1)).alias("inside"), F.max("node").alias("node"))
+    named = trees.record_elements(nodes).select("file", F.col("attrs")["name"].alias("name"))
+    last = nodes.join(inside.select("file", "node"), ["file", "node"])
+    paths = trees.path(nodes, last).select("file", F.col("path").alias("longest"))
+    return counted.join(inside.drop("node"), "file").join(named, "file").join(paths, "file")
+
+
+query("S04_collect_at_any_depth", "SELECT 'deep-' || p_partkey || '.xml' AS file, k AS levels, 2 + k AS depth FROM part, LATERAL (SELECT unnest(range(1, p_partkey % 13 + 2)) AS k)", big="levels depth")(
+    lambda spark, sf: trees.descendants(trees.elements(deep_nodes(spark, sf), "leaf"), trees.elements(deep_nodes(spark, sf), "item")).select(
+        "file", (F.col("levels") - 1).cast("bigint").alias("levels"), F.col("depth").cast("bigint").alias("depth")))
+query("S05_nearest_holder", """SELECT 'monDB-' || c_custkey || '.xml' AS file, n AS name, CASE WHEN n = 'leaf' OR n IS NULL THEN 'm' || c_custkey END AS parent_name
+FROM customer, (SELECT unnest(['', 'leaf', 'solo', NULL]) AS k), LATERAL (SELECT CASE WHEN k = '' THEN 'm' || c_custkey ELSE k END AS n)""")(
+    lambda spark, sf: (lambda m: trees.with_nearest(m, m, "name", "parent_name").select("file", F.col("attrs")["name"].alias("name"), "parent_name"))(
+        trees.elements(trees.parse_nodes(monster_files(spark, sf)), "monster")))
+query("N40_unknown_at_any_depth", "SELECT 'deep-' || p_partkey || '.xml' AS file, k AS parent, 'leaf' AS tag, 1 AS times FROM part, LATERAL (SELECT unnest(range(1, p_partkey % 13 + 2)) * 2 AS k)", big="parent times")(
+    lambda spark, sf: trees.unknown_elements(deep_nodes(spark, sf), {"group": ["group"], "db": ["item"]}).select("file", "parent", "tag", "times"))
 query("A21_xml_audit", "SELECT 'items' AS kind, count(*) FILTER (p_partkey % 8 > 2) AS valid, count(*) FILTER (p_partkey % 8 <= 2) AS invalid, 2 * count(*) FILTER (p_partkey % 8 > 2) AS records FROM part", big="records")(
     lambda spark, sf: inputs.xml_audit(xml_records.parse_xml(item_files(spark, sf))))
 query("A21_file_audit", "SELECT '.xml' AS extension, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS bytes FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT '[none]', count(*), CAST(sum(n_chars) AS BIGINT) FROM documents WHERE doc_id % 3 <> 0")(

@@ -1,8 +1,8 @@
 """Reading a parsed element: its attributes and the elements directly inside it.
 
 A record column is ``struct<tag, attrs, folded, line, column, children>``;
-``children`` nests the same struct down to ``MAX_DEPTH`` levels; the reader
-reports every record that has elements below that. ``folded`` has the compatibility
+``children`` nests the same struct for the ``RULE_LEVELS`` levels that the rules of
+the normalisers look at; whole trees are rows of ``sources.trees``. ``folded`` has the compatibility
 form of those attributes that are not ASCII: the reader of the text computes it,
 so that keys inside nested records need no Python afterwards.
 """
@@ -13,10 +13,11 @@ from pyspark.sql import Column, functions as F, types as T
 
 from .keys import canonical_key
 
-MAX_DEPTH = 5
+# Declarations inside a hook of a spell's buff are three levels down, and what stands inside those is reported as unknown: four.
+RULE_LEVELS = 4
 
 
-def element_type(depth: int = MAX_DEPTH) -> T.StructType:
+def element_type(depth: int = RULE_LEVELS) -> T.StructType:
     fields = [
         T.StructField("tag", T.StringType()),
         T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
@@ -73,7 +74,7 @@ def child_attribute(record: Column, tag: str, name: str) -> Column:
     return attribute(first_child(record, tag), name)
 
 
-def element(tag: str, attrs: dict[str, Column], inner: list[Column] | None = None, depth: int = MAX_DEPTH,
+def element(tag: str, attrs: dict[str, Column], inner: list[Column] | None = None, depth: int = RULE_LEVELS,
             line: Column | None = None) -> Column:
     """Build a record column from other columns (used where records come from tables)."""
     pairs = [part for name, value in attrs.items() for part in (F.lit(name), value.cast("string"))]
