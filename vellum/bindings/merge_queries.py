@@ -385,6 +385,47 @@ def apply_patches(spark, sf):
     return after.select("id", F.col("fields")["price"].cast("bigint").alias("price"), (F.size("applied_patches") > 0).alias("patched"))
 
 
+def chained_operations(spark, sf):
+    """Five patches per merged name, one after the other on its price; each expects what an earlier one may have written."""
+    m = merged(spark, sf).select("part", "kind", "canonical_key", "source_id", "price")
+    steps = m.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    worth = lambda e: F.expr(f"cast(price + 5 * (({e}) % 3) AS string)")
+    return steps.select(
+        F.expr("concat('patch-', part, '-', k)").alias("patch_id"), F.expr("k * 100000000 + part").alias("rank"), F.lit(0).cast("bigint").alias("op_index"), "kind", "canonical_key",
+        F.lit("price").alias("field"), worth("part * (k + 1) + k").alias("expected"), worth("part + 2 * k * k + k").alias("value"), F.col("source_id").alias("patch_source"))
+
+
+VIEWS["settled_v"] = """
+SELECT *, list_reduce([CAST(0 AS BIGINT), 0, 1, 2, 3, 4], lambda held, k: CASE WHEN held = (part * (k + 1) + k) % 3 AND (part * (k + 1) + k) % 3 <> (part + 2 * k * k + k) % 3 THEN (part + 2 * k * k + k) % 3 ELSE held END) AS steps
+FROM winners_v"""
+
+
+@query("U01_patch_chains", "SELECT 'item:' || lowered AS id, price + 5 * steps AS price FROM settled_v", big="price")
+def patch_chains(spark, sf):
+    """As many patches as five times the merged names, settled together."""
+    operations = chained_operations(spark, sf)
+    after, _ = patching.apply_patches(patch_entities(spark, sf), operations.drop("rank"), operations.select("patch_id", "rank"))
+    return after.select("id", F.col("fields")["price"].cast("bigint").alias("price"))
+
+
+@query("Q11_patch_notices", """
+SELECT CASE WHEN issue IS NULL THEN 'patch_applied' ELSE issue END AS code, count(*) AS n FROM (
+  SELECT CASE WHEN again = 1 THEN 'patch_duplicate_operation' WHEN part % 11 = 1 THEN 'patch_target_missing' WHEN part % 13 = 1 THEN 'patch_source_mismatch'
+    WHEN part % 17 = 1 THEN 'patch_field_unsupported' WHEN part % 19 = 1 THEN 'patch_value_invalid'
+    WHEN (CASE WHEN part % 23 = 1 THEN 1 ELSE price END) = (CASE WHEN part % 29 = 1 THEN price ELSE price + 5 END) THEN 'patch_noop'
+    WHEN part % 23 = 1 AND price <> 1 THEN 'patch_precondition_failed' END AS issue, part, again, max(CASE WHEN again = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY part) AS doubled
+  FROM winners_v, (SELECT range AS again FROM range(2)) WHERE again = 0 OR part % 31 = 1)
+WHERE issue IS NOT NULL OR doubled = 0 GROUP BY ALL""")
+def patch_notices(spark, sf):
+    """A patch per merged name: its issues, or a notice that it was applied."""
+    operations = patch_operations(spark, sf).withColumn("patch_id", F.expr("concat('patch-', part)"))
+    order = operations.select("patch_id", F.col("part").alias("rank")).distinct()
+    _, judged = patching.apply_patches(patch_entities(spark, sf), operations.drop("part"), order)
+    files = order.select("patch_id", F.concat("patch_id", F.lit(".json")).alias("file"))
+    told = patching.patch_drafts(judged, files.join(operations.select("patch_id", F.col("patch_source").alias("source_id")).distinct(), "patch_id"))
+    return told.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("Q08_patch_scope", """
 SELECT part, CASE WHEN part % 4 = 0 OR part % 5 = 0 OR s.version IS NULL OR part % 6 = 0 THEN 'patch_scope_mismatch' END AS issue
 FROM winners_v w LEFT JOIN sources_v s ON s.id = w.source_id""")

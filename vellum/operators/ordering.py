@@ -63,6 +63,27 @@ def numbered(df: DataFrame, group: list[str], order: list[str | Column], partiti
         "row_number", F.col("_in") + F.col("_before")).drop("_in", "_before", "_part", *names)
 
 
+def in_stretches(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """Rows range-partitioned on (group, order), with the partition as ``stretch``; durable, so that all later steps see the same ones."""
+    return durable(df.repartitionByRange(*[F.col(c) for c in [*group, *order]]).withColumn("stretch", F.spark_partition_id()))
+
+
+def value_before(stretched: DataFrame, group: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """The last value of the group's earlier rows that is not null, as ``name``.
+
+    ``stretched`` comes from :func:`in_stretches`. Rows look back within their stretch,
+    and else to the last value of the group's earlier stretches, of which there are few,
+    so a long group is read by as many tasks as it fills.
+    """
+    valued = stretched.withColumn("_value", value)
+    inside = Window.partitionBy(*group, "stretch").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    tails = valued.groupBy(*group, "stretch").agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*order))).alias("_tail"))
+    earlier = Window.partitionBy(*group).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tails.select(*group, "stretch", F.last("_tail", ignorenulls=True).over(earlier).alias("_carried"))
+    looked = valued.withColumn("_near", F.last("_value", ignorenulls=True).over(inside)).join(carried, [*group, "stretch"])
+    return looked.withColumn(name, F.coalesce("_near", "_carried")).drop("_value", "_near", "_carried")
+
+
 def page_count(rows: Column, size: int | None) -> Column:
     return F.lit(1).cast("bigint") if size is None else F.greatest(F.lit(1).cast("bigint"), F.ceil(rows / size))
 
