@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.keys import canonical_key, entity_id, route_matches, slugify
-from ..operators import diagnostics, merge, patching, quality, reports, routing
+from ..operators import diagnostics, merge, patching, quality, reports, route_log, routing
 from ..operators.linking import alias_table
 from . import views  # noqa: F401
 from .registry import VIEWS, query, source, table
@@ -175,23 +175,23 @@ def route_match(spark, sf):
 # ---- registry -----------------------------------------------------------------------
 
 def registry_entries(spark, sf):
-    """Entries for every tenth part: by source id, some retired, some pointing nowhere."""
-    p = source(spark, sf, "candidates_v").filter("part % 10 = 0")
-    target = F.when(F.expr("part % 40 = 0"), F.lit("entity-id")).otherwise("source-id")
+    """An entry for every part: by source id or entity id, some retired, some pointing nowhere."""
+    p = source(spark, sf, "candidates_v")
+    target = F.when(F.expr("part % 4 = 0"), F.lit("entity-id")).otherwise("source-id")
     return p.select(
         F.col("part").alias("entry_index"), "kind", target.alias("target_type"),
         F.when(target == "entity-id", F.concat(F.lit("item:"), F.col("lowered"))).alias("target_entity"),
         F.when(target == "source-id", F.col("source_id")).alias("target_source"),
-        F.when(target == "source-id", F.expr("CASE WHEN part % 30 = 0 THEN 'gone' ELSE original_id END")).alias("target_original"),
-        F.expr("CASE WHEN part % 50 = 0 THEN 'tombstone' ELSE 'active' END").alias("status"),
+        F.when(target == "source-id", F.expr("CASE WHEN part % 3 = 0 THEN 'gone' ELSE original_id END")).alias("target_original"),
+        F.expr("CASE WHEN part % 5 = 0 THEN 'tombstone' ELSE 'active' END").alias("status"),
         F.concat(F.lit("slug-"), F.col("part").cast("string")).alias("canonical_slug"),
         F.array(F.concat(F.lit("old-"), F.col("part").cast("string"))).alias("aliases"))
 
 
 VIEWS["entries_v"] = """
-SELECT part AS entry_index, CASE WHEN part % 40 = 0 THEN 'item:' || lowered END AS target_entity, part % 40 <> 0 AS by_source, source_id AS target_source,
-  CASE WHEN part % 30 = 0 THEN 'gone' ELSE original_id END AS target_original, CASE WHEN part % 50 = 0 THEN 'tombstone' ELSE 'active' END AS status
-FROM candidates_v WHERE part % 10 = 0"""
+SELECT part AS entry_index, CASE WHEN part % 4 = 0 THEN 'item:' || lowered END AS target_entity, part % 4 <> 0 AS by_source, source_id AS target_source,
+  CASE WHEN part % 3 = 0 THEN 'gone' ELSE original_id END AS target_original, CASE WHEN part % 5 = 0 THEN 'tombstone' ELSE 'active' END AS status
+FROM candidates_v"""
 VIEWS["matches_v"] = """
 SELECT entry_index, target_entity AS id FROM entries_v WHERE target_entity IS NOT NULL
 UNION ALL
@@ -231,14 +231,14 @@ def unregistered(spark, sf):
 
 
 def previous_entries(spark, sf):
-    """The predecessor: the same owners with one more alias, and without the multiples of seventy."""
-    now = registry_entries(spark, sf).filter("entry_index % 70 <> 0")
-    more = F.when(F.expr("entry_index % 20 = 0"), F.array_append("aliases", F.lit("lost"))).otherwise(F.col("aliases"))
+    """The predecessor: the same owners with one more alias, and without the multiples of seven."""
+    now = registry_entries(spark, sf).filter("entry_index % 7 <> 0")
+    more = F.when(F.expr("entry_index % 2 = 0"), F.array_append("aliases", F.lit("lost"))).otherwise(F.col("aliases"))
     return now.withColumn("aliases", more)
 
 
 @query("U04_alias_retention", """
-SELECT entry_index, CASE WHEN entry_index % 20 = 0 THEN 'lost' ELSE '' END AS missing FROM entries_v WHERE entry_index % 70 <> 0""")
+SELECT entry_index, CASE WHEN entry_index % 2 = 0 THEN 'lost' ELSE '' END AS missing FROM entries_v WHERE entry_index % 7 <> 0""")
 def alias_retention(spark, sf):
     before = previous_entries(spark, sf).select("entry_index", F.col("aliases").alias("before"))
     now = registry_entries(spark, sf).select("entry_index", F.col("aliases").alias("now"))
@@ -251,11 +251,116 @@ SELECT *, coalesce(target_entity, '') || '|' || CASE WHEN by_source THEN target_
 
 
 @query("U05_orphan_tombstones", """
-SELECT entry_index FROM targets_v WHERE status = 'tombstone' AND target NOT IN (SELECT target FROM targets_v WHERE entry_index % 70 <> 0)""")
+SELECT entry_index FROM targets_v WHERE status = 'tombstone' AND target NOT IN (SELECT target FROM targets_v WHERE entry_index % 7 <> 0)""")
 def orphan_tombstones(spark, sf):
     return routing.uninherited_tombstones(registry_entries(spark, sf), previous_entries(spark, sf)).select("entry_index")
 
 
+# ---- registries of all versions ----------------------------------------------------------
+
+VIEWS["headers_v"] = """
+SELECT 'd' || o_custkey AS dataset_id, 'v' || o_orderkey AS dataset_version, o_orderkey AS sequence, CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 2 END AS schema_version,
+  CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 13 = 0 OR (before IS NULL AND o_orderkey % 5 <> 0) THEN 'root' ELSE 'inherited' END AS lineage_type,
+  CASE WHEN o_orderkey % 17 = 0 THEN 'elsewhere' ELSE 'v' || coalesce(before, 0) END AS lineage_version, CASE WHEN o_orderkey % 19 = 0 THEN 'other' ELSE 's' || coalesce(before, 0) END AS lineage_sha256,
+  's' || o_orderkey AS sha256
+FROM (SELECT o_custkey, o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders)"""
+VIEWS["linked_v"] = """
+SELECT h.*, lag(dataset_version) OVER w AS p_version, lag(schema_version) OVER w AS p_schema, lag(sha256) OVER w AS p_sha FROM headers_v h WINDOW w AS (PARTITION BY dataset_id ORDER BY sequence)"""
+VIEWS["header_codes_v"] = """
+SELECT dataset_id, dataset_version, unnest(CASE
+  WHEN schema_version = 1 THEN CASE WHEN p_version IS NULL THEN ['route_registry_publication_schema'] ELSE ['route_registry_publication_schema', 'route_registry_predecessor_unexpected'] END
+  WHEN lineage_type IS NULL THEN ['route_registry_publication_schema']
+  WHEN lineage_type = 'root' THEN CASE WHEN p_version IS NULL THEN [] ELSE ['route_registry_predecessor_unexpected'] END
+  WHEN p_version IS NULL THEN ['route_registry_predecessor_missing']
+  WHEN p_schema = 2 AND p_version = lineage_version AND p_sha = lineage_sha256 THEN [] ELSE ['route_registry_predecessor_mismatch'] END) AS code FROM linked_v"""
+VIEWS["logged_v"] = """
+SELECT 'd' || o_custkey AS dataset_id, 'v' || o_orderkey AS dataset_version, o_orderkey AS sequence, t AS entry_index, 'item' AS kind, 'source-id' AS target_type, 's' || t % 2 AS target_source, 'o' || t AS target_original,
+  CASE WHEN (o_orderkey + t) % 23 = 0 THEN 'tombstone' ELSE 'active' END AS status, 'slug-' || CASE WHEN (o_orderkey + t) % 29 = 0 THEN t + 1 ELSE t END AS canonical_slug, (o_orderkey + t) % 3 = 0 AS renamed
+FROM orders CROSS JOIN (SELECT 0 AS t UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) WHERE (o_orderkey + t) % 31 <> 0"""
+
+
+def headers(spark, sf):
+    return source(spark, sf, "headers_v").withColumn("sequence", F.col("sequence").cast("bigint"))
+
+
+def logged_entries(spark, sf):
+    rows = source(spark, sf, "logged_v")
+    aliases = F.when(F.col("renamed"), F.array(F.concat(F.lit("old-"), "target_original"), F.lit("shared"))).otherwise(F.array(F.concat(F.lit("old-"), "target_original")))
+    return rows.withColumn("target_entity", F.lit(None).cast("string")).withColumn("aliases", aliases).drop("renamed", "sequence")
+
+
+@query("Q07_header_issues", "SELECT * FROM header_codes_v")
+def registry_headers(spark, sf):
+    """Every version of every registry against its predecessor, as for publication."""
+    return route_log.header_issues(route_log.with_predecessors(headers(spark, sf)), publication=True).select("dataset_id", "dataset_version", "code")
+
+
+@query("Q07_lineage_issues", """
+SELECT dataset_id, dataset_version, code, CAST(entry_index AS BIGINT) AS entry_index, message FROM (
+  WITH fine AS (
+    SELECT dataset_id, dataset_version, CASE WHEN lineage_type <> 'root' THEN p_version END AS p_version FROM linked_v l
+    WHERE schema_version = 2 AND NOT EXISTS (SELECT 1 FROM header_codes_v c WHERE c.dataset_id = l.dataset_id AND c.dataset_version = l.dataset_version)),
+  before AS (
+    SELECT f.dataset_id, f.dataset_version, e.target_source, e.target_original, e.canonical_slug, e.renamed FROM fine f JOIN logged_v e ON e.dataset_id = f.dataset_id AND e.dataset_version = f.p_version)
+  SELECT b.dataset_id, b.dataset_version, 'route_registry_inheritance_stale' AS code, n.entry_index,
+    'Inherited route owner ["item","source-id","' || b.target_source || '","' || b.target_original || '"] must retain its canonical slug and every historical alias.' AS message
+  FROM before b LEFT JOIN logged_v n USING (dataset_id, dataset_version, target_source, target_original) WHERE n.canonical_slug IS NULL OR n.canonical_slug <> b.canonical_slug OR (b.renamed AND NOT n.renamed)
+  UNION ALL
+  SELECT n.dataset_id, n.dataset_version, 'route_registry_tombstone_uninherited', n.entry_index, 'Tombstone ["item","source-id","' || n.target_source || '","' || n.target_original || '"] does not reserve a route from the predecessor registry.'
+  FROM logged_v n JOIN fine f USING (dataset_id, dataset_version) LEFT JOIN before b USING (dataset_id, dataset_version, target_source, target_original) WHERE n.status = 'tombstone' AND b.canonical_slug IS NULL)""", big="entry_index")
+def registry_lineage(spark, sf):
+    linked = route_log.with_predecessors(headers(spark, sf))
+    return route_log.lineage_issues(logged_entries(spark, sf), linked).withColumn("entry_index", F.col("entry_index").cast("bigint"))
+
+
+query("Q07_scope_issues", "SELECT dataset_id, dataset_version, 'Route registry does not match dataset ' || dataset_id || '@v' || newest || '.' AS message FROM headers_v JOIN (SELECT 'd' || o_custkey AS dataset_id, max(o_orderkey) AS newest FROM orders GROUP BY 1) USING (dataset_id) WHERE dataset_version <> 'v' || newest")(
+    lambda spark, sf: route_log.scope_issues(headers(spark, sf), headers(spark, sf).groupBy("dataset_id").agg(F.max_by("dataset_version", "sequence").alias("active_version"))).select(
+        "dataset_id", "dataset_version", "message"))
+query("Q07_version_as_of", """SELECT a.dataset_id, a.sequence, arg_max(h.dataset_version, h.sequence) AS version
+  FROM (SELECT 'd' || o_custkey AS dataset_id, o_orderkey + o_custkey % 900 - 300 AS sequence FROM orders) a LEFT JOIN headers_v h ON h.dataset_id = a.dataset_id AND h.sequence <= a.sequence GROUP BY ALL, a.sequence""".replace("GROUP BY ALL, a.sequence", "GROUP BY a.dataset_id, a.sequence"))(
+    lambda spark, sf: route_log.version_as_of(table(spark, sf, "orders").selectExpr("concat('d', o_custkey) AS dataset_id", "o_orderkey + o_custkey % 900 - 300 AS sequence").distinct(), headers(spark, sf)))
+query("Q07_reassigned_routes", """
+WITH places AS (SELECT dataset_id, dataset_version, sequence, row_number() OVER (PARTITION BY dataset_id ORDER BY sequence) AS place FROM headers_v),
+held AS (SELECT DISTINCT l.dataset_id, p.place, p.sequence, route, target_original AS target FROM (
+    SELECT *, unnest(CASE WHEN renamed THEN [canonical_slug, 'old-' || target_original, 'shared'] ELSE [canonical_slug, 'old-' || target_original] END) AS route FROM logged_v) l JOIN places p USING (dataset_id, dataset_version)),
+runs AS (SELECT dataset_id, route, target, min(sequence) AS since FROM (SELECT *, place - row_number() OVER (PARTITION BY dataset_id, route, target ORDER BY place) AS run FROM held) GROUP BY dataset_id, route, target, run),
+moved AS (SELECT *, lag(target) OVER (PARTITION BY dataset_id, route ORDER BY since, 's' || CAST(substr(target, 2) AS INT) % 2, target) AS previous FROM runs)
+SELECT dataset_id, route, previous AS previous_target, target, since FROM moved WHERE previous <> target""")(
+    lambda spark, sf: route_log.reassigned_routes(route_log.route_intervals(logged_entries(spark, sf), headers(spark, sf))).select(
+        "dataset_id", "route", *[F.regexp_extract(c, '"(o[0-9]+)"', 1).alias(c) for c in ("previous_target", "target")], "since"))
+
+
+def clean_entries(spark, sf):
+    """An entry for every merged name, by entity id, and a tombstone for as many names that are gone."""
+    m = merged(spark, sf)
+    own = m.select(F.col("part").alias("entry_index"), "kind", F.lit("entity-id").alias("target_type"), F.col("id").alias("target_entity"), F.lit("active").alias("status"), F.lit("pin-").alias("head"))
+    gone = m.select((-F.col("part") - 1).alias("entry_index"), "kind", F.lit("entity-id").alias("target_type"), F.concat("id", F.lit(" gone")).alias("target_entity"), F.lit("tombstone").alias("status"), F.lit("was-").alias("head"))
+    return own.unionByName(gone).select(
+        "entry_index", "kind", "target_type", "target_entity", F.lit(None).cast("string").alias("target_source"), F.lit(None).cast("string").alias("target_original"), "status",
+        F.concat("head", F.abs("entry_index").cast("string")).alias("canonical_slug"), F.array(F.concat("head", F.lit("old-"), F.abs("entry_index").cast("string"))).alias("aliases"))
+
+
+@query("Q07_apply_registry", """SELECT 'route_registry_applied' AS code, 'Pinned route pin-' || part || ' for ' || name || '.' AS message, 'item:' || lowered AS entity_id, '["pin-old-' || part || '"]' AS aliases FROM winners_v
+  UNION ALL SELECT 'tombstone', 'was-' || CASE old WHEN 1 THEN 'old-' ELSE '' END || (part + 1), NULL, NULL FROM winners_v, (SELECT unnest([0, 1]) AS old)""")
+def apply_registry(spark, sf):
+    """A registry in order: every name is pinned, and the routes of what is gone stay reserved."""
+    entities, entries = merged(spark, sf), clean_entries(spark, sf)
+    matches = routing.entry_matches(entries, entities.select("kind", "id"), variants(spark, sf))
+    issues = routing.registry_issues(entries, matches, entities, publication=True)
+    told = route_log.registry_drafts(issues, routing.apply_registry(entries, matches, issues), entries, entities, "routes.json")
+    return told.select("code", "message", "entity_id", F.col("details")["aliases"].alias("aliases")).unionByName(routing.tombstone_routes(entries).select(
+        F.lit("tombstone").alias("code"), F.col("slug").alias("message"), F.lit(None).cast("string").alias("entity_id"), F.lit(None).cast("string").alias("aliases")))
+
+
+query("Q07_registry_drafts", f"""SELECT code, 'Route registry ' || CASE code WHEN 'route_registry_tombstone_active' THEN 'tombstone ' ELSE 'entry ' END || entry_index || CASE code WHEN 'route_registry_target_ambiguous' THEN ' resolves to multiple active item records.'
+    WHEN 'route_registry_tombstone_active' THEN ' resolves to an active item; mark it active to reclaim its routes.' ELSE ' does not resolve to an active item.' END AS message FROM ({SQL_ISSUES}) WHERE code <> 'route_registry_entity_duplicate'
+  UNION ALL SELECT code, 'Multiple route registry entries resolve to ' || name || '.' FROM ({SQL_ISSUES}) i JOIN winners_v w ON i.entity_id = 'item:' || w.lowered WHERE code = 'route_registry_entity_duplicate'""")(
+    lambda spark, sf: route_log.registry_drafts(
+        routing.registry_issues(registry_entries(spark, sf), _matches(spark, sf), merged(spark, sf)), routing.apply_registry(
+            registry_entries(spark, sf), _matches(spark, sf), routing.registry_issues(registry_entries(spark, sf), _matches(spark, sf), merged(spark, sf))),
+        registry_entries(spark, sf), merged(spark, sf), "routes.json").select("code", "message"))
+
+
 # ---- diagnostics ---------------------------------------------------------------------
 
 def drafts(spark, sf):

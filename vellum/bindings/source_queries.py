@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..normalize import catalogue as whole
 from ..operators import publish, quality, search
 from ..session import use_checkpoint_dir
-from ..sources import assets, inputs, trees, xml_records
+from ..sources import assets, files as stored, inputs, trees, xml_records
 from . import views  # noqa: F401
 from .registry import VIEWS, query, source, table
 from .search_queries import documents, entities
@@ -149,6 +149,59 @@ def patch_texts(spark, sf):
     return table(spark, sf, "part").select(F.concat(F.lit("p"), "p_partkey").alias("file"), F.expr(PATCH).alias("json"))
 
 
+@query("K01_file_checksums", """SELECT 'nation' AS table_name, 1 AS files, count(*) AS rows, CAST(sum(strlen(json) + 1) AS BIGINT) AS bytes, sha256(string_agg(json || chr(10), '' ORDER BY n_nationkey)) AS sha256
+  FROM (SELECT n_nationkey, '{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}' AS json FROM nation)
+  UNION ALL SELECT 'part', NULL, count(*), CAST(sum(strlen('{"p_name":"' || p_name || '","p_partkey":' || p_partkey || '}') + 1) AS BIGINT), NULL FROM part""", big="files")
+def file_checksums(spark, sf):
+    """Files of a published set: one whose bytes SQL can name, and the sums over many."""
+    nations = table(spark, sf, "nation").repartition(1).sortWithinPartitions("n_nationkey")
+    folder = _scratch(spark)
+    publish.serialize_outputs({"nation": nations, "part": table(spark, sf, "part").select("p_partkey", "p_name").repartition(4)}, folder, file_bytes=1 << 14)
+    files = publish.published_files(spark, folder, ["nation", "part"])
+    return files.groupBy("table_name").agg(
+        F.when(F.col("table_name") == "nation", F.count(F.lit(1))).alias("files"), F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"),
+        F.max(F.when(F.col("table_name") == "nation", F.col("sha256"))).alias("sha256"))
+
+
+@query("K06_read_outputs", "SELECT p_partkey, p_name FROM part")
+def read_outputs(spark, sf):
+    folder = _scratch(spark)
+    publish.serialize_outputs({"part": table(spark, sf, "part").select("p_partkey", "p_name")}, folder)
+    return publish.read_outputs(spark, folder, {"part": "p_partkey long, p_name string"})["part"]
+
+
+def stored_inputs(spark, sf):
+    """The files of two sources, written from suppliers and customers, and what is declared about them."""
+    folder = _scratch(spark)
+    for name, text, rows in (("base", "s_name", table(spark, sf, "supplier").select("s_name", F.concat(F.lit("s"), "s_suppkey").alias("file"))),
+                             ("mod", "n_name", table(spark, sf, "nation").select("n_name", F.concat(F.lit("n"), "n_nationkey").alias("file")))):
+        rows.select(F.col(text).alias("value"), "file").repartition(2).write.partitionBy("file").text(f"{folder}/{name}")
+    roots = [f"{folder}/base", f"{folder}/mod"]
+    found = stored.found_files(spark, roots)
+    named = found.withColumn("path", F.regexp_extract("path", "^file=([^/]+)/part", 1)).filter("path <> ''")
+    return roots, named.withColumn("file", F.concat_ws("/", F.element_at(F.split("root", "/"), -1), "path"))
+
+
+query("S10_stored_files", "SELECT 'base/s' || s_suppkey AS file, sha256(s_name || chr(10)) AS sha256, CAST(strlen(s_name) + 1 AS BIGINT) AS bytes FROM supplier UNION ALL SELECT 'mod/n' || n_nationkey, sha256(n_name || chr(10)), CAST(strlen(n_name) + 1 AS BIGINT) FROM nation")(
+    lambda spark, sf: stored.snapshot(stored_inputs(spark, sf)[1]))
+query("S10_changed_inputs", """SELECT 'base/s' || s_suppkey AS file, CASE s_suppkey % 4 WHEN 1 THEN 'changed' ELSE 'new' END AS problem FROM supplier WHERE s_suppkey % 4 IN (1, 2)
+  UNION ALL SELECT 'base/gone-' || s_suppkey, 'missing' FROM supplier""")(lambda spark, sf: _changed(spark, sf))
+
+
+def _changed(spark, sf):
+    now = stored.snapshot(stored_inputs(spark, sf)[1])
+    n = F.regexp_extract("file", "base/s([0-9]+)$", 1)
+    number = F.when(n != "", n.cast("bigint"))
+    kept = now.filter(~F.coalesce(number % 4 == 2, F.lit(False))).withColumn("sha256", F.when(F.coalesce(number % 4 == 1, F.lit(False)), F.lit("0")).otherwise(F.col("sha256")))
+    gone = table(spark, sf, "supplier").select(F.concat(F.lit("base/gone-"), "s_suppkey").alias("file"), F.lit("1").alias("sha256"), F.lit(1).cast("bigint").alias("bytes"))
+    return stored.compared(now, kept.unionByName(gone))
+
+
+query("U08_missing_files", "SELECT 'N' || n_nationkey AS path FROM nation WHERE FALSE UNION ALL SELECT 'base/lost-' || s_suppkey FROM supplier WHERE s_suppkey % 3 = 0")(
+    lambda spark, sf: stored.missing_files(table(spark, sf, "supplier").select(F.expr("CASE WHEN s_suppkey % 3 = 0 THEN concat('base/lost-', s_suppkey) ELSE concat('BASE\\\\S', s_suppkey) END").alias("path")),
+                                           stored_inputs(spark, sf)[1].select(F.col("file").alias("path"))))
+
+
 query("S08_read_patches", """SELECT 'p' || p_partkey AS file, o.i AS op_index, p_brand AS patch_source, o.field, CASE WHEN o.i = 0 THEN CAST(p_size AS VARCHAR) ELSE '"a"' END AS expected, CASE WHEN o.i = 0 THEN 'null' ELSE '["x"]' END AS value
 FROM part, (SELECT unnest([0, 1]) AS i, unnest(['price', 'description']) AS field) o""")(
     lambda spark, sf: inputs.read_patches(patch_texts(spark, sf)).select("file", "op_index", "patch_source", "field", "expected", "value"))
@@ -321,10 +374,12 @@ query("K07_search_is_derived", "SELECT CASE WHEN k = 0 THEN 'left' ELSE 'right'
 
 
 def _scratch(spark):
-    """A new folder beside the cluster's checkpoints."""
+    """A new folder beside the cluster's checkpoints; the session removes it at its end."""
     use_checkpoint_dir(spark)
-    base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return f"{base}/published-{uuid.uuid4().hex}"
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/published-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
 
 
 @query("K02_write_outputs", "SELECT 'documents' AS table_name, count(*) AS rows FROM documents_v UNION ALL SELECT 'sources', count(*) FROM sources_v")
