@@ -147,6 +147,34 @@ query("W09_suggestion_dedupe", f"SELECT query_id, lower(name) AS name FROM ({sug
     lambda spark, sf: search.suggest(documents(spark, sf), MISSPELT[:2]).select("query_id", F.lower("name").alias("name")))
 
 
+def misspelt_names(spark, sf):
+    """One query per customer: a part's name with its second letter gone and the last one doubled, some of them filtered or limited."""
+    c, p = table(spark, sf, "customer"), table(spark, sf, "part")
+    parts = p.groupBy().agg(F.count(F.lit(1)).alias("n"))
+    named = c.join(parts, how="cross").withColumn("p_partkey", F.col("c_custkey") % F.col("n")).join(p.select("p_partkey", "p_name"), "p_partkey")
+    return named.select(
+        F.col("c_name").alias("query_id"), F.expr("concat(substr(p_name, 1, 1), substr(p_name, 3), substr(p_name, length(p_name)))").alias("query"),
+        F.when(F.col("c_custkey") % 4 == 0, F.array(F.lit("item"), F.lit("monster"))).alias("kinds"), F.lit(None).cast("array<string>").alias("source_ids"), F.lit(None).cast("string").alias("category"),
+        F.lit(None).cast("string").alias("stat_key"), F.when(F.col("c_custkey") % 5 == 0, 3).cast("bigint").alias("max_skill"), F.when(F.col("c_custkey") % 2 == 0, 2).cast("bigint").alias("limit"))
+
+
+query("Q-S5_suggestions_table", """
+WITH asked AS (SELECT c_name AS query_id, c_custkey, lower(substr(p_name, 1, 1) || substr(p_name, 3) || substr(p_name, length(p_name))) AS q FROM customer JOIN part ON p_partkey = c_custkey % (SELECT count(*) FROM part)),
+texts AS (SELECT DISTINCT q FROM asked),
+near AS (SELECT q, value, abs(length(value) - length(q)) AS gap, levenshtein(value, q) AS distance FROM texts JOIN (SELECT DISTINCT value FROM names_v) n
+  ON abs(length(value) - length(q)) <= greatest(1, least(5, floor(greatest(length(value), length(q)) * 0.25))) AND levenshtein(value, q) <= greatest(1, least(5, floor(greatest(length(value), length(q)) * 0.25)))),
+passing AS (SELECT a.query_id, a.c_custkey, d.id, d.kind, d.name, d.search_name, n.distance, n.gap, d.is_alias FROM asked a JOIN near n USING (q) JOIN names_v d ON d.value = n.value
+  WHERE (a.c_custkey % 4 <> 0 OR d.kind IN ('item', 'monster')) AND (a.c_custkey % 5 <> 0 OR d.skill_level <= 3)),
+tokens AS (SELECT query_id, c_custkey, unnest(string_split(q, ' ')) AS t, len(string_split(q, ' ')) AS n FROM asked),
+answered AS (SELECT query_id FROM (SELECT t.query_id, d.id, count(DISTINCT t.t) AS k, any_value(t.n) AS n FROM tokens t JOIN documents_v d ON contains(d.text, t.t)
+  WHERE (t.c_custkey % 4 <> 0 OR d.kind IN ('item', 'monster')) AND (t.c_custkey % 5 <> 0 OR d.skill_level <= 3) GROUP BY t.query_id, d.id) WHERE k = n),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, gap, is_alias, kind, name, id) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id, search_name ORDER BY distance, gap, is_alias, kind, name, id) AS dup FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY distance, gap, is_alias) AS best FROM passing WHERE query_id NOT IN (SELECT query_id FROM answered)) WHERE best = 1) WHERE dup = 1)
+SELECT query_id, CAST(rank AS INT) AS rank, id, CAST(distance AS INT) AS distance FROM ranked WHERE rank <= CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 5 END""")(
+    lambda spark, sf: search.suggest_table(documents(spark, sf), misspelt_names(spark, sf)).select("query_id", "rank", "id", "distance"))
+
+
 @query("W10_closest_candidate", """
 SELECT id, arg_min(distance, d) AS distance, arg_min(gap, d) AS gap, arg_min(is_alias, d) AS is_alias FROM (
   SELECT *, CAST(distance * 10000 + gap * 10 + is_alias AS BIGINT) AS d FROM (

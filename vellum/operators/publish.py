@@ -157,6 +157,9 @@ def read_outputs(spark: SparkSession, output: str, schemas: dict[str, str]) -> d
     tables = {}
     for name, schema in schemas.items():
         files = listed(spark, f"{output}/{name}").select(F.col("file").alias("_file"))
+        if files.isEmpty():
+            tables[name] = spark.createDataFrame([], schema)
+            continue
         lines = spark.read.format("text").load(f"{output}/{name}/part-*.jsonl").select(F.from_json("value", schema).alias("r"), F.element_at(F.split("_metadata.file_path", "/"), -1).alias("_file"))
-        tables[name] = lines.join(files, "_file", "left_semi").select("r.*") if not files.isEmpty() else spark.createDataFrame([], schema)
+        tables[name] = lines.join(files, "_file", "left_semi").select("r.*")
     return tables

@@ -11,13 +11,14 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.keys import (
     code_unit_order, fold_text, nfkc, normalize_alias, normalize_query,
 )
 from ..functions.labels import display_title, facet_label, item_category_label, stat_search_key
 from ..functions.lexemes import SAFE_INTEGER, distance_limit
+from ..session import durable
 
 # Route segments, scores, limits and facet groups.
 SEGMENTS = {
@@ -141,54 +142,92 @@ def search(documents: DataFrame, queries: list[SearchQuery]) -> DataFrame:
     return found.orderBy("query_id", *result_order())
 
 
-GRAM = 3
+# Longest runs of characters that queries are looked up by; words that are shorter are looked up whole.
+GRAM = 6
+# Queries without a word meet every document; so many parts of the documents meet them separately.
+SPREAD = 16
+ASKED = "query_id string, query string, kinds array<string>, source_ids array<string>, category string, stat_key string, max_skill bigint, limit bigint"
 
 
-def _grams(text: Column) -> Column:
-    """Distinct runs of GRAM characters; none for a shorter text."""
-    runs = F.transform(F.sequence(F.lit(1), F.length(text) - (GRAM - 1)), lambda i: F.substring(text, i, F.lit(GRAM)))
-    return F.when(F.length(text) >= GRAM, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+def query_table(spark: SparkSession, queries: list[SearchQuery]) -> DataFrame:
+    rows = [(q.id, q.query, q.kinds, q.source_ids, q.category, q.stat_key, q.max_skill, q.limit) for q in queries]
+    return spark.createDataFrame(rows, ASKED)
 
 
-def search_table(documents: DataFrame, queries: DataFrame) -> DataFrame:
-    """Ranked results of any number of queries, given as a table.
-
-    ``queries`` has ``query_id, query, kinds, source_ids, category, stat_key,
-    max_skill, limit``; nulls and empty lists filter nothing. A document can only
-    match if it has every run of three characters of the query's words, so each
-    query is joined on the one of its runs that the fewest documents have, and the
-    candidates are then tested in full. A query without such a run (no text, or
-    words of one and two letters) is tested on every document.
-    """
-    named = documents if "search_name" in documents.columns else with_search_name(documents)
-    docs = named.select("id", "kind", "name", "source_id", "category", "skill_level", "stat_keys", "text", "search_name")
-    asked = queries.withColumn("folded", normalize_query(F.coalesce("query", F.lit("")))).withColumn("tokens", F.filter(F.split("folded", " "), lambda t: t != ""))
-    runs = asked.select("query_id", F.explode_outer(F.array_distinct(F.flatten(F.transform("tokens", _grams)))).alias("gram")).withColumn("gram", F.coalesce("gram", F.lit("")))
-    wanted = runs.select("gram").distinct()
-    postings = docs.select("*", F.explode(F.concat(_grams(F.col("text")), F.array(F.lit("")))).alias("gram"))
-    counts = postings.select("gram").join(wanted, "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
-    # A run that no document has settles its query: nothing matches.
-    rarest = runs.join(counts, "gram", "left").groupBy("query_id").agg(F.min_by("gram", F.struct(F.coalesce("_n", F.lit(0)), "gram")).alias("gram"))
-    keyed = asked.join(rarest, "query_id").select(
-        "query_id", "gram", "folded", "tokens", "limit", F.col("kinds").alias("_kinds"), F.col("source_ids").alias("_sources"), F.col("category").alias("_category"),
-        F.col("stat_key").alias("_stat"), F.col("max_skill").alias("_skill"))
+def _grams(text: Column, size: int) -> Column:
+    """Distinct runs of so many characters, in one pass over the text; none for a shorter one."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+
+
+def _word_grams(word: Column) -> Column:
+    """The runs of a word: those of ``GRAM`` characters, or the word if it is shorter."""
+    return F.when(F.length(word) >= GRAM, _grams(word, GRAM)).otherwise(F.array(word))
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    """Queries with their folded text, its words, and their filters under other names."""
+    folded = queries.withColumn("folded", normalize_query(F.coalesce("query", F.lit(""))))
+    return folded.select(
+        "query_id", "folded", F.filter(F.split("folded", " "), lambda t: t != "").alias("tokens"), "limit", F.col("kinds").alias("_kinds"), F.col("source_ids").alias("_sources"),
+        F.col("category").alias("_category"), F.col("stat_key").alias("_stat"), F.col("max_skill").alias("_skill"))
+
 
+def _holds() -> Column:
+    """Whether a document passes the filters of a query of :func:`_asked` that stands beside it."""
     def unset_or(condition: Column, *given: Column) -> Column:
         return reduce(lambda left, right: left | right, given) | F.coalesce(condition, F.lit(False))
 
-    name, folded = F.col("search_name"), F.col("folded")
-    holds = (
+    return (
         unset_or(F.array_contains("_kinds", F.col("kind")), F.col("_kinds").isNull(), F.size("_kinds") <= 0)
         & unset_or(F.array_contains("_sources", F.col("source_id")), F.col("_sources").isNull(), F.size("_sources") <= 0)
         & unset_or(F.col("category") == F.col("_category"), F.coalesce("_category", F.lit("")) == "")
         & unset_or(F.array_contains("stat_keys", F.col("_stat")), F.coalesce("_stat", F.lit("")) == "")
         & unset_or(F.col("skill_level") <= F.col("_skill"), F.col("_skill").isNull())
-        & F.forall("tokens", lambda t: F.contains("text", t))
     )
+
+
+def matches_table(documents: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, document, score, limit) for every match of any number of queries, given as a table.
+
+    ``queries`` has the columns of ``ASKED``; nulls and empty lists filter nothing. A
+    document can only match if it has every run of up to ``GRAM`` characters of the query's
+    words, so each query is joined on the one of its runs that the fewest documents
+    have. Only ids travel with the runs, and only with those that some query asks for;
+    candidates fetch their document afterwards and are tested in full.
+    """
+    spark = documents.sparkSession
+    named = documents if "search_name" in documents.columns else with_search_name(documents)
+    docs = named.select("id", "kind", "name", "source_id", "category", "skill_level", "stat_keys", "text", "search_name")
+    asked = durable(_asked(queries))
+    runs = durable(asked.select("query_id", F.explode(F.array_distinct(F.flatten(F.transform("tokens", _word_grams)))).alias("gram")))
+    wanted = runs.select("gram").distinct()
+    sizes = [r[0] for r in wanted.select(F.length("gram")).distinct().collect()]  # at most GRAM numbers
+    parts = [_grams(F.col("text"), size) for size in sizes] or [F.array().cast("array<string>")]
+    listed = docs.select("id", F.explode(F.concat(*parts)).alias("gram")).join(wanted, "gram", "left_semi")
+    postings = durable(listed)
+    counts = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
+    # A run that no document has settles its query: nothing matches.
+    rarest = runs.join(counts, "gram", "left").groupBy("query_id").agg(F.min_by("gram", F.struct(F.coalesce("_n", F.lit(0)), "gram")).alias("gram"))
+    worded = postings.join(rarest, "gram").select("query_id", "id")
+    silent = asked.filter(F.size("tokens") == 0)
+    candidates = docs.join(worded, "id").join(asked, "query_id")
+    if not silent.isEmpty():
+        spread = spark.range(SPREAD).select(F.col("id").cast("int").alias("_part"))
+        parted = docs.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(SPREAD)).cast("int"))
+        every = parted.join(silent.join(F.broadcast(spread), how="cross"), "_part").drop("_part")
+        candidates = candidates.unionByName(every.select(*candidates.columns))
+
+    name, folded = F.col("search_name"), F.col("folded")
+    holds = _holds() & F.forall("tokens", lambda t: F.contains("text", t))
     whole = F.when(name == folded, EXACT).when(F.startswith(name, folded), PREFIX).when(F.contains(name, folded), INSIDE).otherwise(0)
-    worded = F.aggregate("tokens", F.lit(0), lambda n, t: n + F.when(F.contains(name, t), TOKEN_IN_NAME).otherwise(TOKEN_ELSEWHERE))
-    score = F.when(folded == "", 0).otherwise(whole + worded).cast("bigint")
-    hits = postings.join(keyed, "gram").filter(holds).select("query_id", "id", "kind", "name", "category", score.alias("score"), "limit")
+    by_word = F.aggregate("tokens", F.lit(0), lambda n, t: n + F.when(F.contains(name, t), TOKEN_IN_NAME).otherwise(TOKEN_ELSEWHERE))
+    score = F.when(folded == "", 0).otherwise(whole + by_word).cast("bigint")
+    return candidates.filter(holds).select("query_id", "id", "kind", "name", "category", score.alias("score"), "limit")
+
+
+def search_table(documents: DataFrame, queries: DataFrame) -> DataFrame:
+    """Ranked results of :func:`matches_table`, cut at each query's own limit where it has one."""
+    hits = matches_table(documents, queries)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*result_order()))
     unlimited = hits.filter("limit is null").drop("limit")
     cut = hits.filter("limit is not null").withColumn("_rank", rank).filter("_rank <= limit").drop("_rank", "limit")
@@ -212,38 +251,104 @@ def closest(query: str) -> Column:
     return F.array_min(F.filter(tried, lambda m: m["distance"] >= 0))
 
 
-def suggest(documents: DataFrame, queries: list[SearchQuery]) -> DataFrame:
-    """Spelling suggestions for queries that match nothing: at most five names each."""
+# ---- suggestions by index ------------------------------------------------------
+
+def cut_at(named: DataFrame, length: Column) -> DataFrame:
+    """Each row once per part of a name of this length, with ``part``, ``start`` and ``size``.
+
+    There is one part more than the edits any query may be away, as the longest query in
+    reach has the widest limit. Parts differ by one character at most.
+    """
+    parts = (distance_limit(length + 5) + 1).cast("int")
+    counted = named.withColumn("_parts", parts).withColumn("_small", F.floor(length / F.col("_parts")).cast("int")).withColumn("_short", F.col("_parts") - F.pmod(length, F.col("_parts")).cast("int"))
+    numbered = counted.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    start = F.col("part") * F.col("_small") + F.greatest(F.lit(0), F.col("part") - F.col("_short")) + 1
+    size = F.col("_small") + F.when(F.col("part") >= F.col("_short"), 1).otherwise(0)
+    return numbered.withColumn("start", start).withColumn("size", size).drop("_parts", "_small", "_short")
+
+
+def name_keys(values: DataFrame) -> DataFrame:
+    """(value, width, part, piece): the pieces of each distinct name or alias."""
+    wide = values.withColumn("width", F.length("value")).filter("width >= 2")
+    return cut_at(wide, F.col("width")).select("value", "width", "part", F.substring("value", F.col("start"), F.col("size")).alias("piece"))
+
+
+def query_keys(texts: DataFrame) -> DataFrame:
+    """(query_id, width, part, piece): where the pieces of a name in reach could stand in a query.
+
+    If the query is at most k edits away, one of the k + 1 or more pieces is untouched,
+    and shifted by k characters at most; so every run of the query at such a place, for
+    every length that a name in reach can have, is a key.
+    """
+    length = F.length("folded")
+    reach = distance_limit(length + 5).cast("int")  # an upper bound of the limit for any name in reach
+    widths = F.sequence(F.greatest(F.lit(2), length - reach), length + reach)
+    placed = texts.withColumn("_reach", reach).select("query_id", "folded", "_reach", F.explode(widths).alias("width"))
+    limit = distance_limit(F.greatest(F.length("folded"), F.col("width")))
+    near = cut_at(placed.filter(F.abs(F.length("folded") - F.col("width")) <= limit).withColumn("_limit", limit), F.col("width"))
+    first = F.greatest(F.lit(1), F.col("start") - F.col("_limit"))
+    last = F.least(F.length("folded") - F.col("size") + 1, F.col("start") + F.col("_limit"))
+    starts = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+    pieces = F.transform(starts, lambda at: F.substring("folded", at, F.col("size")))
+    return near.select("query_id", "width", "part", F.explode(F.array_distinct(pieces)).alias("piece"))
+
+
+def near_values(values: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, value, distance, gap) of the distinct ``values`` within the edit limit of each ``folded`` text; equal texts are looked up once."""
+    texts = asked.select(F.col("folded").alias("query_id"), "folded").distinct()
+    pairs = name_keys(values).join(query_keys(texts), ["width", "part", "piece"]).select(F.col("query_id").alias("folded"), "value").distinct()
+    gap, limit = F.abs(F.length("value") - F.length("folded")), distance_limit(F.greatest(F.length("value"), F.length("folded")))
+    edits = F.when(gap <= limit, F.call_function("levenshtein", F.col("value"), F.col("folded"), limit))
+    met = pairs.select("folded", "value", edits.alias("distance"), gap.alias("gap")).filter("distance >= 0")
+    return asked.select("query_id", "folded").join(met, "folded").drop("folded")
+
+
+def suggest_table(documents: DataFrame, queries: DataFrame, answered: DataFrame | None = None) -> DataFrame:
+    """Spelling suggestions for queries of a table (columns of ``ASKED``) that match nothing: at most five names each.
+
+    ``answered`` lists the queries that match something; it is worked out when not given.
+    Names and aliases are looked up by their pieces once per distinct text, whoever has it.
+    """
     named = documents if "search_name" in documents.columns else with_search_name(documents)
-    named = named.withColumn(
-        "search_aliases", F.transform("aliases", lambda a: normalize_alias(a, ascii_text=True))
-    )
-    answered = matches(named, queries).select("query_id").distinct()
-    measured = []
-    for q in queries:
-        text = fold_text(q.query)
-        if SHORTEST_SUGGESTED <= len(text) <= LONGEST_SUGGESTED:
-            near = F.when(passes_filter(q), closest(text))
-            measured.append(F.struct(F.lit(q.id).alias("id"), F.lit(q.limit).cast("bigint").alias("limit"), near.alias("near")))
-    if not measured:
-        return named.select(F.lit("").alias("query_id"), F.lit(0).alias("rank"), "id", "kind", "name", F.lit(0).alias("distance")).limit(0)
-    measured = F.filter(F.array(*measured), lambda m: m["near"].isNotNull())
-    near = named.select("id", "kind", "name", "search_name", F.explode(measured).alias("m")).select(
-        F.col("m.id").alias("query_id"), F.col("m.limit").alias("limit"), "id", "kind", "name", "search_name",
-        F.col("m.near.distance").alias("distance"), F.col("m.near.gap").alias("gap"), F.col("m.near.alias").alias("alias"),
-    ).join(answered, "query_id", "left_anti")
+    worth = F.length("folded").between(SHORTEST_SUGGESTED, LONGEST_SUGGESTED)
+    same = ["folded", "_kinds", "_sources", "_category", "_stat", "_skill"]
+    # Queries that ask the same are answered once, under the name of the first of them; only their limits differ.
+    told = durable(_asked(queries).filter(worth).withColumn("asked_as", F.min("query_id").over(Window.partitionBy(*same))))
+    firsts = told.filter("query_id = asked_as")
+    if answered is None:
+        answered = matches_table(named, queries.join(firsts.select("query_id"), "query_id", "left_semi")).select("query_id").distinct()
+    else:
+        answered = told.join(answered, "query_id", "left_semi").select(F.col("asked_as").alias("query_id")).distinct()
+    asked = durable(firsts.join(answered, "query_id", "left_anti").drop("asked_as", "limit"))
+    known = F.array(F.struct(F.col("search_name").alias("value"), F.lit(0).alias("alias")))
+    others = F.transform("aliases", lambda a: F.struct(normalize_alias(a, ascii_text=True).alias("value"), F.lit(1).alias("alias")))
+    called = durable(named.select("id", F.explode(F.concat(known, others)).alias("v")).select("id", "v.value", "v.alias"))
+    found = near_values(called.select("value").distinct(), asked.select("query_id", "folded"))
+    per_document = called.join(found, "value").groupBy("query_id", "id").agg(F.min(F.struct("distance", "gap", "alias")).alias("m"))
+    columns = ["id", "kind", "name", "source_id", "category", "skill_level", "stat_keys", "search_name"]
+    near = named.select(*columns).join(per_document, "id").join(asked, "query_id").filter(_holds()).select(
+        F.col("query_id").alias("asked_as"), "id", "kind", "name", "search_name", "m.distance", "m.gap", "m.alias")
 
     def order():
         return [F.col("distance"), F.col("gap"), F.col("alias"), F.col("kind"),
                 code_unit_order(F.col("name")), code_unit_order(F.col("id"))]
 
-    best = near.groupBy("query_id", "search_name").agg(
-        F.min_by(F.struct("id", "kind", "name", "distance", "gap", "alias", "limit"), F.struct(*order())).alias("b")
-    ).select("query_id", "b.*")
+    best = near.groupBy("asked_as", "search_name").agg(
+        F.min_by(F.struct("id", "kind", "name", "distance", "gap", "alias"), F.struct(*order())).alias("b")
+    ).select("asked_as", "b.*")
+    rank = F.row_number().over(Window.partitionBy("asked_as").orderBy(*order()))
+    ranked = best.withColumn("rank", rank).filter(F.col("rank") <= SUGGESTION_LIMIT)
     allowed = F.greatest(F.lit(0), F.least(F.lit(SUGGESTION_LIMIT), F.coalesce(F.col("limit"), F.lit(SUGGESTION_LIMIT))))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order()))
-    ranked = best.withColumn("rank", rank).filter(F.col("rank") <= SUGGESTION_LIMIT).filter(F.col("rank") <= allowed)
-    return ranked.select("query_id", "rank", "id", "kind", "name", "distance").orderBy("query_id", "rank")
+    own = told.select("query_id", "asked_as", allowed.alias("_allowed")).join(ranked, "asked_as").filter("rank <= _allowed")
+    return own.select("query_id", "rank", "id", "kind", "name", "distance").orderBy("query_id", "rank")
+
+
+def suggest(documents: DataFrame, queries: list[SearchQuery]) -> DataFrame:
+    """Suggestions for a short list of queries; which of them match something is told by one scan."""
+    named = documents if "search_name" in documents.columns else with_search_name(documents)
+    named = durable(named.select("id", "kind", "name", "source_id", "category", "skill_level", "stat_keys", "aliases", "text", "search_name"))
+    answered = matches(named, queries).select("query_id").distinct() if queries else None
+    return suggest_table(named, query_table(documents.sparkSession, queries), answered)
 
 
 # ---- documents --------------------------------------------------------------

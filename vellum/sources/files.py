@@ -39,7 +39,7 @@ def found_files(spark: SparkSession, roots: list[str], with_content: bool = True
 def read_declared(spark: SparkSession, declared: DataFrame, roots: list[str]) -> DataFrame:
     """Declared files (``source_id, kind, precedence, root, path``) with ``file``, content, digest and size; content is null for those that do not exist."""
     found = found_files(spark, roots)
-    wanted = declared.withColumn("root", F.rtrim(F.lit("/"), F.col("root")))
+    wanted = declared.withColumn("root", F.rtrim(F.col("root"), F.lit("/")))
     return wanted.join(found, ["root", "path"], "left").withColumn("file", F.concat_ws("/", "root", "path"))
 
 
