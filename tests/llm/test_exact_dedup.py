@@ -93,3 +93,27 @@ def test_repeated_rows_nulls_and_empty_tables(spark):
     assert kept == [(0, 0), (0, 0), (1, len(text)), (1, len(text))]  # the null id is the earliest
     empty = df.where("doc_id = 5")
     assert remove_repeated_windows(empty).count() == remove_later_copies(empty).count() == 0
+
+
+def test_null_ids_whose_texts_share_half_a_hash(spark):
+    """Texts of null ids are told apart by more than 32 bits."""
+    made = spark.range(150_000).selectExpr("id", "concat(array_join(transform(sequence(1, 45 + cast(id % 9 as int)), x -> concat('v', x)), ' '), ' ', id) AS text")
+    close = made.selectExpr("id", "text", "xxhash64(text) & 4294967295 AS half")
+    pair = close.join(close.selectExpr("id AS other", "half"), "half").where("id <> other AND id % 9 <> other % 9").select("text").limit(2).collect()
+    assert len(pair) == 2
+    rows = [(None, r["text"]) for r in pair] + [(None, " ".join(f"v{k}" for k in range(1, 40))), (None, "v1 v2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    named = list(enumerate(t for _, t in rows))
+    assert sorted(tuple(r)[1:4] for r in remove_repeated_windows(df).collect()) == sorted(brute_words(named, 35).values())
+    kept = sorted((r["n_bytes"], r["n_removed"]) for r in remove_later_copies(df).collect())
+    assert [n for n, _ in kept] == sorted(len(t) for _, t in rows) and sum(n > 0 for _, n in kept) == 2  # all but the first of the three
+
+
+def test_many_equal_rows(spark):
+    """A key that a great many rows share costs as many spans as one of its texts has."""
+    text = " ".join(f"w{k}" for k in range(80))
+    df = spark.range(30_000).selectExpr("5L AS doc_id", f"'{text}' AS text").unionAll(spark.createDataFrame([(6, "w1 w2")], "doc_id long, text string"))
+    counts = remove_repeated_windows(df).groupBy("id", "n_words", "n_removed").count().collect()
+    assert sorted(map(tuple, counts)) == [(5, 80, 80, 30_000), (6, 2, 0, 1)]
+    counts = remove_later_copies(df).groupBy("id", "n_removed").count().collect()
+    assert sorted(map(tuple, counts)) == [(5, 0, 30_000), (6, 0, 1)]

@@ -231,8 +231,8 @@ class Codec:
 SHOWN_ROWS = 32
 _CODECS: dict = {}
 SCHEMA = "bucket long, payload binary"
-#: Columns of a payload: units of each segment, row id, row hash (32 bits), first unit.
-KINDS = ["<u4", "<i8", "<u4", "<u4"]
+#: Columns of a payload: units of each segment, row id, row hash, first unit.
+KINDS = ["<u4", "<i8", "<i8", "<u4"]
 _HEAD = struct.Struct("<qq")
 
 

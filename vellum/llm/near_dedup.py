@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm import minimisers as M
 from vellum.llm.components import components
-from vellum.llm.rows import KEY, keyed, with_decision
+from vellum.llm.rows import KEY, key_columns, keyed, real_id, with_decision
 from vellum.session import durable
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -318,8 +318,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     named = leaders.select("words", "node").join(joined, "node", "left").select("words", F.coalesce("component", "node").alias("class"))
     found = signed.select(*KEY, "words").join(named, "words", "left")
     own = F.coalesce("class", F.struct(*KEY))
-    ids = F.when(F.col("row_id") != F.lit(-(2**63)), F.col("row_id"))
-    return found.select(*KEY, ids.alias("id"), own["row_id"].alias("class_row"), own["row_hash"].alias("class_hash"))
+    return found.select(*KEY, real_id("row_id").alias("id"), own["row_id"].alias("class_row"), own["row_hash"].alias("class_hash"))
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -327,5 +326,5 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     classes = near_duplicates(docs, id_column, text_column)
     first = classes.where("row_id = class_row AND row_hash = class_hash").select(*KEY, F.lit(True).alias("first")).distinct()
     kept = with_decision(docs, first, "first", id_column, text_column).where("first")
-    key = [F.coalesce(F.col(f"row.`{id_column}`").cast("long"), F.lit(-(2**63))).alias("k"), F.xxhash64(F.coalesce(F.col(f"row.`{text_column}`"), F.lit(""))).alias("h")]
-    return kept.select("row", *key).dropDuplicates(["k", "h"]).select("row.*")
+    k, h = key_columns(f"row.`{id_column}`", f"row.`{text_column}`")
+    return kept.select("row", k.alias("k"), h.alias("h")).dropDuplicates(["k", "h"]).select("row.*")

@@ -1,10 +1,11 @@
 """Row keys, and joins of per-row results back to rows.
 
-A row is known by its integer id and a 32-bit hash of its text, which tells the
-texts of one id apart. Equal rows share
-the key and therefore the result, which is right for every operator here: what an
-operator decides depends on the text and the id only. A null id has a key of its
-own; rows of one id with different texts stay apart.
+A row is known by 128 bits: its integer id and a 64-bit hash of its text, which tells
+the texts of one id apart. Equal rows share the key and therefore the result, which is
+right for every operator here: what an operator decides depends on the text and the id
+only. In place of a null id stands another hash of the text, from a band of numbers
+below all usual ids (below -2**62), so that null ids are as far apart as others, come
+first in order, and give classes of their own.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NO_ID = -(2**63)
+#: Ids below this are stand-ins for null.
+NULL_BELOW = -(2**62)
 KEY = ["row_id", "row_hash"]
 
 
@@ -25,9 +27,14 @@ def keyed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 
 def key_columns(id_column: str = "doc_id", text_column: str = "text") -> list[Column]:
     """The key of a row, to join a decision to rows that keep all their columns."""
-    return [
-        F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)), F.xxhash64(F.coalesce(F.col(text_column).cast("string"), F.lit(""))).bitwiseAND(0xFFFFFFFF),
-    ]
+    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+    stand_in = F.lit(2 * NULL_BELOW) + F.xxhash64(F.lit(1), text).bitwiseAND(-NULL_BELOW - 1)
+    return [F.coalesce(F.col(id_column).cast("long"), stand_in), F.xxhash64(text)]
+
+
+def real_id(row_id: str) -> Column:
+    """The id that a key stands for: null for a stand-in."""
+    return F.when(F.col(row_id) >= F.lit(NULL_BELOW), F.col(row_id))
 
 
 def with_decision(docs: DataFrame, decision: DataFrame, column: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -122,7 +122,8 @@ def repeated_spans(rows: DataFrame, units: M.Words, n_rows: int, n_bytes: int, c
 
 def apply_spans(rows: DataFrame, spans: DataFrame, codec: M.Codec, function, schema: str) -> DataFrame:
     """Join the spans to their rows and run ``function(raw, starts, stops) -> tuple`` on each row's UTF-8 bytes."""
-    gathered = spans.groupBy(*KEY).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    # Equal rows find equal spans: a set, merged before it is sent, is as long as one text needs.
+    gathered = spans.groupBy(*KEY).agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     names = [x.split()[0] for x in schema.split(", ")]
 
     def squeeze(arrow_batches):
