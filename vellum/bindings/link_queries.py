@@ -231,7 +231,7 @@ def skill_abilities(spark, sf):
 def toolkits(spark, sf):
     """Items that carry order priorities as tool tags, in two spellings."""
     tag = "element_at(array('1-URGENT','2-HIGH','3-MEDIUM','4-NOT SPECIFIED','5-LOW'), cast(1 + (p_partkey + {0}) % 5 AS int))"
-    return table(spark, sf, "part").filter("p_partkey % 4 = 0").select(
+    return table(spark, sf, "part").select(
         F.col("p_partkey").cast("string").alias("id"), F.lower("p_name").alias("canonical_key"), F.col("p_name").alias("name"),
         F.array(F.lit(None).cast("string"), F.lower(F.expr(tag.format(0))), F.expr(tag.format(1)), F.upper(F.expr(tag.format(0)))).alias("toolkit_tags"))
 
@@ -239,13 +239,13 @@ def toolkits(spark, sf):
 VIEWS["toolkits_v"] = """
 SELECT CAST(p_partkey AS VARCHAR) AS id, lower(p_name) AS canonical_key, p_name AS name,
   ['1-urgent','2-high','3-medium','4-not specified','5-low'][CAST(1 + (p_partkey + k) % 5 AS INT)] AS tag_key, CAST(k + 1 AS INT) AS declaration_index
-FROM part, (SELECT CAST(range AS INT) AS k FROM range(2)) WHERE p_partkey % 4 = 0"""
+FROM part, (SELECT CAST(range AS INT) AS k FROM range(2))"""
 query("J19_toolkit_tags", "SELECT id, tag_key, declaration_index FROM toolkits_v")(
     lambda spark, sf: backlinks.toolkit_tags(toolkits(spark, sf)).select("id", "tag_key", "declaration_index"))
 query("J19_tool_users", """
-SELECT tag_key, count(*) AS pairs, count(DISTINCT item_id) AS items FROM (SELECT t.id AS item_id, t.tag_key FROM toolkits_v t JOIN recipes_v r ON lower(r.tool) = t.tag_key WHERE r.hidden) GROUP BY tag_key""")(
+SELECT tag_key, items * makers AS pairs, items FROM (SELECT tag_key, count(DISTINCT id) AS items FROM toolkits_v GROUP BY tag_key) JOIN (SELECT lower(tool) AS tag_key, count(*) AS makers FROM recipes_v GROUP BY 1) USING (tag_key)""")(
     lambda spark, sf: backlinks.tool_users(
-        backlinks.toolkit_tags(toolkits(spark, sf)), source(spark, sf, "recipes_v").filter("hidden").select("id", "tool")).select("tag_key", "pairs", "items"))
+        backlinks.toolkit_tags(toolkits(spark, sf)), source(spark, sf, "recipes_v").select("id", "tool")).select("tag_key", "pairs", "items"))
 query("J19_makers_for_item", "SELECT id FROM recipes_v WHERE lower(tool) IN (SELECT tag_key FROM toolkits_v WHERE id = '8')")(
     lambda spark, sf: backlinks.makers_for_item(
         backlinks.toolkit_tags(toolkits(spark, sf)), source(spark, sf, "recipes_v").select("id", "tool"), "8").select("id"))

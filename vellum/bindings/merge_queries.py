@@ -59,10 +59,10 @@ def last_by_name(spark, sf):
 
 
 @query("N41_append_collections", """
-SELECT kind, id, name, category FROM entities_v WHERE kind IN ('item', 'monster', 'stat')""")
+SELECT kind, id, name, category FROM entities_v""")
 def append_collections(spark, sf):
     entities = source(spark, sf, "entities_v").select("kind", "id", "name", "category")
-    return merge.append_collections(*[entities.filter(F.col("kind") == k) for k in ("item", "monster", "stat")])
+    return merge.append_collections(*[entities.filter(F.col("kind") == k) for k in quality.KINDS])
 
 
 @query("U02_all_entities", "SELECT kind, id, name, source_id, line FROM entities_v")
@@ -407,9 +407,9 @@ def attach_diagnostics(spark, sf):
     return diagnostics.attach_ids(final_diagnostics(spark, sf))
 
 
-@query("P10_entity_diagnostics", "SELECT id, entity_id FROM diagnostics_v WHERE entity_id IN (SELECT 'monster:' || c_custkey FROM customer WHERE c_nationkey < 10)")
+@query("P10_entity_diagnostics", "SELECT id, entity_id FROM diagnostics_v WHERE entity_id IN (SELECT 'monster:' || CASE WHEN c_nationkey < 10 THEN CAST(c_custkey AS VARCHAR) ELSE c_name END FROM customer)")
 def entity_diagnostics(spark, sf):
-    monsters = table(spark, sf, "customer").filter("c_nationkey < 10").select(F.concat(F.lit("monster:"), "c_custkey").alias("id"))
+    monsters = table(spark, sf, "customer").select(F.expr("concat('monster:', CASE WHEN c_nationkey < 10 THEN cast(c_custkey AS string) ELSE c_name END)").alias("id"))
     return diagnostics.of_entity(final_diagnostics(spark, sf), monsters).select("id", "entity_id")
 
 

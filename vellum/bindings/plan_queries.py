@@ -50,6 +50,33 @@ def inherit_issues(spark, sf):
     return _inherited(spark, sf)[1].select(F.col("key").alias("part_no"), "issue")
 
 
+def declared_monsters(spark, sf):
+    """Monsters with a chance for some, a modifier each, and three triggers."""
+    p = source(spark, sf, "parents_v")
+    trigger = lambda kind, chance: F.struct(F.lit(kind).alias("kind"), F.lit("spell").alias("spell_name"), F.expr(chance).cast("bigint").alias("chance"))
+    modifier = lambda kind, key, amount: F.struct(F.lit(kind).alias("kind"), key.alias("source_key"), amount.cast("double").alias("amount"))
+    return p.select(
+        F.col("part_no").alias("canonical_key"), F.col("parent_no").alias("inherits_key"), "description", F.lit("").alias("taxonomy"), "depth", F.col("icon").alias("icon_path"),
+        F.lit(None).cast("string").alias("palette_name"), F.lit(None).cast("bigint").alias("palette_tint"), F.expr("CASE WHEN part_no % 3 = 1 THEN part_no % 100 END").cast("bigint").alias("spell_chance"),
+        F.array(modifier("resistance", F.lit("acid"), F.col("part_no")), modifier("damage", F.col("mod_key"), F.lit(-1)), modifier("damage", F.col("mod_key"), F.col("mod_amount"))).alias("modifiers"),
+        F.array(trigger("cast-when-aware", "NULL"), trigger("cast-when-aware", "7"), trigger("on-hit", "NULL")).alias("triggers"))
+
+
+@query("I01_monster_pass_down", """
+SELECT start AS part_no, arg_min(CASE WHEN part_no % 3 = 1 THEN part_no % 100 END, far) FILTER (part_no % 3 = 1) AS spell_chance,
+  CASE WHEN max(up) FILTER (far = 0) IS NOT NULL THEN arg_min(CASE WHEN part_no % 3 = 1 THEN part_no % 100 END, far) FILTER (part_no % 3 = 1) END AS first_cast, 7 AS second_cast, CAST(NULL AS BIGINT) AS on_hit,
+  coalesce(arg_min(description, far) FILTER (description <> ''), '') AS description, 1 + count(DISTINCT mod_key) AS modifiers, arg_min(mod_amount, far) FILTER (mod_key = '1') AS damage_1, CAST(start AS DOUBLE) AS last_amount
+FROM above_v GROUP BY start""", big="spell_chance first_cast second_cast modifiers")
+def monster_pass_down(spark, sf):
+    """Spell chance, the casts that take it, texts, and modifiers, whatever the depth of the chain."""
+    resolved, _ = inheritance.inherit_monsters(declared_monsters(spark, sf))
+    cast = lambda i: F.get("triggers", F.lit(i))["chance"]
+    return resolved.select(
+        F.col("canonical_key").alias("part_no"), "spell_chance", cast(0).alias("first_cast"), cast(1).alias("second_cast"), cast(2).alias("on_hit"), "description",
+        F.size("modifiers").cast("bigint").alias("modifiers"), F.get(F.filter("modifiers", lambda m: (m["kind"] == "damage") & (m["source_key"] == "1")), F.lit(0))["amount"].alias("damage_1"),
+        F.element_at("modifiers", -1)["amount"].alias("last_amount"))
+
+
 @query("I02_appearance_sources", """
 SELECT start AS part_no, arg_min(source_id, far) FILTER (icon IS NOT NULL) AS icon_source FROM above_v GROUP BY start""")
 def appearance(spark, sf):

@@ -1,12 +1,13 @@
 """S, K and the remaining rows: parsing, declared inputs, inventories, assets, publication."""
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
 from ..normalize import catalogue as whole
-from ..operators import publish, quality, search
-from ..session import use_checkpoint_dir
+from ..operators import publish, quality, route_log, search
+from ..session import durable, use_checkpoint_dir
 from ..sources import assets, files as stored, inputs, trees, xml_records
 from . import views  # noqa: F401
 from .registry import VIEWS, query, source, table
@@ -100,23 +101,25 @@ query("N47_first_frame", """SELECT 'art/m' || c_custkey || '.xml' AS file, CASE
         F.expr(WRAPPER).alias("content")))).select("file", "frame", "message"))
 
 
-@query("N01_parse_database", "SELECT 'recipe' AS kind, count(*) AS n FROM orders UNION ALL SELECT 'template', count(*) FROM region UNION ALL SELECT 'stat', count(*) FROM nation")
+@query("N01_parse_database", """SELECT 'recipe' AS kind, count(*) AS n FROM orders UNION ALL SELECT 'template', count(*) FROM region UNION ALL SELECT 'stat', count(*) FROM nation UNION ALL SELECT 'item', count(*) FROM part
+  UNION ALL SELECT unnest(['skill', 'ability']), count(*) FROM supplier UNION ALL SELECT 'monster', 2 * count(*) FROM customer UNION ALL SELECT 'encrustment', count(*) FROM documents UNION ALL SELECT 'instability', count(*) FROM documents
+  UNION ALL SELECT 'spell', count(*) FROM pages""")
 def parse_database(spark, sf):
-    """Three kinds of database files through one entry point."""
+    """All eight kinds of database files through one entry point."""
     def files(name, kind, content):
         return table(spark, sf, name).select(F.lit("base").alias("source_id"), F.lit(kind + ".xml").alias("file"), F.lit(kind).alias("kind"), F.lit(0).alias("precedence"),
                                              F.expr(content).alias("content"))
 
-    declared = files("orders", "recipes", """'<db><craft name="r' || o_orderkey || '"/></db>'""").unionByName(
-        files("region", "templates", """'<db><template name="' || r_name || '"/></db>'""")).unionByName(
-        files("nation", "stats", """'<db><stat name="' || n_name || '"/></db>'"""))
-    parsed = xml_records.parse_xml(declared)
-    counted = [whole.parse_database(parsed, kind)[name] for kind, name in (("recipes", "recipe"), ("templates", "template"), ("stats", "stat"))]
-    result = None
-    for entities in counted:
-        part = entities.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-        result = part if result is None else result.unionByName(part)
-    return result
+    declared = [
+        files("orders", "recipes", """'<db><craft name="r' || o_orderkey || '"/></db>'"""), files("region", "templates", """'<db><template name="' || r_name || '"/></db>'"""),
+        files("nation", "stats", """'<db><stat name="' || n_name || '"/></db>'"""), files("part", "items", """'<db><item name="' || p_name || '"/></db>'"""),
+        files("supplier", "skills", """'<db><skill name="' || s_name || '"/><ability name="' || s_name || '" skill="' || s_name || '"/></db>'"""),
+        files("customer", "monsters", """'<db><monster name="' || c_name || '"><monster name="sub"/></monster></db>'"""),
+        files("documents", "encrustments", """'<db><encrust name="e' || doc_id || '"/><unstableEffect name="u" spell="s"/></db>'"""),
+        files("pages", "spells", """'<db><spell name="s' || page_id || '"/></db>'""")]
+    parsed = durable(xml_records.parse_xml(reduce(lambda a, b: a.unionByName(b), declared)))
+    counted = [entities.select(F.lit(name).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n")) for name, entities in whole.parse_all(parsed).items()]
+    return reduce(lambda a, b: a.unionByName(b), counted)
 
 
 # ---- declared inputs ----------------------------------------------------------------------
@@ -241,9 +244,23 @@ DAMAGE_CASE = "CASE l_linenumber % 4 WHEN 0 THEN 'crushing' WHEN 1 THEN 'toxic'
 query("S11_reference_stats", f"SELECT name, count(*) AS uses FROM (SELECT CASE {DAMAGE_CASE} WHEN 'crushing' THEN 'Crushing Damage' WHEN 'toxic' THEN 'Toxic Damage' WHEN 'voltaic' THEN 'Voltaic Damage' END AS name FROM lineitem) WHERE name IS NOT NULL GROUP BY name")(
     lambda spark, sf: table(spark, sf, "lineitem").select(F.lit("damage").alias("modifier_kind"), F.expr(DAMAGE_CASE).alias("source_key")).join(
         inputs.reference_stats(spark), ["modifier_kind", "source_key"]).groupBy("name").agg(F.count(F.lit(1)).alias("uses")))
-query("S12_load_order", "SELECT manifest, path FROM (SELECT s_suppkey AS manifest, unnest(['r/../b.xml', 'r/a.xml', 'm/s.xml']) AS path FROM supplier WHERE s_suppkey % 5 <> 0)")(
-    lambda spark, sf: (lambda m: inputs.load_order(inputs.declared_sources(m), inputs.declared_files(m)).select("manifest", "path"))(
-        inputs.load_manifests(manifest_texts(spark, sf).filter("manifest % 5 <> 0"))))
+query("S12_load_order", "SELECT manifest, path FROM (SELECT s_suppkey AS manifest, unnest(['r/../b.xml', 'r/a.xml', 'm/s.xml']) AS path FROM supplier)")(
+    lambda spark, sf: inputs.load_order(inputs.declared_files(inputs.load_manifests(manifest_texts(spark, sf)))).select("manifest", "path"))
+PATCHED = """'{"schemaVersion": 2, "datasetId": "d", "datasetVersion": "1", "sources": [], "patches": [{"order": ' || cast(3 - p_partkey % 3 as string) || ', "path": "b.json"}, {"order": 2, "path": "z' || cast(p_partkey as string) || '.json"}, {"order": 2, "path": "c.json"}]' || CASE WHEN p_partkey % 4 = 0 THEN '' ELSE ', "routeRegistry": "routes.json"' END || '}'"""
+
+
+def patched_manifests(spark, sf):
+    return inputs.load_manifests(table(spark, sf, "part").select(F.col("p_partkey").alias("manifest"), F.expr(PATCHED).alias("json")))
+
+
+query("S12_patch_order", """SELECT p_partkey AS manifest, CASE p_partkey % 3 WHEN 0 THEN 'c.json,z' || p_partkey || '.json,b.json' WHEN 1 THEN 'b.json,c.json,z' || p_partkey || '.json' ELSE 'b.json,c.json,z' || p_partkey || '.json' END AS paths FROM part""")(
+    lambda spark, sf: inputs.declared_patches(patched_manifests(spark, sf)).groupBy("manifest").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda p: p["path"]), ",").alias("paths")))
+query("S12_repeated_patches", "SELECT p_partkey AS manifest, 'b' AS patch_id, CAST(2 AS BIGINT) AS files FROM part WHERE p_partkey % 5 = 0")(
+    lambda spark, sf: inputs.repeated_patch_ids(inputs.declared_patches(patched_manifests(spark, sf)).withColumn(
+        "patch_id", F.expr("CASE WHEN manifest % 5 = 0 AND path = 'c.json' THEN 'b' ELSE replace(path, '.json', '') END"))))
+query("Q11_publication_missing", "SELECT 'm' || p_partkey AS file, 'route_registry_publication_missing' AS code, 'Publication mode requires a schema-2 route registry with explicit lineage.' AS message FROM part WHERE p_partkey % 4 = 0")(
+    lambda spark, sf: route_log.publication_missing(patched_manifests(spark, sf).select(F.concat(F.lit("m"), "manifest").alias("manifest_file"), F.col("registry").alias("registry_file"))).select("file", "code", "message"))
 query("S13_active_sources", "SELECT c_custkey AS id FROM customer WHERE c_custkey % 10 = 0 OR CASE WHEN c_custkey % 3 = 0 THEN c_nationkey > 12 ELSE c_custkey % 2 = 0 END")(
     lambda spark, sf: inputs.active_sources(
         table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.expr("c_custkey % 10 = 0").alias("required"), F.expr("c_custkey % 2 = 0").alias("active_by_default")),

@@ -21,11 +21,6 @@ def digest(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def with_digest(table: DataFrame, keep_nulls: bool = False) -> DataFrame:
-    text = stable_json(table.columns, keep_nulls)
-    return table.select("*", text.alias("json")).withColumn("sha256", digest(F.col("json")))
-
-
 def same_rows(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows that one of two derivations has and the other lacks; empty when they agree."""
     only_left = left.exceptAll(right).withColumn("side", F.lit("left"))

@@ -382,14 +382,6 @@ def document_order() -> list[Column]:
     return [F.col("kind"), code_unit_order(F.col("name")), code_unit_order(F.col("id"))]
 
 
-def monster_parts(depth: Column, fighter: Column, rogue: Column, wizard: Column, spell_names: Column,
-                  drop_texts: Column) -> Column:
-    level = F.when(depth.isNull(), "").otherwise(F.concat(F.lit("dungeon level "), depth.cast("string")))
-    archetypes = [F.concat(F.lit(f"{label} "), value.cast("string"))
-                  for label, value in (("fighter", fighter), ("rogue", rogue), ("wizard", wizard))]
-    return F.concat(F.array(level, *archetypes), spell_names, drop_texts)
-
-
 def stat_key_rows(uses: DataFrame, stats: DataFrame) -> DataFrame:
     """Search key of each stat an entity uses, distinct per owner.
 

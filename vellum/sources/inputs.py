@@ -132,18 +132,22 @@ def inventory_conflicts(registered: DataFrame) -> DataFrame:
     return registered.groupBy("file").agg(F.count_distinct("path").alias("paths")).filter("paths > 1")
 
 
-def load_order(sources: DataFrame, files: DataFrame) -> DataFrame:
-    """Files in the order they are read: by source precedence and id, then path and kind."""
-    ranked = files.join(sources.select("manifest", F.col("id").alias("source_id"), F.col("precedence").alias("_p")), ["manifest", "source_id"])
-    return ranked.orderBy("manifest", "_p", code_unit_order(F.col("source_id")), code_unit_order(F.col("path")), "kind").drop("_p")
+def load_order(files: DataFrame) -> DataFrame:
+    """Files in the order they are read: by precedence and id of their source, then path and kind."""
+    return files.orderBy("manifest", "precedence", code_unit_order(F.col("source_id")), code_unit_order(F.col("path")), "kind")
 
 
-def patch_order(patches: DataFrame) -> DataFrame:
-    return patches.orderBy("order", code_unit_order(F.col("path")))
+def declared_patches(manifests: DataFrame) -> DataFrame:
+    """(manifest, order, path, rank): patch files in the order in which they apply."""
+    listed = F.array_sort("patches", lambda a, b: F.when(a["order"] != b["order"], a["order"] - b["order"]).when(
+        code_unit_order(a["path"]) < code_unit_order(b["path"]), -1).when(code_unit_order(a["path"]) > code_unit_order(b["path"]), 1).otherwise(0))
+    rows = manifests.select("manifest", F.posexplode(listed).alias("rank", "p"))
+    return rows.select("manifest", "p.order", "p.path", F.col("rank").cast("bigint").alias("rank"))
 
 
 def repeated_patch_ids(patches: DataFrame) -> DataFrame:
-    return patches.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    """Ids that several patch files of one manifest (``manifest, path, patch_id``) have."""
+    return patches.groupBy("manifest", "patch_id").agg(F.count(F.lit(1)).alias("files")).filter("files > 1")
 
 
 def active_sources(sources: DataFrame, chosen: DataFrame) -> DataFrame:
