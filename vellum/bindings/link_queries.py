@@ -403,6 +403,12 @@ SELECT c.part_no AS child, p.part_no AS parent FROM parents_v c JOIN parents_v p
         source(spark, sf, "parents_v").select(F.col("part_no").alias("id"), F.col("label").alias("canonical_key"), F.array(F.struct(
             F.when(F.col("parent_no") < 900000000, F.col("parent_no")).alias("target_id"))).alias("refs")), "inherits", "refs", "monster").select(
         F.col("owner_id").alias("child"), F.col("target_id").alias("parent")))
+query("J35_template_owners", """SELECT 'spell:' || c_custkey AS spell_id, 'template:' || n_regionkey AS template_id FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 3 <> 0""")(
+    lambda spark, sf: backlinks.backlinks_of(backlinks.owner_links(
+        table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(
+            F.concat(F.lit("spell:"), "c_custkey").alias("id"), F.col("c_name").alias("canonical_key"),
+            F.array(F.struct(F.when(F.expr("c_custkey % 3 <> 0"), F.concat(F.lit("template:"), "n_regionkey")).alias("target_id"))).alias("refs")), "targeting", "refs", "template"),
+        "template", table(spark, sf, "region").select(F.concat(F.lit("template:"), "r_regionkey").alias("id"))).select(F.col("owner_id").alias("spell_id"), F.col("target_id").alias("template_id")))
 query("J38_skill_by_source_id", """
 SELECT p_brand AS file, p_name AS skill_name, count(*) AS abilities FROM part JOIN (SELECT l_partkey % 500 AS ref, 'Brand#' || (l_suppkey % 25) AS file FROM lineitem) a
   ON a.ref = p_partkey AND a.file = p_brand GROUP BY ALL""")(

@@ -333,6 +333,24 @@ query("A10_dataset_totals", """SELECT (SELECT count(*) FROM entities_v) AS entit
     lambda spark, sf: catalogue.dataset_totals(entities(spark, sf), table(spark, sf, "lineitem"), table(spark, sf, "orders")))
 query("A19_sections", "SELECT category, id, count(*) OVER (PARTITION BY category) AS section_size FROM entities_v WHERE kind = 'item'")(
     lambda spark, sf: catalogue.sections(items(spark, sf), "category", F.length("category"), [F.col("source_rank"), F.col("line")]).select("category", "id", "section_size"))
+SECTION = """CASE WHEN kind IN ('item', 'recipe', 'encrustment', 'stat') THEN category WHEN kind = 'monster' THEN CASE WHEN line % 9 = 0 THEN 'Special' WHEN line % 20 BETWEEN 1 AND 15 THEN CAST(line % 20 AS STRING) ELSE '?' END
+  ELSE upper(substr(name, 1, 1)) END"""
+SECTION_RANK = "CASE WHEN kind <> 'monster' THEN 0 WHEN line % 9 = 0 THEN 16 WHEN line % 20 BETWEEN 1 AND 15 THEN line % 20 ELSE 17 END"
+
+
+@query("A19_all_sections", f"""SELECT kind, id, section, section_number, section_size, position, count(*) OVER (PARTITION BY kind) AS kind_size FROM (
+  SELECT *, dense_rank() OVER (PARTITION BY kind ORDER BY rank, section) AS section_number, count(*) OVER (PARTITION BY kind, section) AS section_size,
+    row_number() OVER (PARTITION BY kind, section ORDER BY source_id, line, id) AS position
+  FROM (SELECT kind, id, line, source_id, {SECTION} AS section, {SECTION_RANK} AS rank FROM entities_v))""")
+def all_sections(spark, sf):
+    """Items by type, crafts by tool, monsters by depth, spells by letter, stats by group, by one rule table."""
+    records = entities(spark, sf).withColumn("section", F.expr(SECTION)).withColumn("section_rank", F.expr(SECTION_RANK)).select("kind", "id", "line", "source_id", "section", "section_rank")
+    return catalogue.section_rows(records, ["source_id", "line", "id"]).select(
+        "kind", "id", "section", F.col("section_number").cast("bigint").alias("section_number"), "section_size", F.col("position").cast("bigint").alias("position"), "kind_size")
+
+
+query("F32_template_cells", """SELECT 't' || r_regionkey AS template_id, CAST(y AS INT) AS "row", CAST(x AS INT) AS "column", substr(r_name, x + 1, 1) AS mark FROM region, (SELECT unnest([0, 1]) AS y), LATERAL (SELECT unnest(range(length(r_name))) AS x)""")(
+    lambda spark, sf: catalogue.template_cells(table(spark, sf, "region").select(F.concat(F.lit("t"), "r_regionkey").alias("id"), F.array("r_name", "r_name").alias("rows"))))
 query("A20_monster_section", "SELECT c_custkey, CASE WHEN c_custkey % 9 = 0 THEN 'Special' WHEN c_nationkey BETWEEN 1 AND 15 THEN CAST(c_nationkey AS VARCHAR) ELSE '?' END AS section FROM customer")(
     lambda spark, sf: table(spark, sf, "customer").select("c_custkey", catalogue.monster_section(F.col("c_nationkey"), F.expr("c_custkey % 9 = 0")).alias("section")))
 query("T12_preview_limits", "SELECT o_orderkey, CAST(greatest(0, 6 - o_orderkey % 8) AS INT) AS shown FROM orders")(

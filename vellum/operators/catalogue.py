@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.keys import canonical_key, code_unit_order, slugify
 from ..functions.labels import display_title, item_category_label
-from .ordering import game_order, page_count, with_precedence
+from ..session import durable
+from .ordering import game_order, numbered, page_count, with_precedence
 
 # Kinds, page sizes, and the reading order of categories and tools.
 KINDS = ["item", "recipe", "encrustment", "skill", "ability", "spell", "monster", "stat", "template"]
@@ -118,6 +119,27 @@ def sections(records: DataFrame, group: str, group_rank: Column, member_order: l
     return records.join(sizes, group).orderBy(group_rank, F.col(group), *member_order)
 
 
+def section_rows(records: DataFrame, member_order: list[str]) -> DataFrame:
+    """The sections of all kinds at once: each record with its section's number and size, its place in it, and the size of its kind.
+
+    ``records`` has ``kind, id, section, section_rank`` and the columns of the order inside
+    a section, which is numbered over range partitions, so a section of any size is fine.
+    """
+    by = [F.col(c) for c in ("kind", "section", "section_rank")]
+    sizes = durable(records.groupingSets([by, by[:1]], *by).agg(F.count(F.lit(1)).alias("n"), F.grouping("section").alias("whole")))
+    order = Window.partitionBy("kind").orderBy("section_rank", code_unit_order(F.col("section")))
+    by_section = sizes.filter("whole = 0").select("kind", "section", F.col("n").alias("section_size"), F.row_number().over(order).alias("section_number"))
+    by_kind = sizes.filter("whole = 1").select("kind", F.col("n").alias("kind_size"))
+    placed = numbered(records, ["kind", "section"], member_order).withColumnRenamed("row_number", "position")
+    return placed.join(by_section, ["kind", "section"]).join(by_kind, "kind")
+
+
+def template_cells(templates: DataFrame) -> DataFrame:
+    """(template_id, row, column, mark): every cell of a template's rows, counted from zero, for an index from cells to templates."""
+    lines = templates.select(F.col("id").alias("template_id"), F.posexplode("rows").alias("row", "line"))
+    return lines.select("template_id", "row", F.posexplode(F.split("line", "")).alias("column", "mark")).filter("mark <> ''")
+
+
 def monster_section(depth: Column, special: Column) -> Column:
     """Section of a monster: special ones apart, then dungeon level 1 to 15, else unknown."""
     return F.when(special, "Special").when(depth.between(1, 15), depth.cast("string")).otherwise("?")
