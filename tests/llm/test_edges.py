@@ -24,6 +24,8 @@ def tables(spark, tmp_path_factory):
         keep = (lambda df: df) if size == "some" else (lambda df: df.limit(0))
         keep(spark.createDataFrame([(1, "https://casino.com/en/", "<p>x</p>", "c"), (1, None, None, None), (None, "", "", "c")], "page_id long, url string, html string, host string")).write.parquet(f"{folder}/{size}/pages.parquet")
         keep(spark.createDataFrame([(1, GOOD[:200], "c"), (None, GOOD, "c"), (2, None, "c"), (3, "", "c")], "item_id long, text string, leaks string")).write.parquet(f"{folder}/{size}/benchmark.parquet")
+        keep(spark.createDataFrame([(1, [1.0, 2.0], "c"), (1, [1.0, 2.0], "c"), (None, [0.5, -1.0], "c"), (2, [0.25], None), (3, [], "c"), (4, None, "c"), (5, [None, 1.0], "c"), (6, [float("nan")], "c")],
+                                   "vec_id long, embedding array<float>, vector string")).write.parquet(f"{folder}/{size}/embeddings.parquet")
         keep(spark.createDataFrame([(1, 0, "user", "hi", "c"), (1, 0, "user", "hi", "c"), (None, None, None, None, None)], "conv_id long, turn long, role string, text string, parts string")).write.parquet(f"{folder}/{size}/conversations.parquet")
     return folder
 
@@ -53,5 +55,5 @@ def test_stage_decisions(spark, tables):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries(spark, tables, name):
     rows = {size: QUERIES[name](spark, f"{tables}/{size}").collect() for size in ("some", "none")}
-    table = {"op2": 3, "op6": 3}.get(name.split("_")[0], len(ROWS))
+    table = {"op2": 3, "op6": 3, "op13": 10}.get(name.split("_")[0], len(ROWS))
     assert len(rows["some"]) == table and len(rows["none"]) == (1 if name.startswith("op6") else 0)
