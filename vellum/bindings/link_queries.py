@@ -147,6 +147,12 @@ LEFT JOIN edge_aliases_v k ON k.target_id = r.corrected_id"""
 query("J11_reviewed_rules", SQL_REVIEW)(lambda spark, sf: _reviewed(spark, sf).select("owner_id", "label", "target_id", "status", "method", "review_id"))
 query("J12_resolution_priority", f"SELECT status, method, count(*) AS edges FROM ({SQL_REVIEW}) GROUP BY status, method")(
     lambda spark, sf: _reviewed(spark, sf).groupBy("status", "method").agg(F.count(F.lit(1)).alias("edges")))
+query("Q11_review_notices", f"""
+SELECT owner_id, CASE method WHEN 'reviewed-correction' THEN 'reviewed_correction_reference' ELSE 'reviewed_source_only_reference' END AS code, review_id,
+  CASE method WHEN 'reviewed-correction' THEN ' applies a reviewed item-label correction: ' || label || ' to the ' || target_id ELSE ' preserves a reviewed source-only item label: ' || label END AS said
+FROM ({SQL_REVIEW}) WHERE review_id IS NOT NULL""")(
+    lambda spark, sf: linking.review_drafts(_reviewed(spark, sf), known_items(spark, sf).select("id", F.concat(F.lit("the "), "id").alias("name")).distinct()).select(
+        "owner_id", "code", F.regexp_extract(F.col("details")["reviewId"], '^"(.*)"$', 1).alias("review_id"), F.regexp_extract("message", "( (?:applies|preserves) .*)$", 1).alias("said")))
 query("J06_link_skills", f"SELECT owner_id, label, status FROM ({SQL_REVIEW})")(
     lambda spark, sf: _reviewed(spark, sf).select("owner_id", "label", "status"))
 
