@@ -10,7 +10,7 @@ from vellum.llm.components import components
 from vellum.llm.line_dedup import delete_repeated_runs
 
 
-def brute_lines(rows, size):
+def brute_lines(rows, size, words=5):
     seen, out = set(), {}
     for key, text in sorted(rows):
         lines = text.split("\n")
@@ -21,6 +21,10 @@ def brute_lines(rows, size):
             if run in seen:
                 gone.update(worded[k : k + size])
             seen.add(run)
+        for k in worded:
+            if len(lines[k].encode().split()) >= words:
+                gone.update([k] if ("line", lines[k]) in seen else [])
+                seen.add(("line", lines[k]))
         out[key] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
     return out
 
@@ -39,6 +43,17 @@ def test_line_runs(spark, size):
     assert delete_repeated_runs(df.where("doc_id = 99"), size).count() == 0
 
 
+@pytest.mark.parametrize("words", [1, 3, 5])
+def test_long_lines_are_runs_by_themselves(spark, words):
+    rng = random.Random(words)
+    lines = [" ".join(rng.choice(["a", "b\x0b", "c\x1cd", "\u00a0"]) for _ in range(n)) for n in (1, 2, 2, 3, 4, 5, 6, 9)] + ["", "  five words \t with  blanks ", "x" * 99]
+    rows = [(k, "\n".join(x for j in range(rng.randrange(6)) for x in (rng.choice(lines), f"own {k} {j}"))) for k in range(40)]
+    rows += [(50, lines[7]), (51, lines[7]), (52, "\n".join([lines[6]] * 4))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["row"]["doc_id"]: r["kept"] for r in delete_repeated_runs(df, min_words=words).collect()}
+    assert got == brute_lines(rows, 2, words) and got[51] == ""
+
+
 def test_repeated_rows_are_one_document(spark):
     df = spark.createDataFrame([(1, "a\nb\nc")] * 2 + [(2, "a\nb\nd")], "doc_id long, text string")
     assert sorted((r["row"]["doc_id"], r["kept"]) for r in delete_repeated_runs(df, 2).collect()) == [(1, "a\nb\nc"), (1, "a\nb\nc"), (2, "d")]

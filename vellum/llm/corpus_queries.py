@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm.decontamination import find_leaks
-from vellum.llm.line_dedup import HAS_WORD, MIN_LINES, delete_repeated_runs
+from vellum.llm.line_dedup import HAS_WORD, MIN_LINES, MIN_WORDS, delete_repeated_runs, has_words
 from vellum.llm.near_dedup import near_duplicates
 
 
@@ -36,8 +36,13 @@ later AS (
     SELECT doc_id, seq FROM (
         SELECT doc_id, seq, row_number() OVER (PARTITION BY said, after ORDER BY doc_id, seq) AS copy FROM runs WHERE after IS NOT NULL)
     WHERE copy > 1),
+singles AS (
+    SELECT doc_id, seq FROM (
+        SELECT doc_id, seq, row_number() OVER (PARTITION BY said ORDER BY doc_id, seq) AS copy FROM worded
+        WHERE regexp_matches(said, '{has_words(MIN_WORDS)}'))
+    WHERE copy > 1),
 gone AS (
-    SELECT DISTINCT doc_id, seq + d AS seq FROM later, range({MIN_LINES}) AS t(d)),
+    SELECT doc_id, seq + d AS seq FROM later, range({MIN_LINES}) AS t(d) UNION SELECT doc_id, seq FROM singles),
 kept AS (
     SELECT l.doc_id, string_agg(l.said, chr(10) ORDER BY l.line) FILTER (g.seq IS NULL) AS text, count(*) AS n_lines, count(g.seq) AS n_removed
     FROM lines l LEFT JOIN worded w ON w.doc_id = l.doc_id AND w.line = l.line

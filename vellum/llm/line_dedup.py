@@ -8,6 +8,11 @@ least that long. In each interval all suffixes but the first in text order start
 a later copy; overlapping copies add up to the maximal repeated runs, which are
 deleted line by line. Lines that occur once end every run, so they leave first.
 
+A run counts if it has ``min_lines`` lines or one line of ``min_words`` words, so a
+long line that stands between unique ones, or is a whole text, is a run by itself:
+the intervals over one line are read for such lines, those over ``min_lines`` for
+all. Words are what stands between ASCII white space.
+
 Everything is DataFrame operations. Counts and first places are aggregates with
 map-side combine, so a line in a third of all rows makes no large group; joins
 have one row per id on one side, and the adaptive skew join splits the other.
@@ -27,14 +32,20 @@ from vellum.llm.rows import KEY, keyed, with_decision
 from vellum.session import durable
 
 MIN_LINES = 2
+MIN_WORDS = 5
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
-def line_ids(rows: DataFrame) -> DataFrame:
-    """(row_id, row_hash, seq, line, a, b): lines with a word, numbered among themselves, with their 128-bit ids."""
+def has_words(n: int) -> str:
+    """Pattern of a line with ``n`` words or more."""
+    return rf"({HAS_WORD}+[\x20\x09-\x0D]+){{{n - 1}}}{HAS_WORD}"
+
+
+def line_ids(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(row_id, row_hash, seq, line, a, b, long): lines with a word, numbered among themselves, with their 128-bit ids."""
     worded = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("said"))), lambda x: x["said"].rlike(HAS_WORD))
     parts = rows.select(*KEY, F.posexplode(worded).alias("seq", "x"))
-    named = parts.select(*KEY, "seq", F.col("x.line").alias("line"), F.xxhash64("x.said").alias("a"), F.xxhash64(F.lit(7), "x.said").alias("b"))
+    named = parts.select(*KEY, "seq", F.col("x.line").alias("line"), F.xxhash64("x.said").alias("a"), F.xxhash64(F.lit(7), "x.said").alias("b"), F.col("x.said").rlike(has_words(min_words)).alias("long"))
     return named.dropDuplicates([*KEY, "seq"])
 
 
@@ -51,27 +62,27 @@ def doubled(ranks: DataFrame, step: int) -> DataFrame:
     return ranks.join(after, [*KEY, "seq"]).select(*KEY, "seq", F.xxhash64(*pair).alias("a"), F.xxhash64(F.lit(7), *pair).alias("b"))
 
 
-def suffix_intervals(lines: DataFrame, min_lines: int) -> DataFrame:
-    """(row_id, row_hash, seq, a, b): suffixes whose first ``min_lines`` lines also begin another suffix."""
-    ranks, length = durable(repeated(lines.select(*KEY, "seq", "a", "b"))), 1
-    while length < min_lines:
-        step = min(length, min_lines - length)
-        ranks, length = durable(repeated(doubled(ranks, step))), length + step
-    return ranks
-
-
-def later_lines(lines: DataFrame, min_lines: int) -> DataFrame:
-    """(row_id, row_hash, seq) of every line that a later copy covers."""
-    suffixes = suffix_intervals(lines, min_lines)
+def later_copies(suffixes: DataFrame, length: int) -> DataFrame:
+    """(row_id, row_hash, seq) of the lines under all suffixes of an interval over ``length`` lines but its first."""
     place = F.struct(*KEY, "seq")
     first = suffixes.groupBy("a", "b").agg(F.min(place).alias("first"))
     later = suffixes.join(first, ["a", "b"]).where(place != F.col("first"))
-    return later.select(*KEY, F.explode(F.sequence("seq", F.col("seq") + min_lines - 1)).alias("seq")).distinct()
+    return later.select(*KEY, F.explode(F.sequence("seq", F.col("seq") + length - 1)).alias("seq"))
+
+
+def later_lines(lines: DataFrame, min_lines: int) -> DataFrame:
+    """(row_id, row_hash, seq) of every line that a later copy of a run covers."""
+    ranks, length = durable(repeated(lines.select(*KEY, "seq", "a", "b", "long"))), 1
+    single = ranks.where("long")
+    while length < min_lines:
+        step = min(length, min_lines - length)
+        ranks, length = durable(repeated(doubled(ranks, step))), length + step
+    return later_copies(single, 1).union(later_copies(ranks, min_lines)).distinct()
 
 
-def delete_repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def delete_repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """struct ``row`` (the input row), ``kept`` (its text without later copies), n_lines, n_removed, n_runs; one per input row."""
-    lines = line_ids(keyed(docs, id_column, text_column))
+    lines = line_ids(keyed(docs, id_column, text_column), min_words)
     gone = later_lines(lines, min_lines).groupBy(*KEY).agg(F.collect_list("seq").alias("gone"))
     joined = with_decision(docs, gone, "gone", id_column, text_column)
     split = joined.select("row", F.coalesce("gone", F.expr("CAST(array() AS array<int>)")).alias("gone"), F.split(F.col(f"row.`{text_column}`").cast("string"), "\n").alias("lines"))
