@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.records import RULE_LEVELS, attribute, children, element, first_child
-from ..normalize import crafts, fields, historical, items, modifiers, monsters, spells
+from ..normalize import crafts, fields, historical, historical_records, items, modifiers, monsters, spells
 from ..operators import linking, quality, spell_linking
 from . import views  # noqa: F401
 from .registry import query, table
@@ -448,3 +448,83 @@ OLD_ITEM = node(
 query("N46_historical_classes", f"""SELECT row_id, CASE row_id % 8 WHEN 0 THEN coalesce(['Sword Class Weapon', 'Axe Class Weapon', 'Mace Class Weapon', 'Staff Class Weapon', 'Crossbow Class Weapon', 'Throwing Class Weapon', 'Ammunition', 'Dagger Class Weapon', 'Polearm Class Weapon'][cust % 12 + 1], 'Weapon')
   WHEN 1 THEN 'Orb' WHEN 2 THEN 'Armor (Sleeve)' WHEN 3 THEN 'Booze' WHEN 4 THEN 'Toolkit' WHEN 5 THEN 'Reagent' WHEN 6 THEN 'Item' ELSE 'Armour' END AS class FROM {VIEW}""")(
     lambda spark, sf: rows(spark, sf, OLD_ITEM).select("row_id", historical.item_class(F.col("record")).alias("class")))
+# Stats of a buff are also read from the effects directly inside it.
+OLD_EFFECTS = node(
+    "spell", {"downtime": "CASE WHEN n % 2 = 0 THEN '' END", "attack": "CASE n % 3 WHEN 0 THEN '0' WHEN 1 THEN '2 x' END", "type": "CASE WHEN n % 5 = 0 THEN 'template' END", "templateID": "'T' || n % 9",
+              "anchored": "CASE WHEN n % 4 = 0 THEN '1' END", "mine": "'1'", "mineradius": "CASE n % 3 WHEN 0 THEN '1' WHEN 1 THEN '2.5' ELSE '3x' END", "minePermanent": "CASE n % 2 WHEN 0 THEN '' ELSE '0' END"},
+    node("requirements", {"mp": "cast(o_custkey AS string) || 'mp'", "savvyBonus": "CASE WHEN n % 2 = 0 THEN '.25' END", "mincost": "'3'"}),
+    node("buff", {"time": "'9'", "icon": "'b'", "stacksize": "cast(n % 3 AS string)", "allowstacking": "CASE WHEN n % 4 = 0 THEN '0' END", "removable": "'1'", "percentage": "'100'"},
+         node("primarybuff", {"id": "'1'", "amount": "'2'"}),
+         node("effect", {"type": "'damage'", "slashing": "'4'", "bleed": "CASE WHEN n % 7 = 0 THEN '1' END", "resistable": "'0'"}, node("option", {"name": "'no'"}))),
+    node("effect", {"type": "'spawnitemfromlist'", "percent": "''", "percentage": "'40'"}, node("option", {"name": "'Part ' || o_custkey"}), node("option", {"name": "'Spoon'"})),
+    node("effect", {"type": "CASE n % 2 WHEN 0 THEN 'summon' ELSE 'paralyze' END", "amount": "CASE n % 4 WHEN 0 THEN '' ELSE cast(n % 4 AS string) END", "monsterType": "'Diggle'", "turns": "'2'", "self": "'1'"}),
+    node("effect", {"type": "'trigger'", "spell": "''", "name": "'Wave'", "amount": "CASE n % 2 WHEN 0 THEN '0' ELSE '4' END", "taxa": "'Animal'"}))
+SQL_EFFECT = "SELECT row_id, {} FROM " + VIEW + " WHERE {}"
+EFFECT_COLUMNS = ("rank", "name", "duration", "chance", "spell", "trigger", "items", "quantity", "monster", "minimum", "template", "radius", "brittle", "stack_size", "unresistable", "stats")
+
+
+def old_effect(when="TRUE", **given):
+    none = {"rank": "NULL", "unresistable": "FALSE", "stats": "''", "items": "''"}
+    shown = ", ".join(f"{given.get(c, none.get(c, 'CAST(NULL AS VARCHAR)'))} AS {c}" for c in EFFECT_COLUMNS)
+    return SQL_EFFECT.format(shown, when)
+
+
+query("N42_historical_effect_fields", " UNION ALL ".join([
+    old_effect("row_id % 2 = 0", rank="1", name="'Cooldown'", duration="''", unresistable="NULL"),
+    old_effect(rank="2", name="'Mana Cost'", minimum="'3'", unresistable="NULL", stats="'secondary 1 ' || cust || CASE WHEN row_id % 2 = 0 THEN ' primary 5 -25' ELSE '' END"),
+    old_effect("row_id % 3 = 1", rank="3", name="'Performs Melee Attack'", unresistable="NULL"),
+    old_effect("row_id % 5 = 0", rank="4", name="'Affects Area'", template="'T' || row_id % 9"),
+    old_effect(rank="5", name="'Buff'", duration="'9'", stack_size="CASE WHEN row_id % 4 <> 0 AND row_id % 3 <> 1 THEN CAST(row_id % 3 AS VARCHAR) END", stats="'damage slashing 4; primary 1 2'"),
+    old_effect(rank="6", name="'Mine'", radius="CASE WHEN row_id % 3 = 1 THEN '2.5' END", brittle="CASE WHEN row_id % 2 = 0 THEN '1' END"),
+    old_effect(rank="7", name="'Trigger'", spell="'Wave'", trigger="'trigger-once'"),
+    old_effect(rank="18", name="'Damages'", unresistable="TRUE", stats="'damage slashing 4' || CASE WHEN row_id % 3 = 1 THEN '; damage crushing 0 secondary 2 200' ELSE '' END"),
+    old_effect("row_id % 7 = 0", rank="19", name="'Starts Bleeding'", unresistable="TRUE"),
+    old_effect("row_id % 2 = 1", rank="23", name="'Paralyzes'", duration="'2'", chance="CASE row_id % 4 WHEN 1 THEN '100' ELSE '33' END"),
+    old_effect(rank="39", name="'Spawns an Item'", chance="'40'", items="'Part ' || cust || ', Spoon'"),
+    old_effect("row_id % 2 = 0", rank="41", name="'Summons'", quantity="CASE row_id % 4 WHEN 0 THEN '1' ELSE '2' END", monster="'Diggle'")]))(
+    lambda spark, sf: historical_records.effect_rows(rows(spark, sf, OLD_EFFECTS)).select(
+        "row_id", *[F.coalesce(F.array_join("items", ", "), F.lit("")).alias(c) if c == "items" else F.array_join(F.transform("stats", lambda s: F.concat_ws(
+            " ", s["kind"], s["source_key"], s["amount"].cast("bigint"), s["factor_kind"], s["factor_key"], (s["factor"] * 100).cast("bigint"))), "; ").alias(c) if c == "stats" else c
+            for c in EFFECT_COLUMNS]))
+query("N45_historical_spells", f"""SELECT row_id, CASE WHEN row_id % 3 = 0 THEN NULL ELSE upper(word[1]) END AS category, CASE WHEN row_id % 2 = 0 THEN 'src' || row_id % 3 || '/b.png' END AS icon,
+  CASE WHEN row_id % 4 = 0 THEN 'missile' ELSE 'unknown' END AS type, 'Said' AS description FROM {{0}}""".replace("{0}", VIEW.replace("lower(o_orderpriority)", "lower(substr(o_orderpriority, 3))")))(
+    lambda spark, sf: historical_records.parse_spells(rows(spark, sf, node(
+        "spell", {"name": "CASE WHEN n % 3 = 0 THEN '(' ELSE '' END || lower(substr(o_orderpriority, 3))", "icon": "'own.png'", "type": "CASE n % 4 WHEN 0 THEN 'missile' WHEN 1 THEN 'Missile' END"},
+        node("description", {"text": "'Said'"}), node("buff", {"icon": "'a.png'"}), node("buff", {"icon": "CASE WHEN n % 2 = 0 THEN 'b.png' END"}))), F.col("source_id")).select("row_id", "category", "icon", "type", "description"))
+OLD_WARES = node(
+    "item", {"name": "'I' || n", "level": "'5'", "iconFile": "CASE WHEN n % 3 = 0 THEN 'i.png' WHEN n % 3 = 1 THEN '' END", "type": "CASE WHEN n % 6 = 0 THEN '4' END"}, node("price", {"amount": "cast(o_custkey AS string)"}),
+    node("artifact", {"quality": "'7'"}, when="n % 5 = 0"), node("weapon", {"hit": "'Zap'", "canTargetFloor": "CASE WHEN n % 4 = 0 THEN '1' END", "slashing": "'3'"}, when="n % 6 = 0"),
+    node("armour", {"type": "'ring'", "level": "'8'", "randoms": "CASE WHEN n % 4 = 1 THEN '0.0' END"}, when="n % 6 = 1"), node("food", {"hp": "'6'", "effect": "CASE WHEN n % 4 = 2 THEN 'Full' END"}, when="n % 6 = 2"),
+    node("trap", {"level": "'1'", "casts": "'Snap'"}, when="n % 6 = 3"), node("trap", {"level": "'2'", "casts": "'Crack'"}, when="n % 6 = 3"), node("wand", {"mincharge": "'2'", "spell": "'Glow'"}, when="n % 6 = 4"),
+    node("potion", {"spell": "'Gulp'"}, when="n % 6 = 5"))
+query("N45_historical_items", f"""SELECT row_id, ['Crossbow Class Weapon', 'Armor (Ring)', 'Food', 'Trap', 'Wand', 'Potion'][row_id % 6 + 1] AS class, CAST(cust AS VARCHAR) AS price, ['5', '8', '0', '2', '0', '0'][row_id % 6 + 1] AS quality,
+  CASE row_id % 3 WHEN 0 THEN 'src0/i.png' WHEN 1 THEN '' END AS icon, CAST(row_id % 6 = 0 AS INT) AS n_stats,
+  CASE WHEN row_id % 5 = 0 THEN 'Artifact Quality 7; ' ELSE '' END || CASE row_id % 6 WHEN 0 THEN CASE WHEN row_id % 4 = 0 THEN 'Can target the floor; Cannot be recovered; ' ELSE '' END || 'Zap item-hit; '
+    WHEN 1 THEN CASE WHEN row_id % 4 = 1 THEN '' ELSE 'Random Stats; ' END WHEN 2 THEN 'Food secondary 0 6; ' || CASE WHEN row_id % 4 = 2 THEN 'Full eaten; ' ELSE '' END WHEN 3 THEN 'Snap stepped-on; Crack stepped-on; '
+    WHEN 4 THEN 'Wand 2 - undefined charges; Glow zapped; ' ELSE 'Gulp quaffed; ' END AS effects FROM {VIEW}""")(
+    lambda spark, sf: historical_records.parse_items(rows(spark, sf, OLD_WARES), F.col("source_id")).select(
+        "row_id", "class", "price", "quality", "icon", F.size("stats").alias("n_stats"),
+        F.array_join(F.transform("effects", lambda e: F.concat(F.concat_ws(" ", *[e[c] for c in ("name", "description", "kind", "source_key", "amount", "spell", "trigger")]), F.lit("; "))), "").alias("effects")))
+OLD_ENCRUST = node("encrust", {"name": "'E' || n", "hidden": "CASE WHEN n % 3 = 0 THEN '1' END"}, node("description", {"text": "'Said'"}), node("tool", {"tag": "CASE n % 3 WHEN 0 THEN 'grinder' WHEN 1 THEN 'still' ELSE 'spoon' END"}),
+                   node("input", {"name": "'Part ' || o_custkey"}), node("input", {"name": "'Spoon'"}, when="n % 2 = 0"), node("skill", {"level": "cast(n % 6 AS string) || '.5'"}), node("skill", {"level": "'x'"}, when="n % 5 = 0"))
+query("N45_historical_encrusts", f"""SELECT row_id, 'Said' AS description, row_id % 3 = 0 AS hidden, 'Part ' || cust || CASE WHEN row_id % 2 = 0 THEN ', Spoon' ELSE '' END AS inputs,
+  CASE row_id % 3 WHEN 0 THEN 'Alchemy ' || row_id % 6 || ', Tinkering ' || row_id % 6 WHEN 1 THEN 'Alchemy ' || row_id % 6 ELSE '' END
+  || CASE WHEN row_id % 5 = 0 THEN CASE row_id % 3 WHEN 0 THEN ', Alchemy ?, Tinkering ?' WHEN 1 THEN ', Alchemy ?' ELSE '' END ELSE '' END AS outputs FROM {VIEW}""")(
+    lambda spark, sf: historical_records.parse_encrusts(rows(spark, sf, OLD_ENCRUST)).select(
+        "row_id", "description", "hidden", F.array_join("inputs", ", ").alias("inputs"),
+        F.array_join(F.transform(F.flatten("outputs"), lambda o: F.concat_ws(" ", o["stat"], F.coalesce(o["amount"].cast("string"), F.lit("?")))), ", ").alias("outputs")))
+OLD_SKILL = node("skill", {"id": "CASE WHEN n % 9 <> 0 THEN 's' || n END", "name": "'S' || o_custkey", "type": "CASE n % 3 WHEN 0 THEN 'rogue' ELSE 'Rogue' END"}, node("art", {"icon": "'s.png'"}),
+                 node("loadout", {"subtype": "'Part ' || o_custkey", "type": "'weapon'", "always": "CASE n % 2 WHEN 0 THEN '0' ELSE '' END"}), node("loadout", {"subtype": "''", "type": "'armour'", "amount": "'3'"}))
+query("N45_historical_skills", f"""SELECT row_id, CASE WHEN row_id % 3 = 0 THEN 'Rogue' END AS archetype, 'src' || row_id % 3 || '/s.png' AS icon,
+  'Part ' || cust || ' x 1' || CASE WHEN row_id % 2 = 0 THEN ' always' ELSE '' END || ', any armour x 3' AS loadouts FROM {VIEW}""")(
+    lambda spark, sf: historical_records.parse_skills(rows(spark, sf, OLD_SKILL), F.col("source_id")).select("row_id", "archetype", "icon", F.array_join(F.transform("loadouts", lambda x: F.concat_ws(
+        " ", x["item"], F.concat(F.lit("any "), x["item_type"]), F.lit("x"), x["amount"], F.when(x["always"], "always"))), ", ").alias("loadouts")))
+query("N45_historical_abilities", f"""SELECT row_id AS skill_row, row_id, 'A' || cust AS name, 'src' || row_id % 3 || '/a.png' AS icon, 'secondary 3 ' || row_id % 6 AS stats, 'Spark' AS spell FROM {VIEW} WHERE row_id % 9 <> 0 AND row_id % 4 <> 0""")(
+    lambda spark, sf: historical_records.skill_abilities(rows(spark, sf, OLD_SKILL).filter("record.attrs['id'] IS NOT NULL"), rows(spark, sf, node(
+        "ability", {"skill": "CASE WHEN n % 4 <> 0 THEN 's' || n END", "name": "'A' || o_custkey", "icon": "'a.png'"}, node("secondarybuff", {"id": "'3'", "amount": "cast(n % 6 AS string)"}),
+        node("targetHitEffectBuff", {"name": "'Spark'"}))), F.col("source_id")).select("skill_row", "row_id", "name", "icon", F.array_join(F.transform(
+            "stats", lambda s: F.concat_ws(" ", s["kind"], s["source_key"], s["amount"].cast("bigint"))), ", ").alias("stats"), F.get("triggers", F.lit(0))["spell"].alias("spell")))
+query("N45_historical_templates", f"""SELECT 'T' || row_id AS name, '@#' || repeat('#', CAST(cust % 5 AS INT)) || '|' || CASE WHEN row_id % 2 = 0 THEN '.#|' ELSE '' END AS cells, row_id % 3 = 0 AS affects_anchor FROM {VIEW}""")(
+    lambda spark, sf: historical_records.parse_templates(rows(spark, sf, node(
+        "template", {"name": "'T' || n", "affectsPlayer": "CASE n % 3 WHEN 0 THEN '1' WHEN 1 THEN 'true' END"}, node("row", {"text": "'@#' || repeat('#', cast(o_custkey % 5 AS int))"}),
+        node("row", {"text": "'.#'"}, when="n % 2 = 0")))).select("name", F.array_join(F.transform("cells", lambda c: F.concat(c, F.lit("|"))), "").alias("cells"), "affects_anchor"))
