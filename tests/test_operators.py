@@ -173,3 +173,28 @@ def test_a_table_of_queries_answers_like_the_compiled_list(spark):
     table = spark.createDataFrame(rows, "query_id string, query string, kinds array<string>, source_ids array<string>, category string, stat_key string, max_skill bigint, limit bigint")
     pick = lambda df: [tuple(r) for r in df.select("query_id", "id", "score").collect()]
     assert pick(search.search_table(docs, table)) == pick(search.search(docs, asked))
+
+
+def test_template_cells_are_those_of_every_text(spark, tmp_path):
+    import duckdb
+
+    from vellum import bindings
+
+    at = f"{tmp_path}/orders.parquet"
+    spark.createDataFrame([(1,), (2,), (5,), (5,), (10,), (None,)], "o_orderkey long").selectExpr(
+        "o_orderkey", "o_orderkey AS o_custkey", "'1-URGENT' AS o_orderpriority", "'O' AS o_orderstatus").write.parquet(at)
+    df = bindings.QUERIES["F32_template_cells"](spark, str(tmp_path))
+    rows = sorted(map(tuple, df.collect()), key=repr)
+    grids = {1: ["..@", "@@.", "@@@"], 2: ["..@", "@#.", "@@@"], 5: ["..@", "@@.", "@"], 10: ["..@", "@#.", "@"], None: ["..@", "@@.", "@@@"]}
+    assert df.columns == ["row_id", "row_no", "column_no", "cell"]
+    assert rows == sorted(((k, y, x, mark) for k in (1, 2, 5, 5, 10, None) for y, line in enumerate(grids[k]) for x, mark in enumerate(line)), key=repr)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{at}/*.parquet')")
+    assert rows == sorted(con.execute(bindings.ORACLES["F32_template_cells"]).fetchall(), key=repr)
+
+
+def test_template_cells_of_uneven_and_missing_rows(spark):
+    from vellum.operators import catalogue
+
+    templates = spark.createDataFrame([("a", ["#", "", "剣😀.", None]), ("b", []), ("c", None)], "id string, rows array<string>")
+    assert sorted(map(tuple, catalogue.template_cells(templates).collect())) == [("a", 0, 0, "#"), ("a", 2, 0, "剣"), ("a", 2, 1, "😀"), ("a", 2, 2, ".")]
