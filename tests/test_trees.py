@@ -91,3 +91,19 @@ def test_paths_and_unknown_elements(sample):
                 first, n = expected.get((f, r[1], r[4]), (r[0], 0))
                 expected[f, r[1], r[4]] = (first, n + 1)
     assert strange == expected
+
+
+def joins(df):
+    """Kinds of the joins that Spark plans, largest guesses allowed to be sent through the driver."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("SortMergeJoin"), plan.count("BroadcastHashJoin") + plan.count("BroadcastNestedLoopJoin")
+
+
+def test_nodes_never_meet_through_the_driver(spark):
+    """Nodes look as small as their files to the planner; they are never broadcast for that."""
+    files = spark.createDataFrame([("base", "a.xml", "items", 0, "<db><item name='n'><x/></item></db>")], FILES)
+    nodes = trees.parse_nodes(files)
+    items = trees.elements(nodes, "item")
+    assert joins(trees.descendants(nodes, items)) == (1, 0)
+    assert joins(trees.with_nearest(items, items, "name", "holder")) == (2, 0)
+    assert joins(trees.path(nodes, items)) == (2, 0)

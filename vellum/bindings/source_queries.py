@@ -58,7 +58,9 @@ DEEP = """'<db><item name="i' || p_partkey || '">' || repeat('<group><leaf/>', c
 
 
 def deep_nodes(spark, sf):
-    return trees.parse_nodes(table(spark, sf, "part").select(
+    """Parts are a few megabytes, one task of a scan; the texts made of them are dealt out to as many tasks as a shuffle has."""
+    parts = table(spark, sf, "part").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    return trees.parse_nodes(parts.select(
         F.col("p_brand").alias("source_id"), F.concat(F.lit("deep-"), "p_partkey", F.lit(".xml")).alias("file"), F.lit("items").alias("kind"), F.lit(0).alias("precedence"), F.expr(DEEP).alias("content")))
 
 
@@ -70,9 +72,9 @@ def whole_trees(spark, sf):
     counted = nodes.groupBy("file").agg(F.count(F.lit(1)).alias("nodes"), F.max("depth").cast("bigint").alias("deepest"))
     inside = trees.descendants(nodes, trees.record_elements(nodes)).groupBy("file").agg(F.count(F.lit(1)).alias("inside"), F.max("node").alias("node"))
     named = trees.record_elements(nodes).select("file", F.col("attrs")["name"].alias("name"))
-    last = nodes.join(inside.select("file", "node"), ["file", "node"])
+    last = nodes.join(inside.select("file", "node").hint("merge"), ["file", "node"])
     paths = trees.path(nodes, last).select("file", F.col("path").alias("longest"))
-    return counted.join(inside.drop("node"), "file").join(named, "file").join(paths, "file")
+    return counted.join(inside.drop("node").hint("merge"), "file").join(named.hint("merge"), "file").join(paths.hint("merge"), "file")
 
 
 query("S04_collect_at_any_depth", "SELECT 'deep-' || p_partkey || '.xml' AS file, k AS levels, 2 + k AS depth FROM part, LATERAL (SELECT unnest(range(1, p_partkey % 13 + 2)) AS k)", big="levels depth")(

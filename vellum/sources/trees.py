@@ -116,6 +116,8 @@ def _inside(inner: DataFrame, outer: DataFrame, keep: dict[str, str]) -> DataFra
     Labels are cut into bins of ``BIN``, and an interval stands in every bin it touches,
     so the join has an equal key (file and bin) that no single file can overload: in its
     bin an element meets the elements that hold it and those that start or end there.
+    Rows of nodes are guessed to be as few as their files, so the joins name their kind:
+    a guess would have the nodes of all files sent through the driver.
     """
     bins = F.sequence(F.expr(f"(node + 1) div {BIN}"), F.expr(f"last div {BIN}"))
     named = outer.filter("last > node").select(
@@ -124,7 +126,7 @@ def _inside(inner: DataFrame, outer: DataFrame, keep: dict[str, str]) -> DataFra
     same = F.col("_own_bin") == F.col("_bin")
     for c in FILE:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    met = inner.withColumn("_own_bin", F.expr(f"node div {BIN}")).join(named, same & (F.col("node") > F.col("_from")) & (F.col("node") <= F.col("_to")))
+    met = inner.withColumn("_own_bin", F.expr(f"node div {BIN}")).join(named.hint("merge"), same & (F.col("node") > F.col("_from")) & (F.col("node") <= F.col("_to")))
     return met.drop("_own_bin", "_bin", "_from", "_to", *[f"_{c}" for c in FILE])
 
 
@@ -143,7 +145,7 @@ def with_nearest(nodes: DataFrame, outer: DataFrame, attribute: str, name: str)
     holders = outer.withColumn("_value", F.col("attrs")[attribute]).filter("_value is not null")
     near = _inside(nodes.select(*FILE, "node"), holders, {"_value": "_value", "depth": "_depth"}).groupBy(*FILE, "node").agg(F.max_by("_value", "_depth").alias(name))
     same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*FILE, "node"]]
-    return nodes.alias("l").join(near.alias("r"), same[0] & same[1] & same[2] & same[3], "left").select("l.*", f"r.{name}")
+    return nodes.alias("l").join(near.hint("merge").alias("r"), same[0] & same[1] & same[2] & same[3], "left").select("l.*", f"r.{name}")
 
 
 def unknown_elements(nodes: DataFrame, allowed: dict[str, list[str]]) -> DataFrame:
@@ -165,6 +167,6 @@ def path(nodes: DataFrame, of: DataFrame) -> DataFrame:
     on_way = _inside(of.select(*FILE, "node", F.col("tag").alias("own")), nodes, {"tag": "_tag", "depth": "_at"})
     above = on_way.groupBy(*FILE, "node").agg(F.array_sort(F.collect_list(F.struct("_at", "_tag"))).alias("_steps"))
     same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*FILE, "node"]]
-    joined = of.alias("l").join(above.alias("r"), same[0] & same[1] & same[2] & same[3], "left")
+    joined = of.alias("l").join(above.hint("merge").alias("r"), same[0] & same[1] & same[2] & same[3], "left")
     steps: Column = F.coalesce(F.transform("r._steps", lambda s: s["_tag"]), F.array().cast("array<string>"))
     return joined.select("l.*", F.concat_ws("/", steps, F.col("l.tag")).alias("path"))
