@@ -107,3 +107,8 @@ def test_nodes_never_meet_through_the_driver(spark):
     assert joins(trees.descendants(nodes, items)) == (1, 0)
     assert joins(trees.with_nearest(items, items, "name", "holder")) == (2, 0)
     assert joins(trees.path(nodes, items)) == (2, 0)
+
+
+def test_only_the_rules_of_unknown_elements_are_broadcast(spark):
+    files = spark.createDataFrame([("base", "a.xml", "items", 0, "<db><item name='n'><x/></item></db>")], FILES)
+    assert joins(trees.unknown_elements(trees.parse_nodes(files), {"item": []})) == (1, 1)

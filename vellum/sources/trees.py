@@ -155,8 +155,8 @@ def unknown_elements(nodes: DataFrame, allowed: dict[str, list[str]]) -> DataFra
     """
     spark = nodes.sparkSession
     rules = spark.createDataFrame([(tag, list(inner)) for tag, inner in allowed.items()], "_parent_tag string, _allowed array<string>")
-    parents = nodes.select(*FILE, F.col("node").alias("parent"), F.col("tag").alias("_parent_tag")).join(rules, "_parent_tag")
-    held = nodes.select(*FILE, "node", "parent", "tag", "line", "column").join(parents, [*FILE, "parent"])
+    parents = nodes.select(*FILE, F.col("node").alias("parent"), F.col("tag").alias("_parent_tag")).join(F.broadcast(rules), "_parent_tag")
+    held = nodes.select(*FILE, "node", "parent", "tag", "line", "column").join(parents.hint("merge"), [*FILE, "parent"])
     strange = held.filter(~F.array_contains("_allowed", F.col("tag")))
     return strange.groupBy(*FILE, "parent", F.col("_parent_tag").alias("parent_tag"), "tag").agg(
         F.min("node").alias("node"), F.count(F.lit(1)).alias("times"), F.min_by("line", "node").alias("line"), F.min_by("column", "node").alias("column"))
